@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import quality
+from . import chosenpath, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,11 +17,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosenpath.join(read(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op3_ngram_join": op3_ngram_join,
     "op7_quality": op7_quality,
 }
 
