@@ -82,35 +82,46 @@ def count_grams(docs: DataFrame, lang: str, text: str) -> DataFrame:
 
 
 def _tables(grams: DataFrame, floor: float) -> dict:
-    """Counts of every order and of its contexts, the rare ones left out, as arrays.
+    """``(language, kind, order)`` to arrays: counts of n-grams (``g``), sums of their
+    contexts (``h``) and counts of counts (``d``).
 
-    Returned sizes are bounded by ``1 / floor`` for each language and order, whatever
-    the corpus; counts of counts and context sums are taken before anything is left out.
+    Rare entries are left out, so that at most ``1 / floor`` are returned for each
+    language and order, whatever the corpus; counts of counts and context sums are
+    taken before that. Rows travel as packed numbers to spare the driver's memory.
     """
-    t = grams.select("lang", "code", F.col("n").alias("c"), F.col("n").alias("f"))
-    parts, total = [], t.groupBy("lang").agg(F.sum("f").alias("total"))
-    for order in range(ORDER, 0, -1):
-        if order < ORDER:
-            t = t.groupBy("lang", F.col("code").bitwiseAND((1 << 12 * order) - 1).alias("code")).agg(
-                F.count(F.lit(1)).alias("c"), F.sum("f").alias("f")
-            )
-        one = [F.sum((F.col("c") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)]
-        parts.append(t.select(F.lit("g").alias("kind"), F.lit(order).alias("o"), "lang", "code", "c", "f", *[F.lit(0).cast("long").alias(f"n{i}") for i in (1, 2, 3, 4)]))
-        parts.append(
-            t.groupBy("lang", F.shiftright("code", 12).alias("code"))
-            .agg(F.sum("c").alias("c"), F.sum("f").alias("f"), *one[:2], F.sum((F.col("c") >= 3).cast("long")).alias("n3"), F.lit(0).cast("long").alias("n4"))
-            .select(F.lit("h").alias("kind"), F.lit(order).alias("o"), "lang", "code", "c", "f", "n1", "n2", "n3", "n4")
-        )
-        parts.append(
-            t.groupBy("lang").agg(F.sum("f").alias("f"), *one)
-            .select(F.lit("d").alias("kind"), F.lit(order).alias("o"), "lang", F.lit(0).cast("long").alias("code"), F.lit(0).cast("long").alias("c"), "f", "n1", "n2", "n3", "n4")
-        )
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    kept = every.join(F.broadcast(total), "lang").filter((F.col("kind") == "d") | (F.col("o") == 1) | (F.col("f") >= floor * F.col("total")))
-    pdf = kept.drop("total").toPandas()
-    return {k: x for k, x in pdf.groupby(["lang", "kind", "o"], sort=False)}
+    total = grams.groupBy("lang").agg(F.sum("n").alias("total")).collect()
+    langs = sorted(r.lang for r in total)
+    if not langs:
+        return {}
+    index = F.create_map(*[F.lit(x) for i, l in enumerate(langs) for x in (l, i)])
+    least = F.create_map(*[F.lit(x) for r in total for x in (langs.index(r.lang), float(floor * r.total))])
+    t = grams.select(index[F.col("lang")].alias("l"), "code", F.col("n").alias("c"), F.col("n").alias("f"))
+    one = [F.sum((F.col("c") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)]
+    gs, hs, ds = [], [], []
+    for o in range(ORDER, 0, -1):
+        if o < ORDER:
+            t = t.groupBy("l", F.col("code").bitwiseAND((1 << 12 * o) - 1).alias("code")).agg(F.count(F.lit(1)).alias("c"), F.sum("f").alias("f"))
+        often = F.lit(True) if o == 1 else F.col("f") >= least[F.col("l")]
+        order = F.lit(o).alias("o")
+        h = t.groupBy("l", F.shiftright("code", 12).alias("code")).agg(F.sum("c").alias("c"), F.sum("f").alias("f"), *one[:2], F.sum((F.col("c") >= 3).cast("long")).alias("n3"))
+        gs.append(t.filter(often).select(order, "l", "code", "c"))
+        hs.append(h.filter(often).select(order, "l", "code", "c", "n1", "n2", "n3"))
+        ds.append(t.groupBy("l").agg(*one).select(order, "l", "n1", "n2", "n3", "n4"))
+    out = {}
+    for kind, parts in (("g", gs), ("h", hs), ("d", ds)):
+        every = parts[0]
+        for part in parts[1:]:
+            every = every.unionByName(part)
+        got = {n: c.to_numpy() for n, c in zip(every.columns, every.toArrow().columns)}
+        group = got.pop("l") * (ORDER + 1) + got.pop("o")
+        by = np.lexsort((got["code"], group)) if "code" in got else np.argsort(group)
+        cut = np.searchsorted(group[by], np.arange(len(langs) * (ORDER + 1) + 1))
+        for l, lang in enumerate(langs):
+            for o in range(1, ORDER + 1):
+                at = by[cut[l * (ORDER + 1) + o] : cut[l * (ORDER + 1) + o + 1]]
+                out[lang, kind, o] = {n: c[at] for n, c in got.items()}
+        del got, group, by
+    return out
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -135,12 +146,11 @@ def build(grams: DataFrame, floor: float) -> dict[str, list]:
         lower_k = lower_p = None
         model: list = []
         for o in range(1, ORDER + 1):
-            d = t[lang, "d", o].iloc[0]
-            D = np.array([0.0, *discounts(d.n1, d.n2, d.n3, d.n4)])
-            g, h = t[lang, "g", o].sort_values("code"), t[lang, "h", o].sort_values("code")
-            gk, hk = g.code.to_numpy().astype(np.uint64), h.code.to_numpy().astype(np.uint64)
-            c, den = g.c.to_numpy(float), h.c.to_numpy(float)
-            gamma = (D[1] * h.n1.to_numpy() + D[2] * h.n2.to_numpy() + D[3] * h.n3.to_numpy()) / den
+            g, h, d = (t.pop((lang, kind, o)) for kind in "ghd")
+            D = np.array([0.0, *discounts(*(int(d[f"n{i}"][0]) for i in (1, 2, 3, 4)))])
+            gk, hk = g["code"].astype(np.uint64), h["code"].astype(np.uint64)
+            c, den = g["c"].astype(float), h["c"].astype(float)
+            gamma = (D[1] * h["n1"] + D[2] * h["n2"] + D[3] * h["n3"]) / den
             ctx = _at(hk, gk >> np.uint64(12))
             if o == 1:
                 uniform = 1.0 / (len(gk) + 1)
