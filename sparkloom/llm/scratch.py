@@ -93,7 +93,7 @@ def append(df: DataFrame, run, **kinds: str) -> DataFrame:
     plain = df.toDF(*[f"c{i}" for i in range(len(names))])
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in plain.schema.fields])
     for i, t in enumerate(kinds.values()):
-        schema = schema.add(f"x{i}", t)
+        schema = schema.add(T.StructType.fromDDL(f"x{i} {t}").fields[0])
     every = schema.fieldNames()
 
     def go(batches):
