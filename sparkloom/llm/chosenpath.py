@@ -2,11 +2,15 @@
 
 Every text is the set of its word 3-grams. Sets are embedded in ``HASHES`` min-hash
 coordinates; a node of the recursion splits its sets on coordinates that its path
-chooses, so that sets which share a sampled token meet again. Nodes of at most
-``bucket`` sets are compared by brute force; larger ones are split further, and those
+chooses, so that sets which share a sampled token meet again. In a node of more than
+``bucket`` sets, those close to a seeded pivot are linked to it and the others are
+split further; nodes of at most ``bucket`` sets are compared by brute force, and those
 that are still larger at the last level are compared block against block, so that no
-case is left out. Independent runs are repeated until the target recall. Candidates
-are then verified on the exact sets.
+case is left out. Independent runs are repeated until the target recall.
+
+A node yields links that connect its similar sets, not all their pairs, so that what is
+shuffled grows with the sets. The exact sets of every connected group are then compared
+with each other in blocks.
 """
 
 from __future__ import annotations
@@ -32,8 +36,9 @@ class Join:
     """``threshold``: least Jaccard similarity; ``n``: words a gram; ``recall``: target
     for pairs at the threshold (those above it are found more surely); ``bucket``: sets
     that are compared by brute force; ``depth``: levels of splitting at most; ``slack``:
-    a pair is verified if its min-hash estimate is above the threshold less this, three
-    standard errors at the default."""
+    sets are linked if their min-hash estimate is above the threshold less this, three
+    standard errors at the default; ``sure``: an estimate this much above the threshold
+    is taken as a sure link; ``block``: exact sets compared at a time."""
 
     threshold: float = 0.5
     n: int = 3
@@ -41,6 +46,8 @@ class Join:
     bucket: int = 64
     depth: int = 6
     slack: float = 0.19
+    sure: float = 0.1
+    block: int = 512
     seed: int = 1
 
     @property
@@ -132,8 +139,29 @@ def _expand(df: DataFrame, p: Join, root: bool) -> DataFrame:
     return df.mapInArrow(run, "node long, sid long")
 
 
+def _links(i: np.ndarray, j: np.ndarray, est: np.ndarray, size: int, p: Join) -> list[int]:
+    """Which of a node's pairs (i < j, estimates above the slack) to keep: a forest of the
+    sure ones, each set with its first sure partner where that suffices, and all unsure
+    ones between different trees."""
+    root = list(range(size))
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    keep, sure = [], est >= (p.threshold + p.sure) * HASHES
+    for e in np.flatnonzero(sure).tolist():
+        a, b = top(int(i[e])), top(int(j[e]))
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            keep.append(e)
+    return keep + [e for e in np.flatnonzero(~sure).tolist() if top(int(i[e])) != top(int(j[e]))]
+
+
 def _compare(groups: DataFrame, p: Join) -> DataFrame:
-    """Pairs of each group's sets whose estimate reaches the threshold less the slack.
+    """Links ``(a, b)``, ``a < b``, between the similar sets of each group.
 
     A group holds one block of a node (all pairs) or two (pairs across)."""
 
@@ -147,31 +175,56 @@ def _compare(groups: DataFrame, p: Join) -> DataFrame:
             blk = flat.field("blk").to_numpy(zero_copy_only=False)
             if not len(sid):
                 continue
-            sig = _sigs(flat.field("sig"))
+            group = np.repeat(np.arange(len(off) - 1), np.diff(off))
+            order = np.lexsort((sid, group))  # equal partners first in every node
+            sid, blk, sig = sid[order], blk[order], _sigs(flat.field("sig"))[order]
             size = np.diff(off)
             across = np.minimum.reduceat(blk, off[:-1]) != np.maximum.reduceat(blk, off[:-1])
+            a, c = [], []
             for k in np.unique(size):
                 if k < 2:
                     continue
                 i, j = np.triu_indices(k, 1)
                 at = np.flatnonzero(size == k)
                 for part in np.array_split(at, max(1, len(at) * len(i) // 50_000)):
-                    a, c = (off[part][:, None] + i).ravel(), (off[part][:, None] + j).ravel()
-                    two = np.repeat(across[part], len(i))
-                    ok = (sid[a] != sid[c]) & (~two | (blk[a] != blk[c]))
-                    a, c = a[ok], c[ok]
-                    est = (sig[a] == sig[c]).sum(axis=1)
-                    ok = est >= (p.threshold - p.slack) * HASHES
-                    a, c = sid[a[ok]], sid[c[ok]]
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], ["a", "b"])
+                    x, y = (off[part][:, None] + i).ravel(), (off[part][:, None] + j).ravel()
+                    est = (sig[x] == sig[y]).sum(axis=1)
+                    ok = (est >= (p.threshold - p.slack) * HASHES) & (sid[x] != sid[y])
+                    ok &= ~np.repeat(across[part], len(i)) | (blk[x] != blk[y])
+                    if k == 2:
+                        a.append(sid[x[ok]]), c.append(sid[y[ok]])
+                        continue
+                    ok = ok.reshape(len(part), -1)
+                    est = est.reshape(len(part), -1)
+                    for g in np.flatnonzero(ok.any(axis=1)):
+                        e = np.flatnonzero(ok[g])
+                        e = e[_links(i[e], j[e], est[g, e], int(k), p)]
+                        a.append(sid[off[part[g]] + i[e]]), c.append(sid[off[part[g]] + j[e]])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(c))], ["a", "b"])
 
     return groups.mapInArrow(run, "a long, b long")
 
 
-def candidates(sets: DataFrame, p: Join) -> DataFrame:
-    """Distinct candidate pairs ``(a, b)`` of the distinct sets ``(sid, sig)``."""
-    active, found = _expand(sets, p, root=True), None
+def _pivoted(members: DataFrame, p: Join) -> DataFrame:
+    """``(node, sid, sig, pivot)`` of large nodes' sets, ``pivot`` null for those to be
+    split further and otherwise the node's pivot, of which the set is surely a copy."""
+    pivot = members.groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "sid").alias("h"), "sid", "sig")).alias("p"))
+    rows = members.join(pivot, "node").select("node", "sid", "sig", F.col("p.sid").alias("psid"), F.col("p.sig").alias("psig"))
+
+    def run(batches):
+        for b in batches:
+            sid, own = b.column("sid").to_numpy(zero_copy_only=False), b.column("psid").to_numpy(zero_copy_only=False)
+            if len(sid):
+                near = ((_sigs(b.column("sig")) == _sigs(b.column("psig"))).sum(axis=1) >= (p.threshold + p.sure) * HASHES) & (sid != own)
+                yield pa.RecordBatch.from_arrays([b.column("node"), b.column("sid"), b.column("sig"), pa.array(own, mask=~near)], ["node", "sid", "sig", "pivot"])
+
+    return rows.mapInArrow(run, "node long, sid long, sig binary, pivot long")
+
+
+def links(sets: DataFrame, p: Join) -> DataFrame:
+    """Distinct links ``(a, b)`` that connect the similar ones of the sets ``(sid, sig)``."""
+    active, found, out = _expand(sets, p, root=True), None, None
     for level in range(1, p.depth + 1):
         active = table(active, "nodes")
         sized = table(active.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
@@ -181,10 +234,13 @@ def candidates(sets: DataFrame, p: Join) -> DataFrame:
         found = ripe if found is None else found.unionByName(ripe)
         if last:
             break
-        active = _expand(members.filter(F.col("n") > p.bucket).select("node", "sid").join(sets, "sid").select("node", "sid", "sig"), p, root=False)
-    blocks = F.ceil(F.col("n") / F.lit(p.bucket)).cast("int")
+        large = members.filter(F.col("n") > p.bucket).select("node", "sid").join(sets, "sid")
+        large = table(_pivoted(large, p), "pivoted")
+        star = large.filter("pivot is not null").select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b"))
+        out = star if out is None else out.unionByName(star)
+        active = _expand(large.filter("pivot is null").select("node", "sid", "sig"), p, root=False)
     own = F.col("blk")
-    every = found.withColumn("nb", blocks).withColumn("blk", F.pmod(F.xxhash64("sid", "node"), F.col("nb")).cast("int"))
+    every = found.withColumn("nb", F.ceil(F.col("n") / F.lit(p.bucket)).cast("int")).withColumn("blk", F.pmod(F.xxhash64("sid", "node"), F.col("nb")).cast("int"))
     every = every.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     grouped = (
         every.join(sets, "sid")
@@ -192,7 +248,8 @@ def candidates(sets: DataFrame, p: Join) -> DataFrame:
         .agg(F.collect_list(F.struct("sid", "blk", "sig")).alias("m"))
         .select("m")
     )
-    return _compare(grouped, p).distinct()
+    compared = _compare(grouped, p)
+    return (compared if out is None else compared.unionByName(out)).distinct()
 
 
 def gram_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -215,19 +272,67 @@ def gram_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, sid long, grams array<long>")
 
 
-def similar(docs: DataFrame, p: Join = Join()) -> tuple[DataFrame, DataFrame]:
-    """``(members, pairs)``: ``(sid, doc_id)`` of every document, and ``(a, b, jaccard)``
-    of the similar pairs of distinct sets, ``a < b``."""
+def _linked(docs: DataFrame, p: Join) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(members, links, exact)``: ``(sid, doc_id)`` of every document, the links, and
+    ``(sid, grams)`` of every linked set."""
     sigs = table(signatures(docs, p.n), "signatures")
     sets = table(sigs.groupBy("sid").agg(F.first("sig").alias("sig"), F.min("doc_id").alias("rep")), "sets")
-    cand = table(candidates(sets.select("sid", "sig"), p), "candidates")
-    need = cand.select(F.col("a").alias("sid")).union(cand.select("b")).distinct().join(sets.select("sid", "rep"), "sid")
+    found = table(links(sets.select("sid", "sig"), p), "links")
+    need = found.select(F.col("a").alias("sid")).union(found.select("b")).distinct().join(sets.select("sid", "rep"), "sid")
     exact = gram_sets(docs.join(need.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), p.n)
-    exact = exact.groupBy("sid").agg(F.first("grams").alias("grams"))
-    one, two = exact.toDF("a", "ga"), exact.toDF("b", "gb")
-    both = F.size(F.array_intersect("ga", "gb"))
-    pairs = cand.join(one, "a").join(two, "b").select("a", "b", (both / (F.size("ga") + F.size("gb") - both)).alias("jaccard"))
-    return sigs.select("sid", "doc_id").distinct(), table(pairs.filter(F.col("jaccard") >= p.threshold), "pairs")
+    return sigs.select("sid", "doc_id").distinct(), found, table(exact.groupBy("sid").agg(F.first("grams").alias("grams")), "exact")
+
+
+def _jaccard(table_: pa.Table, p: Join) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(i, j, similarity)`` of the similar pairs of a group's sets, exactly."""
+    lists = table_["grams"].combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    size = np.diff(np.asarray(lists.offsets))
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(size)), size)
+    o = np.argsort(flat, kind="stable")
+    new = np.concatenate([[True], flat[o][1:] != flat[o][:-1]])
+    gram = np.empty(len(flat), np.int64)
+    gram[o] = np.cumsum(new) - 1
+    shared = np.bincount(gram) > 1
+    number = np.cumsum(shared) - 1
+    use = shared[gram]
+    row, gram = row[use], number[gram[use]]
+    both = np.zeros((len(size), len(size)), np.float32)
+    o = np.argsort(gram, kind="stable")
+    row, gram = row[o], gram[o]
+    for at in range(0, int(shared.sum()), 4096):
+        lo, hi = np.searchsorted(gram, [at, at + 4096])
+        m = np.zeros((len(size), 4096), np.float32)
+        m[row[lo:hi], gram[lo:hi] - at] = 1
+        both += m @ m.T
+    i, j = np.triu_indices(len(size), 1)
+    same = both[i, j].astype(np.int64)
+    jac = same / np.maximum(1, size[i] + size[j] - same)
+    ok = jac >= p.threshold
+    return i[ok], j[ok], jac[ok]
+
+
+def pairs_within(groups: DataFrame, exact: DataFrame, p: Join) -> DataFrame:
+    """``(a, b, jaccard)`` of all similar pairs within the groups ``(node, component)``.
+
+    A group of more than ``block`` sets is divided, and every two of its blocks meet in
+    one task."""
+    own = F.col("blk")
+    nb = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(p.block)).cast("int").alias("nb"))
+    g = groups.join(nb, "component").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    g = g.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    g = g.join(exact, g.node == exact.sid).select("component", F.least(own, F.col("other")).alias("i"), F.greatest(own, F.col("other")).alias("j"), "sid", "blk", "grams")
+
+    def run(t: pa.Table) -> pa.Table:
+        sid, blk = t["sid"].to_numpy(), t["blk"].to_numpy()
+        i, j, jac = _jaccard(t, p) if len(sid) > 1 else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        if t["i"][0].as_py() != t["j"][0].as_py():
+            across = blk[i] != blk[j]
+            i, j, jac = i[across], j[across], jac[across]
+        return pa.table({"a": np.minimum(sid[i], sid[j]), "b": np.maximum(sid[i], sid[j]), "jaccard": jac})
+
+    return g.groupBy("component", "i", "j").applyInArrow(run, "a long, b long, jaccard double")
 
 
 def join(docs: DataFrame, p: Join = Join()) -> DataFrame:
@@ -240,7 +345,8 @@ def join(docs: DataFrame, p: Join = Join()) -> DataFrame:
     than ``n`` words is the set of one gram. Rows that repeat an id and a text count
     once. An empty table gives an empty result.
     """
-    members, pairs = similar(pick(docs, doc_id="long", text="string"), p)
+    members, found, exact = _linked(pick(docs, doc_id="long", text="string"), p)
+    pairs = pairs_within(connected_components(found, "a", "b"), exact, p)
     lists = table(members.groupBy("sid").agg(F.array_sort(F.collect_set("doc_id")).alias("ids")), "members")
     copies = lists.filter(F.size("ids") > 1).select(F.slice("ids", 1, 1).alias("docs_a"), F.expr("slice(ids, 2, size(ids) - 1)").alias("docs_b"), F.lit(1.0).alias("jaccard"))
     near = pairs.join(lists.toDF("a", "ia"), "a").join(lists.toDF("b", "ib"), "b")
@@ -250,9 +356,13 @@ def join(docs: DataFrame, p: Join = Join()) -> DataFrame:
 
 
 def dropped(docs: DataFrame, p: Join = Join()) -> DataFrame:
-    """``doc_id`` of every document but the least of each group of (chained) similar ones."""
-    members, pairs = similar(docs, p)
-    groups = connected_components(pairs, "a", "b")
+    """``doc_id`` of every document but the least of each group that links of similar sets
+    connect. Links are verified on the exact sets; they are linear in number."""
+    members, found, exact = _linked(docs, p)
+    one, two = exact.toDF("a", "ga"), exact.toDF("b", "gb")
+    both = F.size(F.array_intersect("ga", "gb"))
+    sure = found.join(one, "a").join(two, "b").filter(both >= p.threshold * (F.size("ga") + F.size("gb") - both))
+    groups = connected_components(table(sure.select("a", "b"), "similar"), "a", "b")
     m = members.join(groups, members.sid == groups.node, "left").select(F.coalesce("component", "sid").alias("g"), "doc_id")
     least = m.groupBy("g").agg(F.min("doc_id").alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     return m.join(least, "g").filter("doc_id <> keep").select("doc_id").distinct()
