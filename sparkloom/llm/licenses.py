@@ -139,18 +139,18 @@ def find(texts: list[str], index: Index, p: Scan) -> list[tuple[int, str, float,
                 n, s, e = align(local, index.words[t], mid - lo, span)
                 if n >= p.cover * size and not any(s + lo < y and x < e + lo for x, y in found):
                     found.append((s + lo, e + lo))
-                    out.append((at + r, index.names[t], n / size, int(begin[a + s + lo]), int(end[a + e + lo - 1])))
+                    out.append((at + r, index.names[t], n, n / size, int(begin[a + s + lo]), int(end[a + e + lo - 1])))
     return _best(out)
 
 
-def _best(found: list[tuple[int, str, float, int, int]]) -> list[tuple[int, str, float, int, int]]:
-    """Of matches of one text that overlap, the one of the largest coverage, then the
-    longest, then the first by name."""
+def _best(found: list[tuple[int, str, int, float, int, int]]) -> list[tuple[int, str, float, int, int]]:
+    """Of matches of one text that overlap, the one of the largest coverage, then of the
+    most words, then the first by name."""
     kept: dict[int, list] = {}
-    for m in sorted(found, key=lambda m: (-m[2], m[3] - m[4], m[1])):
-        own = kept.setdefault(m[0], [])
-        if not any(m[3] < e and s < m[4] for _, _, _, s, e in own):
-            own.append(m)
+    for r, name, n, cover, s, e in sorted(found, key=lambda m: (-m[3], -m[2], m[1])):
+        own = kept.setdefault(r, [])
+        if not any(s < y and x < e for _, _, _, x, y in own):
+            own.append((r, name, cover, s, e))
     return [m for r in sorted(kept) for m in sorted(kept[r], key=lambda m: m[3])]
 
 
