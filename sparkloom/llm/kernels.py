@@ -154,19 +154,20 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
 
 
-def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(texts: list[str], stems: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
     """``(hash, row, start, end)`` of every word of every lower-cased text of the list.
 
     A word is a run of letters, digits and underscores, or one ideograph or kana; start
     and end are character positions in the text as given. Lower-casing that changes a
     text's length is done without (the text is then hashed as it is), so that positions
-    stay true.
+    stay true. For each length in ``stems`` follow the hashes of the words' first so
+    many characters, 0 for words that have no more.
     """
     low = [l if len(l := t.lower()) == len(t) else t for t in texts]
     cps = points("\n".join(low))
     if not len(cps):
         z = np.zeros(0, np.int64)
-        return z.astype(U), z, z, z
+        return (z.astype(U), z, z, z, *(z.astype(U) for _ in stems))
     off = np.concatenate([[0], np.cumsum(np.array([len(t) + 1 for t in low]))])
     kind = _classes()[cps]
     isw = kind > 0
@@ -184,7 +185,12 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     pre = np.concatenate([np.zeros(1, U), np.cumsum(c, dtype=U)])
     h = mix((pre[end] - pre[begin]) * down[begin])
     row = np.searchsorted(off, begin, side="right") - 1
-    return h, row, begin - off[row], end - off[row]
+    more = []
+    for n in stems:
+        x = mix((pre[np.minimum(begin + n, end)] - pre[begin]) * down[begin] + U(n))
+        x[end - begin <= n] = 0
+        more.append(x)
+    return (h, row, begin - off[row], end - off[row], *more)
 
 
 def grams(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

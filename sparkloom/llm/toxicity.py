@@ -1,8 +1,8 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
 Features are lexicon densities, second-person proximity, capitals, punctuation and
-obfuscation rates. The lexicon is learnt from labelled documents: words whose log odds
-of occurring in toxic ones are significantly high, beside a short general list.
+obfuscation rates. The lexicon is learnt from labelled documents: words and stems
+whose log odds of occurring in toxic ones are significantly high, beside a short general list.
 """
 
 from __future__ import annotations
@@ -20,7 +20,9 @@ from .scratch import append, pick, table
 
 GENERAL = "idiot idiots moron morons stupid loser losers scum trash pathetic worthless disgusting clown imbecile dumb ugly hate shut kill idiota imbécil estúpido basura dummkopf idiotin trottel abschaum müll imbécile crétin ordure connard".split()
 SECOND = "you your yours yourself u ur du dich dir dein deine deiner ihr euch sie tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros vuestro".split()
-NAMES = ("learnt", "learnt_share", "general", "general_share", "distinct", "near_you", "you_share", "least_gap", "caps", "caps_words", "exclaim", "punct", "leet", "leet_hits", "stretched", "spaced", "words")
+STEMS = (3, 5, 7)
+NAMES = ("learnt", "learnt_share", *(f"stem{n}{x}" for n in STEMS for x in ("", "_share")), "general", "general_share", "distinct", "near_you", "you_share", "least_gap", "caps", "caps_words", "exclaim", "punct", "leet", "leet_hits", "stretched", "spaced", "words")
+_C = NAMES.index("distinct")
 _LEET = str.maketrans("013457@$!", "oleastasi")
 
 
@@ -28,13 +30,15 @@ _LEET = str.maketrans("013457@$!", "oleastasi")
 class Toxic:
     """``sample``: labelled documents, in seeded order, from which lexicon and trees are
     learnt; ``held_out``: share of them that only calibrates; ``z``: least significance
-    of a learnt word, ``least``: documents it must occur in; ``near``: words between a
+    of a learnt word or stem, ``ratio``: least ratio of its rates in toxic and other
+    documents, ``least``: documents it must occur in; ``near``: words between a
     hit and a second person at most; ``cut``: probability from which a document is
     toxic; ``seed``: of the order."""
 
     sample: int = 8000
     held_out: float = 0.3
     z: float = 4.0
+    ratio: float = 6.0
     least: int = 4
     near: int = 5
     cut: float = 0.5
@@ -57,19 +61,20 @@ def features(texts: list[str], learnt: np.ndarray, p: Toxic) -> np.ndarray:
         return lexicon[np.minimum(np.searchsorted(lexicon, h), len(lexicon) - 1)] == h
 
     for at, part in K.chunks(texts):
-        h, row, _, _ = K.words(part)
+        h, row, _, _, *stems = K.words(part, STEMS)
         n = np.bincount(row, minlength=len(part)).astype(float)
         some = np.maximum(n, 1)
         hit, known, you = member(h, learnt), member(h, general), member(h, second)
         count = lambda m: np.bincount(row[m], minlength=len(part)).astype(float)
         rows = slice(at, at + len(part))
         both = hit | known
-        out[rows, 0], out[rows, 2] = count(hit), count(known)
-        out[rows, 1], out[rows, 3] = out[rows, 0] / some, out[rows, 2] / some
+        for k, m in enumerate((hit, *(member(x, learnt) for x in stems), known)):
+            out[rows, 2 * k] = count(m)
+            out[rows, 2 * k + 1] = out[rows, 2 * k] / some
         if both.any():
             key = np.unique((row[both].astype(np.uint64) << np.uint64(40)) | (h[both] >> np.uint64(24)))
-            out[rows, 4] = np.bincount((key >> np.uint64(40)).astype(np.int64), minlength=len(part))
-        out[rows, 6] = count(you) / some
+            out[rows, _C] = np.bincount((key >> np.uint64(40)).astype(np.int64), minlength=len(part))
+        out[rows, _C + 2] = count(you) / some
         gap = np.full(len(part), 50.0)
         where, yous = np.flatnonzero(both), np.flatnonzero(you)
         if len(where) and len(yous):
@@ -78,12 +83,12 @@ def features(texts: list[str], learnt: np.ndarray, p: Toxic) -> np.ndarray:
                 d = np.abs(yous[cand] - where).astype(float)
                 d[row[yous[cand]] != row[where]] = 50
                 np.minimum.at(gap, row[where], d)
-                np.add.at(out[rows, 5], row[where[d <= p.near]], 1)
-        out[rows, 7] = np.minimum(gap, 50)
+                np.add.at(out[rows, _C + 1], row[where[d <= p.near]], 1)
+        out[rows, _C + 3] = np.minimum(gap, 50)
         for i, t in enumerate(part, at):
             if t:
-                out[i, 8:16] = _surface(t, known_words=_KNOWN)
-        out[rows, 16] = np.log1p(n)
+                out[i, _C + 4 : _C + 12] = _surface(t, known_words=_KNOWN)
+        out[rows, -1] = np.log1p(n)
     return out
 
 
@@ -127,13 +132,15 @@ _ODD = np.array([ord(c) for c in "013457@$!*"], np.uint32)
 
 
 def _word_counts(docs: DataFrame) -> DataFrame:
-    """``(word, toxic, total)``: labelled documents in which each word occurs."""
+    """``(word, toxic, total)``: labelled documents in which each word or stem occurs."""
 
     def run(batches):
         for b in batches:
             texts, y = [t or "" for t in K.column(b, "text")], np.array(K.column(b, "y"), np.int64)
             for at, part in K.chunks(texts):
-                h, row, _, _ = K.words(part)
+                h, row, _, _, *stems = K.words(part, STEMS)
+                h, row = np.concatenate([h, *stems]), np.tile(row, 1 + len(STEMS))
+                h, row = h[h != 0], row[h != 0]
                 o = np.lexsort((h, row))
                 h, row = h[o], row[o]
                 new = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])]) if len(h) else np.zeros(0, bool)
@@ -160,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Toxic) -> tuple[gbt.Model, np.n
         return gbt.fit(np.zeros((0, len(NAMES))), np.zeros(0), p.boost), np.zeros(0, np.uint64)
     a, b = F.col("toxic") + 0.5, F.col("total") - F.col("toxic") + 0.5
     z = (F.log(a / (toxic + 1)) - F.log(b / (n - toxic + 1))) / F.sqrt(1 / a + 1 / b)
-    words = _word_counts(some).filter((F.col("toxic") >= p.least) & (z >= p.z) & (a / (toxic + 1) > 3 * b / (n - toxic + 1))).select("word").toArrow()["word"]
+    words = _word_counts(some).filter((F.col("toxic") >= p.least) & (z >= p.z) & (a / (toxic + 1) > p.ratio * b / (n - toxic + 1))).select("word").toArrow()["word"]
     learnt = np.sort(words.to_numpy().astype(np.uint64))
 
     def run(batches):
