@@ -50,13 +50,27 @@ def expand(c: Column | str, prefixes: dict[str, str]) -> Column:
     return F.coalesce(F.concat(F.element_at(_map(prefixes), prefix_of(c)), reference_of(c)), _c(c))
 
 
+def _trie(strings: list[str]) -> str:
+    """A regular expression for the longest of the strings that a text starts with, which
+    reads each character once however many strings there are."""
+    ends, by = "" in strings, {}
+    for x in strings:
+        if x:
+            by.setdefault(x[0], []).append(x[1:])
+    if not by:
+        return ""
+    rest = "|".join((c if c.isalnum() else "\\" + c) + _trie(tails) for c, tails in sorted(by.items()))
+    return f"(?:{rest})" + ("?" if ends else "") if ends or len(by) > 1 else rest
+
+
 def contract(c: Column | str, prefixes: dict[str, str], exact: dict[str, str] | None = None) -> Column:
-    """The CURIE of an IRI: an exact mapping first, then the longest IRI prefix, else the
-    input. The prefixes become one chain of comparisons, longest first."""
+    """The CURIE of an IRI: an exact mapping first, then the longest IRI prefix (of equal
+    ones the first by name), else the input."""
+    by_iri = {iri: p for p, iri in sorted(prefixes.items(), reverse=True) if iri}
     out = _c(c)
-    for p, iri in sorted(prefixes.items(), key=lambda kv: (len(kv[1]), kv[0])):
-        if iri:
-            out = F.when(_c(c).startswith(iri), F.concat(F.lit(p + ":"), F.substring(_c(c), len(iri) + 1, 1 << 30))).otherwise(out)
+    if by_iri:
+        head = F.regexp_extract(_c(c), "^" + _trie(list(by_iri)), 0)
+        out = F.coalesce(F.concat(F.element_at(_map(by_iri), head), F.lit(":"), F.substring(_c(c), F.length(head) + 1, F.length(_c(c)))), _c(c))
     return F.coalesce(F.element_at(_map(exact), _c(c)), out) if exact else out
 
 

@@ -340,7 +340,7 @@ def name_cases(spark, d):
 
 
 @query(
-    "select o_orderkey, list_aggregate(list_sort(list_distinct(list_filter(string_split(o_orderstatus || '|' || o_orderpriority || '|' || o_orderstatus || '|', '|'), x -> x <> ''))), 'string_agg', '|') as synonym, "
+    "select o_orderkey, list_aggregate(list_sort(list_distinct(list_filter(string_split(o_orderstatus || '|' || o_orderpriority || '|' || o_orderstatus || '|', '|'), lambda x: x <> ''))), 'string_agg', '|') as synonym, "
     "o_orderstatus || '|' || o_orderpriority || '|' || o_orderstatus as other from orders"
 )
 def sanitize_lists(spark, d):

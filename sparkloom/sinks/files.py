@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tarfile
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -162,17 +163,21 @@ def _literal(c: Column, kind: str | None = None) -> Column:
 XSD = {"boolean": "boolean", "bigint": "integer", "int": "integer", "double": "double", "float": "float"}
 
 
+def _line(subject: Column, pred: Column, px: dict[str, str], uri: bool, kind: str | None, v: Column) -> Column:
+    text = v.cast("string")
+    obj = F.when(is_curie(text) | is_iri(text), _uri(text, px)).otherwise(_literal(text)) if uri else _literal(text, kind)
+    return F.concat_ws(" ", subject, pred, obj, F.lit("."))
+
+
 def _property_lines(df: DataFrame, subject: Column, names: list[str], px: dict[str, str], uris: frozenset[str]) -> Column:
     """An array of N-Triples lines, one for each value of each property."""
     lines = []
     for n in names:
         t = df.schema[n].dataType
         pred = _uri(F.lit(f"biolink:{n}") if ":" not in n else F.lit(n), px)
-        def line(v, t=t, n=n, pred=pred):
-            text = v.cast("string")
-            obj = F.when(is_curie(text) | is_iri(text), _uri(text, px)).otherwise(_literal(text)) if n in uris else _literal(text, XSD.get((t.elementType if isinstance(t, T.ArrayType) else t).simpleString()))
-            return F.concat_ws(" ", subject, pred, obj, F.lit("."))
-        one = F.transform(F.filter(col(n), lambda x: x.isNotNull()), line) if isinstance(t, T.ArrayType) else F.when(col(n).isNotNull(), F.array(line(col(n))))
+        kind = XSD.get((t.elementType if isinstance(t, T.ArrayType) else t).simpleString())
+        line = partial(_line, subject, pred, px, n in uris, kind)
+        one = F.transform(F.filter(col(n), lambda x: x.isNotNull()), lambda v: line(v)) if isinstance(t, T.ArrayType) else F.when(col(n).isNotNull(), F.array(line(col(n))))
         lines.append(F.coalesce(one, F.array().cast("array<string>")))
     return F.flatten(F.array(*lines)) if lines else F.array().cast("array<string>")
 
