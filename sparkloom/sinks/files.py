@@ -150,7 +150,7 @@ def write_null(kg: KG) -> None:
 def _uri(c: Column, px: dict[str, str]) -> Column:
     full = expand(c, px)
     bad = r"[<>\"{}|^`\\\x00-\x20]"
-    plain = F.when(is_iri(full), full).otherwise(F.concat(F.lit("urn:x:"), F.url_encode(c)))
+    plain = F.when(is_iri(full) | full.startswith("urn:uuid:"), full).otherwise(F.concat(F.lit("urn:x:"), F.url_encode(c)))
     return F.concat(F.lit("<"), F.regexp_replace(plain, bad, "_"), F.lit(">"))
 
 
