@@ -53,6 +53,7 @@ SHAPES = (
     re.compile(r"\d{3}-\d{2}-\d{4}"),
     re.compile(r"(?=.*\d)(?=.*[a-f])[0-9a-f]{24,}", re.I),
     re.compile(r"(?=.*\d)(?=.*[a-z])[\w+/=-]{16,}", re.I),
+    re.compile(r"(?=.*\d)(?=.*[a-z])[\w+/=-]{8,15}", re.I),
     re.compile(r"(?:AKIA|ASIA|sk-|sk_|ghp_|gho_|xox|eyJ|AIza).{12,}"),
     re.compile(r"\w*(?:token|secret|passw\w*|pwd|key)\w*[=:].{6,}", re.I),
     re.compile(r"\d{1,2}(?:\.\d{1,2}){0,2}"),
@@ -136,7 +137,7 @@ def _value(r: random.Random, label: str) -> str:
         return r.choice((d(16), d(16), d(15), "-".join(d(4) for _ in range(4))))
     if label == "SSN":
         return f"{d(3)}-{d(2)}-{d(4)}"
-    return r.choice((hexes(40), hexes(32), hexes(64), mixed(24), mixed(36), "AKIA" + mixed(16).upper(), "sk-" + mixed(32), "ghp_" + mixed(36)))
+    return r.choice((hexes(40), hexes(32), hexes(64), mixed(9), mixed(10), mixed(12), mixed(14), mixed(24), mixed(36), "AKIA" + mixed(16).upper(), "sk-" + mixed(32), "ghp_" + mixed(36)))
 
 
 def _noise(r: random.Random) -> str:
@@ -154,12 +155,12 @@ def examples(p: Field) -> Iterable[tuple[str, list[tuple[int, int, int]]]]:
     for _ in range(p.sentences):
         text, gold, made = "", [], []
         for _ in range(r.randint(1, 7)):
-            text += " ".join(_word(r) for _ in range(r.randint(1, 6))) + r.choice((" ", " ", ", ", ".\n", " | "))
+            text += " ".join(_word(r) for _ in range(r.choice((0, 1, 2, 3, 4, 6)))) + r.choice((" ", " ", ", ", ".\n", " | "))
             x = r.random()
             if x < 0.4:
                 text += _noise(r) + r.choice((" ", ". ", ", ", "!! "))
                 continue
-            if made and x < 0.55:
+            if made and x < 0.65:
                 value, label = r.choice(made)
             else:
                 label = r.choice(LABELS[1:])
@@ -193,7 +194,7 @@ def train(p: Field) -> tuple[np.ndarray, np.ndarray]:
     N = np.zeros((2, len(y), L))  # labels of each node's neighbours, by kind of edge
     np.add.at(N, (kind, dst), Y[src])
     Z = np.concatenate([X, N[0], N[1]], axis=1)
-    prior = np.concatenate([np.zeros((FEATURES, L)), 0.3 * np.eye(L), 1.0 * np.eye(L)])
+    prior = np.concatenate([np.zeros((FEATURES, L)), 0.3 * np.eye(L), 2.0 * np.eye(L)])
     w, m = prior.copy(), np.zeros_like(prior)
     for step in range(400):
         q = Z @ w
