@@ -79,12 +79,14 @@ def features(texts: list[str], learnt: np.ndarray, p: Toxic) -> np.ndarray:
         where, yous = np.flatnonzero(both), np.flatnonzero(you)
         if len(where) and len(yous):
             right = np.searchsorted(yous, where)
+            least = np.full(len(where), 50.0)
             for cand in (np.maximum(right - 1, 0), np.minimum(right, len(yous) - 1)):
                 d = np.abs(yous[cand] - where).astype(float)
                 d[row[yous[cand]] != row[where]] = 50
-                np.minimum.at(gap, row[where], d)
-                np.add.at(out[rows, _C + 1], row[where[d <= p.near]], 1)
-        out[rows, _C + 3] = np.minimum(gap, 50)
+                least = np.minimum(least, d)
+            np.minimum.at(gap, row[where], least)
+            out[rows, _C + 1] = np.bincount(row[where[least <= p.near]], minlength=len(part))
+        out[rows, _C + 3] = np.where(n > 0, np.minimum(gap, 50), 0)
         for i, t in enumerate(part, at):
             if t:
                 out[i, _C + 4 : _C + 12] = _surface(t, known_words=_KNOWN)
