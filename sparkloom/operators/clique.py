@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions.catalog import Catalog, catalog
 from ..functions.curie import prefix_of
 from ..kg import KG
-from .components import connected_components
+from .components import connected_components, ensure_checkpoint_dir
 from .normalize import edge_key
 from .store import EDGE, last_values
 
@@ -56,8 +56,9 @@ def cliques(kg: KG, strict: bool = True, cat: Catalog | None = None) -> DataFram
     their component's category are expelled, and components are found again, since one
     that held two parts together may be gone.
     """
-    pairs = equivalences(kg)
-    comp = connected_components(pairs, "a", "b").toDF("id", "clique")
+    ensure_checkpoint_dir(kg.nodes.sparkSession)
+    pairs = equivalences(kg).checkpoint()
+    comp = connected_components(pairs, "a", "b").toDF("id", "clique").checkpoint()  # joined several times below
     if not strict or "category" not in kg.nodes.columns:
         return comp
     cat = cat or catalog()
@@ -69,7 +70,7 @@ def cliques(kg: KG, strict: bool = True, cat: Catalog | None = None) -> DataFram
     bad = member.join(kind, "clique").filter((F.size("valid") > 0) & ~F.arrays_overlap("valid", "line")).select(F.col("id").alias("x"))
     bad = bad.union(valid.filter(F.size("outside") > 0).select("id")).distinct()
     left = pairs.join(bad, F.col("a") == F.col("x"), "left_anti").join(bad, F.col("b") == F.col("x"), "left_anti")
-    return connected_components(left, "a", "b").toDF("id", "clique")
+    return connected_components(left, "a", "b").toDF("id", "clique").checkpoint()
 
 
 def leaders(kg: KG, comp: DataFrame, annotation: str = "clique_leader", priority: list[str] | None = None, by_category: dict[str, list[str]] | None = None) -> DataFrame:
@@ -110,7 +111,7 @@ def clique_merge(kg: KG, annotation: str = "clique_leader", priority: list[str]
     """
     comp = cliques(kg, strict)
     lead = leaders(kg, comp, annotation, priority, by_category)
-    who = comp.join(lead, "clique").select("id", "leader", "election_strategy")
+    who = comp.join(lead, "clique").select("id", "leader", "election_strategy").checkpoint()  # as many rows as equivalent nodes
     edges = kg.edges.filter((F.col("predicate") != SAME) | F.col("predicate").isNull())
     for end in ("subject", "object"):
         m = who.filter("id <> leader").select(F.col("id").alias("_from"), F.col("leader").alias("_to"))

@@ -19,7 +19,7 @@ def keyed(edges: DataFrame) -> DataFrame:
 
 def last_values(df: DataFrame, keys: tuple[str, ...], seq: str | Column) -> DataFrame:
     """One row a key: of every property the last value that is not null, in order of
-    ``seq``. A partial aggregation runs before the shuffle."""
+    ``seq``; of values with equal ``seq`` the largest. A partial aggregation runs before the shuffle."""
     order = F.col(seq) if isinstance(seq, str) else seq
     rest = [c for c in df.columns if c not in keys and c != seq]
     aggs = [F.max(F.when(col(c).isNotNull(), F.struct(order.alias("s"), col(c).alias("v")))).getField("v").alias(c) for c in rest]

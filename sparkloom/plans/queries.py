@@ -44,7 +44,7 @@ def kg_nodes(spark, d):
     return flat(nodes(spark, d), "category")
 
 
-@query("{W} select subject, predicate, object, subject || '-' || predicate || '-' || object as edge_key, arg_max(aks, seq) as aks, arg_max(quantity, seq) as quantity from e group by 1, 2, 3")
+@query("{W} select subject, predicate, object, subject || '-' || predicate || '-' || object as edge_key, max(aks) as aks, arg_max(quantity, seq * 1000 + quantity) as quantity from e group by 1, 2, 3")
 def kg_edges_dedup(spark, d):
     g = store.upsert(KG(nodes(spark, d).withColumn("seq", F.lit(0)), edges(spark, d)))
     return g.edges.select("subject", "predicate", "object", "edge_key", "aks", "quantity")
