@@ -6,6 +6,7 @@ from collections.abc import Collection
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from ..functions.catalog import DEFAULT_CATEGORY
 from ..kg import KG
@@ -35,7 +36,7 @@ def _duck_scan(spark: SparkSession, path: str, table: str, where: str, page: int
         n = c.execute(f'select coalesce(max(rowid), -1) + 1 from "{table}"').fetchone()[0]
         arrow = c.execute(f'select * from "{table}" limit 0').to_arrow_table()
         names = arrow.column_names
-    schema = spark.createDataFrame(arrow).schema.add("seq", "long")
+    schema = from_arrow_schema(arrow.schema).add("seq", "long")
     ranges = spark.range(0, max(1, -(-n // page)), numPartitions=max(1, min(-(-n // page), 10_000)))
 
     def read(batches):
