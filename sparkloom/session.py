@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -28,17 +30,27 @@ def build_session(app: str = "sparkloom", master: str | None = None, shuffle_par
     return b.getOrCreate()
 
 
+def _zipped() -> bytes:
+    root, out = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*")):
+            if p.suffix in {".py", ".json", ".csv", ".txt"}:
+                z.write(p, p.relative_to(root.parent))
+    return out.getvalue()
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Send the package's modules to the executors, once an application, so that Python
-    workers can import them where the package is not installed."""
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        root = Path(__file__).resolve().parent
-        target = Path(tempfile.mkdtemp(prefix="sparkloom-")) / "sparkloom_src.zip"
-        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-            for p in sorted(root.rglob("*")):
-                if p.suffix in {".py", ".json", ".csv", ".txt"}:
-                    z.write(p, p.relative_to(root.parent))
-        spark.sparkContext.addPyFile(str(target))
-        _shipped.add(app)
+    workers can import them where the package is not installed. The archive lies in the
+    shared folder that ``spark.checkpoint.dir`` names, or where it is unset in a local one."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sparkloom-")
+        path = f"{base.rstrip('/')}/sparkloom/{sc.applicationId}-{uuid.uuid4().hex}/sparkloom_src.zip"
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        out = p.getFileSystem(sc._jsc.hadoopConfiguration()).create(p, True)
+        out.write(bytearray(_zipped()))
+        out.close()
+        sc.addPyFile(path)
+        _shipped.add(sc.applicationId)
     return spark
