@@ -2,7 +2,8 @@
 
 Spark counts the 5-grams of every document by language; all lower orders follow from
 them as continuation counts, and the counts of counts set the three discounts of every
-order (Chen and Goodman 1999). Probabilities are stored in arrays sorted by hash.
+order (Chen and Goodman 1999). Probabilities are computed by joins and kept in arrays
+sorted by hash in files, which grow with the corpus and are mapped into memory.
 Documents whose log perplexity lies outside their language's band are rejected.
 """
 
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from . import shards
 from .scratch import append, col, fresh, pick, table
 
 ORDER = 5
@@ -28,14 +30,13 @@ class Bands:
     """Parameters of the rule.
 
     ``floor``: n-grams rarer than this share of their language's characters are left to
-    the lower orders, so that the model has at most ``1 / floor`` entries an order and
-    language at any size of the corpus. ``low`` and ``high``: width of the band below
+    the lower orders; by default none is. ``low`` and ``high``: width of the band below
     and above the language's median log perplexity, in standard deviations. The
     deviation of a text of n characters is that between the language's documents and
     the sampling error of n characters together, both estimated robustly.
     """
 
-    floor: float = 2e-7
+    floor: float = 0.0
     low: float = 5.0
     high: float = 5.0
 
@@ -81,49 +82,6 @@ def count_grams(docs: DataFrame, lang: str, text: str) -> DataFrame:
     return part.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
-def _tables(grams: DataFrame, floor: float) -> dict:
-    """``(language, kind, order)`` to arrays: counts of n-grams (``g``), sums of their
-    contexts (``h``) and counts of counts (``d``).
-
-    Rare entries are left out, so that at most ``1 / floor`` are returned for each
-    language and order, whatever the corpus; counts of counts and context sums are
-    taken before that. Rows travel as packed numbers to spare the driver's memory.
-    """
-    total = grams.groupBy("lang").agg(F.sum("n").alias("total")).collect()
-    langs = sorted(r.lang for r in total)
-    if not langs:
-        return {}
-    index = F.create_map(*[F.lit(x) for i, l in enumerate(langs) for x in (l, i)])
-    least = F.create_map(*[F.lit(x) for r in total for x in (langs.index(r.lang), float(floor * r.total))])
-    t = grams.select(index[F.col("lang")].alias("l"), "code", F.col("n").alias("c"), F.col("n").alias("f"))
-    one = [F.sum((F.col("c") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)]
-    gs, hs, ds = [], [], []
-    for o in range(ORDER, 0, -1):
-        if o < ORDER:
-            t = t.groupBy("l", F.col("code").bitwiseAND((1 << 12 * o) - 1).alias("code")).agg(F.count(F.lit(1)).alias("c"), F.sum("f").alias("f"))
-        often = F.lit(True) if o == 1 else F.col("f") >= least[F.col("l")]
-        order = F.lit(o).alias("o")
-        h = t.groupBy("l", F.shiftright("code", 12).alias("code")).agg(F.sum("c").alias("c"), F.sum("f").alias("f"), *one[:2], F.sum((F.col("c") >= 3).cast("long")).alias("n3"))
-        gs.append(t.filter(often).select(order, "l", "code", "c"))
-        hs.append(h.filter(often).select(order, "l", "code", "c", "n1", "n2", "n3"))
-        ds.append(t.groupBy("l").agg(*one).select(order, "l", "n1", "n2", "n3", "n4"))
-    out = {}
-    for kind, parts in (("g", gs), ("h", hs), ("d", ds)):
-        every = parts[0]
-        for part in parts[1:]:
-            every = every.unionByName(part)
-        got = {n: c.to_numpy() for n, c in zip(every.columns, every.toArrow().columns)}
-        group = got.pop("l") * (ORDER + 1) + got.pop("o")
-        by = np.lexsort((got["code"], group)) if "code" in got else np.argsort(group)
-        cut = np.searchsorted(group[by], np.arange(len(langs) * (ORDER + 1) + 1))
-        for l, lang in enumerate(langs):
-            for o in range(1, ORDER + 1):
-                at = by[cut[l * (ORDER + 1) + o] : cut[l * (ORDER + 1) + o + 1]]
-                out[lang, kind, o] = {n: c[at] for n, c in got.items()}
-        del got, group, by
-    return out
-
-
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     """Modified Kneser-Ney discounts; 0.5, 1, 1.5 where the counts of counts are too few."""
     if min(n1, n2, n3, n4) <= 0:
@@ -133,40 +91,61 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(v, 0.05), i - 0.05) for v, i in zip(d, (1, 2, 3)))
 
 
-def _at(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(sorted_keys, keys), max(0, len(sorted_keys) - 1))
-    return np.where(sorted_keys[at] == keys, at, -1)
-
-
-def build(grams: DataFrame, floor: float) -> dict[str, list]:
-    """Language to ``[log 1/V, (probabilities, context weights) of orders 1..5]``."""
-    t = _tables(grams, floor)
-    out = {}
-    for lang in {k[0] for k in t}:
-        lower_k = lower_p = None
-        model: list = []
-        for o in range(1, ORDER + 1):
-            g, h, d = (t.pop((lang, kind, o)) for kind in "ghd")
-            D = np.array([0.0, *discounts(*(int(d[f"n{i}"][0]) for i in (1, 2, 3, 4)))])
-            gk, hk = g["code"].astype(np.uint64), h["code"].astype(np.uint64)
-            c, den = g["c"].astype(float), h["c"].astype(float)
-            gamma = (D[1] * h["n1"] + D[2] * h["n2"] + D[3] * h["n3"]) / den
-            ctx = _at(hk, gk >> np.uint64(12))
-            if o == 1:
-                uniform = 1.0 / (len(gk) + 1)
-                low = np.full(len(gk), uniform)
-                model.append(float(np.log(uniform)))
-            else:
-                low = lower_p[_at(lower_k, gk & np.uint64((1 << 12 * (o - 1)) - 1))]
-            p = np.maximum(c - D[np.minimum(c, 3).astype(int)], 0) / den[ctx] + gamma[ctx] * low
-            model.append((K.HashArray(gk, np.log(p).astype(np.float32)), K.HashArray(hk, np.log(np.maximum(gamma, 1e-9)).astype(np.float32))))
-            lower_k, lower_p = gk, p
-        out[lang] = model
-    return out
+def build(grams: DataFrame, floor: float) -> tuple[str, dict[str, list]]:
+    """``(path, models)``: the folder of the probabilities and context weights of all
+    n-grams (see :class:`~sparkloom.llm.shards.Shards`), and by language ``[log 1/V, the
+    numbers of the two groups of orders 1..5]``.
+
+    The arrays grow with the corpus and are made on the executors, order by order; the
+    driver sees counts by language only.
+    """
+    total = {r.lang: r.total for r in grams.groupBy("lang").agg(F.sum("n").alias("total")).collect()}
+    langs = sorted(total)
+    if not langs:
+        return "", {}
+    spark = grams.sparkSession
+    index = F.create_map(*[F.lit(x) for i, l in enumerate(langs) for x in (l, i)])
+    t = grams.select(index[F.col("lang")].alias("l"), "code", F.col("n").alias("c"), F.col("n").alias("f"))
+    orders = {ORDER: t}
+    for o in range(ORDER - 1, 0, -1):
+        up = orders[o + 1].groupBy("l", F.col("code").bitwiseAND((1 << 12 * o) - 1).alias("code"))
+        orders[o] = table(up.agg(F.count(F.lit(1)).alias("c"), F.sum("f").alias("f")), "orders")
+    one = [F.sum((F.col("c") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)]
+    models: dict[str, list] = {l: [] for l in langs}
+    lower, every = None, None
+    for o in range(1, ORDER + 1):
+        t = orders[o]
+        counts = t.groupBy("l").agg(F.count(F.lit(1)).alias("size"), *one).collect()
+        d = spark.createDataFrame(
+            [(r.l, *map(float, discounts(r.n1, r.n2, r.n3, r.n4)), 1.0 / (r["size"] + 1), float(floor * total[langs[r.l]])) for r in counts],
+            "l int, d1 double, d2 double, d3 double, uniform double, least double",
+        )
+        h = t.groupBy("l", F.shiftright("code", 12).alias("ctx")).agg(F.sum("c").alias("den"), F.sum("f").alias("f"), *one[:2], F.sum((F.col("c") >= 3).cast("long")).alias("n3"))
+        gamma = (F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * F.col("n3")) / F.col("den")
+        h = table(h.join(F.broadcast(d), "l").select("l", "ctx", "den", "f", gamma.alias("gamma"), "d1", "d2", "d3", "uniform", "least"), "contexts")
+        g = t.withColumn("ctx", F.shiftright("code", 12)).join(h.drop("f"), ["l", "ctx"])
+        if lower is None:
+            g = g.withColumn("low", F.col("uniform"))
+            for r in counts:
+                models[langs[r.l]].append(-float(np.log(r["size"] + 1)))
+        else:
+            g = g.withColumn("suffix", F.col("code").bitwiseAND((1 << 12 * (o - 1)) - 1)).join(lower, ["l", "suffix"])
+        cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+        p = F.greatest(F.col("c") - cut, F.lit(0.0)) / F.col("den") + F.col("gamma") * F.col("low")
+        g = table(g.select("l", "code", "f", "least", p.alias("p")), "probabilities")
+        lower = g.select("l", F.col("code").alias("suffix"), F.col("p").alias("low"))
+        often = F.lit(True) if o == 1 else F.col("f") >= F.col("least")
+        for kind, part in enumerate((g.select("l", "code", "f", "least", F.log("p").alias("v")), h.select("l", F.col("ctx").alias("code"), "f", "least", F.log(F.greatest("gamma", F.lit(1e-9))).alias("v")))):
+            part = part.filter(often).select((F.col("l") * (2 * ORDER) + (2 * (o - 1) + kind)).alias("g"), "code", F.col("v").cast("float").alias("v"))
+            every = part if every is None else every.unionByName(part)
+    for i, l in enumerate(langs):
+        models[l] += [(i * 2 * ORDER + 2 * k, i * 2 * ORDER + 2 * k + 1) for k in range(ORDER)]
+    return shards.write(every, len(langs) * 2 * ORDER), models
 
 
 def log_probs(model: list, codes: np.ndarray) -> np.ndarray:
-    """Natural-log probability of the last symbol of every 5-gram."""
+    """Natural-log probability of the last symbol of every 5-gram. ``model`` has the
+    log of the uniform probability, and the arrays of each order."""
     out = np.zeros(len(codes), np.float32)
     todo = np.arange(len(codes))
     for o in range(ORDER, 0, -1):
@@ -184,14 +163,13 @@ def log_probs(model: list, codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def with_scores(docs: DataFrame, models: dict, lang: str, text: str, score: str, count: str) -> DataFrame:
+def with_scores(docs: DataFrame, built: tuple[str, dict], lang: str, text: str, score: str, count: str) -> DataFrame:
     """``docs`` with the mean log probability of a character and the number of characters."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(models)
+    path, models = built
     at_lang, at_text = docs.columns.index(lang), docs.columns.index(text)
 
     def run(b):
-        models = held.value
+        groups = shards.opened(path)
         langs = pa.compute.cast(b.column(at_lang), pa.string()).to_pylist()
         texts = pa.compute.cast(b.column(at_text), pa.string()).to_pylist()
         sums, n = np.zeros(len(texts)), np.array([len(t) if t else 0 for t in texts], np.int64)
@@ -201,8 +179,9 @@ def with_scores(docs: DataFrame, models: dict, lang: str, text: str, score: str,
                 by.setdefault(NONE if l is None else l, []).append(i)
         for l, ids in by.items():
             ids = np.array(ids)
+            model = [models[l][0], *((groups[a], groups[b]) for a, b in models[l][1:])]
             for cps, rows, lens in K.pieces([texts[i] for i in ids], ORDER - 1):
-                lp = log_probs(models[l], K.codes(cps, ORDER))
+                lp = log_probs(model, K.codes(cps, ORDER))
                 np.add.at(sums, ids[rows], K.segment_sum(lp, K.starts(lens, ORDER - 1), lens))
         return [pa.array(sums / np.maximum(n, 1), mask=n == 0), pa.array(n)]
 
@@ -229,8 +208,8 @@ def judged(docs: DataFrame, lang: str = "lang", text: str = "text", p: Bands = B
     An empty table gives an empty result.
     """
     score, count, lo, hi, keep, l1, l2, mid, wide, error = fresh(docs, "ppl", "n_scored", "ppl_low", "ppl_high", "keep", "l1", "l2", "mid", "wide", "error")
-    models = build(table(count_grams(docs, lang, text), "grams"), p.floor)
-    scored = table(with_scores(docs, models, lang, text, score, count), "scored")
+    built = build(table(count_grams(docs, lang, text), "grams"), p.floor)
+    scored = table(with_scores(docs, built, lang, text, score, count), "scored")
     b = bands(scored, lang, score, count).toDF(l2, mid, wide, error)
     dev = F.sqrt(F.col(wide) ** 2 + F.col(error) ** 2 / F.greatest(F.col(count), F.lit(1)))
     out = (

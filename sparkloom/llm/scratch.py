@@ -30,15 +30,16 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and return the reread table.
+def table(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder as Parquet, in a folder for each value of ``by``
+    if that is given, and return the reread table.
 
     Unlike an executor-local copy, the files outlive lost executors. They are removed
     when the driver's interpreter ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparkloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

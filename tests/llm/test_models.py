@@ -62,6 +62,16 @@ def test_perplexity_is_kneser_ney(spark):
         assert got[i].perplexity == pytest.approx(exp(-score(t)), rel=1e-4)
 
 
+def test_rare_grams_count_at_production_parameters(spark):
+    """In more than five million characters, what occurs once is scored by its own count."""
+    long = " ".join(prose(random.Random(10), 30) for _ in range(130))
+    texts = [long] * (5_300_000 // len(long)) + ["Zyqx vug kwopf, zyqx vug jamb."]
+    got = {x.doc_id: x.perplexity for x in quality.quality(frame(spark, rows(texts))).collect()}
+    score = kneser_ney(texts)
+    for i in (0, len(texts) - 1):
+        assert got[i] == pytest.approx(exp(-score(texts[i])), rel=1e-4)
+
+
 def test_bands_reject_junk_and_keep_prose(spark):
     r = random.Random(2)
     junk = ["".join(r.choice("zxqjkvw#%&@") for _ in range(300)) for _ in range(5)] + ["aaaa" * 100]
