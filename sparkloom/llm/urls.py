@@ -9,6 +9,7 @@ words themselves.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from . import gbt
 from . import kernels as K
+from . import shards
 from .scratch import append, pick, table
 
 BLOCKED = ("casino", "bets", "poker", "pills", "viagra", "porn", "xxx", "replica", "payday", "lottery", "spam")
@@ -26,7 +28,7 @@ NAMES = ("length", "host_length", "path_length", "depth", "params", "query_lengt
 @dataclass(frozen=True)
 class Urls:
     """``sample``: labelled addresses, in seeded order, at most, from which the trees are
-    learnt; ``held_out``: share of them that only calibrates; ``smooth``: pseudo-counts
+    learnt (suffixes are counted over all); ``held_out``: share of them that only calibrates; ``smooth``: pseudo-counts
     of a suffix's rate; ``cut``: probability from which an address is rejected."""
 
     sample: int = 50_000
@@ -86,34 +88,52 @@ def features(urls: list[str], rates: dict[str, tuple[float, float]], base: float
     return out
 
 
-def suffix_rates(urls: list[str], y: np.ndarray, p: Urls) -> tuple[dict[str, tuple[float, float]], float]:
-    """Smoothed rate of rejected addresses and their number, by suffix."""
-    base = float(y.mean()) if len(y) else 0.0
-    sums: dict[str, list[float]] = {}
-    for u, v in zip(urls, y):
-        two, last = suffixes(parts(u)[1])
-        for key in (two, "." + last):
-            s = sums.setdefault(key, [0.0, 0.0])
-            s[0] += v
-            s[1] += 1
-    return {k: ((a + p.smooth * base) / (n + p.smooth), n) for k, (a, n) in sums.items()}, base
-
-
-def train(urls: list[str], y: np.ndarray, p: Urls) -> tuple[gbt.Model, dict, float]:
-    """Suffix statistics of the fitted rows come from the other half of them, so that no
-    row sees its own label."""
-    rng = np.random.default_rng(p.seed)
-    group = rng.random(len(y))
-    fit_rows = np.flatnonzero(group >= p.held_out)
-    half = rng.random(len(fit_rows)) < 0.5
-    X = np.zeros((len(fit_rows), len(NAMES)))
-    for own in (half, ~half):
-        other = fit_rows[~own]
-        X[own] = features([urls[i] for i in fit_rows[own]], *suffix_rates([urls[i] for i in other], y[other], p))
-    rates, base = suffix_rates([urls[i] for i in fit_rows], y[fit_rows], p)
-    model = gbt.fit(X, y[fit_rows], p.boost)
-    rest = np.flatnonzero(group < p.held_out)
-    return gbt.calibrate(model, features([urls[i] for i in rest], rates, base), y[rest]), rates, base
+def _keys(url: str) -> tuple[tuple[str, int], ...]:
+    """The suffixes of an address as :func:`features` names them, with their 64-bit hashes."""
+    two, last = suffixes(parts(url)[1])
+    return tuple((k, int.from_bytes(blake2b(k.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)) for k in (two, "." + last))
+
+
+def suffix_counts(known: DataFrame) -> DataFrame:
+    """``(code, half, s, n)``: rejected and all labelled addresses by suffix, for each half
+    of the addresses."""
+
+    def run(batches):
+        for b in batches:
+            sums: dict[tuple[int, int], list[int]] = {}
+            for u, y, half in zip(K.column(b, "url"), K.column(b, "label"), K.column(b, "half")):
+                for _, code in _keys(u):
+                    s = sums.setdefault((code, half), [0, 0])
+                    s[0] += y
+                    s[1] += 1
+            rows = [(*k, *v) for k, v in sums.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["code", "half", "s", "n"])
+
+    return known.select("url", "label", "half").mapInArrow(run, "code long, half long, s long, n long").groupBy("code", "half").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+
+
+def _rate(s: float, n: float, base: float, p: Urls) -> tuple[float, float]:
+    """Smoothed rate of rejected addresses of a suffix, and their number."""
+    return (s + p.smooth * base) / (n + p.smooth), n
+
+
+def train(got: pa.Table, counts: DataFrame, bases: list[float], p: Urls) -> gbt.Model:
+    """Trees and calibration from the addresses ``url, label, half``. The statistics of
+    their suffixes come from the other half of all labelled ones, so that no row sees its
+    own label."""
+    urls, y, half = got["url"].to_pylist(), got["label"].to_numpy().astype(float), got["half"].to_numpy()
+    names = {code: k for u in urls for k, code in _keys(u)}
+    rates: list[dict] = [{}, {}]
+    if names:
+        asked = counts.sparkSession.createDataFrame([(c,) for c in names], "code long")
+        for r in counts.join(F.broadcast(asked), "code").collect():
+            rates[r.half][names[r.code]] = _rate(r.s, r.n, bases[r.half], p)
+    X = np.zeros((len(y), len(NAMES)))
+    for h in (0, 1):
+        own = np.flatnonzero(half == h)
+        X[own] = features([urls[i] for i in own], rates[1 - h], bases[1 - h])
+    out = np.random.default_rng(p.seed).random(len(y)) < p.held_out
+    return gbt.calibrate(gbt.fit(X[~out], y[~out], p.boost), X[out], y[out])
 
 
 def score(pages: DataFrame, labels: DataFrame | None = None, p: Urls = Urls()) -> DataFrame:
@@ -127,14 +147,29 @@ def score(pages: DataFrame, labels: DataFrame | None = None, p: Urls = Urls()) -
     d = pick(pages, page_id="long", url="string")
     known = d.select("url", blocked(F.col("url")).alias("label")) if labels is None else pick(labels, url="string", label="int")
     known = known.filter("label in (0, 1) and trim(url) <> ''").groupBy("url").agg(F.max("label").alias("label"))
-    got = table(known.orderBy(F.xxhash64(F.lit(p.seed), "url"), "url").limit(p.sample), "urls").toArrow().sort_by("url")
-    held = d.sparkSession.sparkContext.broadcast(train(got["url"].to_pylist(), got["label"].to_numpy().astype(float), p))
+    known = table(known.withColumn("half", F.pmod(F.xxhash64(F.lit(~p.seed), "url"), F.lit(2)).cast("int")), "urls")
+    counts = table(suffix_counts(known), "suffixes")
+    sums = {r.half: (r.s, r.n) for r in known.groupBy("half").agg(F.sum("label").alias("s"), F.count(F.lit(1)).alias("n")).collect()}
+    bases = [s / n if n else 0.0 for s, n in (sums.get(h, (0, 0)) for h in (0, 1))]
+    base = sum(s for s, _ in sums.values()) / max(1, sum(n for _, n in sums.values()))
+    got = known.orderBy(F.xxhash64(F.lit(p.seed), "url"), "url").limit(p.sample).toArrow().sort_by("url")
+    held = d.sparkSession.sparkContext.broadcast((train(got, counts, bases, p), base))
+    both = counts.groupBy("code").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    every = both.select("code", F.posexplode(F.array(F.col("s").cast("float"), F.col("n").cast("float"))).alias("g", "v"))
+    made = shards.write(every.select("g", "code", "v"), 2) if sums else ""
 
     def run(b):
-        model, rates, base = held.value
-        urls = b.column(1).to_pylist()
-        q = model.probability(features([u or "" for u in urls], rates, base))
-        q[[not (u or "").strip() for u in urls]] = 0
+        model, base = held.value
+        urls = [u or "" for u in b.column(1).to_pylist()]
+        names = {code: k for u in urls for k, code in _keys(u)}
+        rates = {}
+        if made:
+            s, n = shards.opened(made)
+            codes = np.array(list(names), np.int64).astype(np.uint64)
+            i, j = s.find(codes), n.find(codes)
+            rates = {k: _rate(float(s.v[x]), float(n.v[z]), base, p) for k, x, z in zip(names.values(), i, j) if x >= 0}
+        q = model.probability(features(urls, rates, base))
+        q[[not u.strip() for u in urls]] = 0
         return [pa.array(q), pa.array(q >= p.cut)]
 
     return append(d, run, unwanted="double", reject="boolean").select("page_id", "url", "unwanted", "reject")

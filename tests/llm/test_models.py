@@ -246,6 +246,15 @@ def test_urls_on_held_out_labels(spark):
     assert (X[at("depth")], X[at("params")], X[at("labels")], X[at("https")], X[at("port")], X[at("fragment")]) == (3, 2, 4, 1, 1, 1)
 
 
+def test_suffixes_are_counted_over_all_labels(spark):
+    """Most bad suffixes are in no sample; their addresses differ by nothing else."""
+    r = random.Random(14)
+    data = [(i, f"http://{r.choice(WORDS)}.{'bad' if i % 2 else 'fine'}{i % 400}.org/{r.randrange(10**6):06d}", i % 2) for i in range(16_000)]
+    pages = spark.createDataFrame([(i, u.replace("bad", "site").replace("fine", "site"), y) for i, u, y in data], "page_id long, url string, label int")
+    got = urls.score(pages.drop("label"), pages.filter("page_id < 14000").select("url", "label"), urls.Urls(sample=300)).join(pages, "page_id").filter("page_id >= 14000").collect()
+    assert sum(x.reject == bool(x.label) for x in got) >= 0.95 * len(got)
+
+
 def test_robust_deviation(spark):
     """The band's width: median absolute deviations, as computed directly."""
     r = random.Random(8)
