@@ -13,9 +13,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import gbt
 from . import kernels as K
+from . import shards
 from .scratch import append, pick, table
 
 GENERAL = "idiot idiots moron morons stupid loser losers scum trash pathetic worthless disgusting clown imbecile dumb ugly hate shut kill idiota imbécil estúpido basura dummkopf idiotin trottel abschaum müll imbécile crétin ordure connard".split()
@@ -28,9 +30,9 @@ _LEET = str.maketrans("013457@$!", "oleastasi")
 
 @dataclass(frozen=True)
 class Toxic:
-    """``sample``: labelled documents, in seeded order, from which lexicon and trees are
-    learnt; ``held_out``: share of them that only calibrates; ``z``: least significance
-    of a learnt word or stem, ``ratio``: least ratio of its rates in toxic and other
+    """``sample``: labelled documents, in seeded order, from which the trees are learnt
+    (the lexicon comes from all); ``held_out``: share of them that only calibrates;
+    ``z``: least significance of a learnt word or stem, ``ratio``: least ratio of its rates in toxic and other
     documents, ``least``: documents it must occur in; ``near``: words between a
     hit and a second person at most; ``cut``: probability from which a document is
     toxic; ``seed``: of the order."""
@@ -133,10 +135,33 @@ def _surface(t: str, known_words: frozenset) -> tuple:
 _ODD = np.array([ord(c) for c in "013457@$!*"], np.uint32)
 
 
+def _labelled(docs: DataFrame, made: str) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` has a label, with it as ``y``. Labels are
+    looked up in mapped files, so that texts aren't shuffled."""
+    at, schema = docs.columns.index("doc_id"), T.StructType([*docs.schema.fields, T.StructField("y", T.IntegerType())])
+    names = schema.fieldNames()
+
+    def run(batches):
+        (labels,) = shards.opened(made)
+        for b in batches:
+            got = labels.find(b.column(at).to_numpy(zero_copy_only=False).astype(np.uint64))
+            has = np.flatnonzero(got >= 0)
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(has)) for c in b.columns), pa.array(labels.v[got[has]].astype(np.int32))], names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def _word_counts(docs: DataFrame) -> DataFrame:
     """``(word, toxic, total)``: labelled documents in which each word or stem occurs."""
 
     def run(batches):
+        held: list[tuple] = []
+
+        def fold():
+            k, t, n = map(np.concatenate, zip(*held))
+            keys, total = K.tally(k, n)
+            held[:] = [(keys, np.bincount(np.searchsorted(keys, k), t, len(keys)).astype(np.int64), total)]
+
         for b in batches:
             texts, y = [t or "" for t in K.column(b, "text")], np.array(K.column(b, "y"), np.int64)
             for at, part in K.chunks(texts):
@@ -148,28 +173,38 @@ def _word_counts(docs: DataFrame) -> DataFrame:
                 new = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])]) if len(h) else np.zeros(0, bool)
                 h, t = h[new], y[at + row[new]]
                 keys, total = K.tally(h)
-                toxic = np.bincount(np.searchsorted(keys, h), t, len(keys)).astype(np.int64)
+                held.append((keys, np.bincount(np.searchsorted(keys, h), t, len(keys)).astype(np.int64), total))
+                if len(held) > 12:
+                    fold()
+        if held:
+            fold()
+            for at in range(0, len(held[0][0]), 200_000):
+                keys, toxic, total = (x[at : at + 200_000] for x in held[0])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(toxic), pa.array(total)], ["word", "toxic", "total"])
 
     return docs.mapInArrow(run, "word long, toxic long, total long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("total").alias("total"))
 
 
 def train(docs: DataFrame, labels: DataFrame, p: Toxic) -> tuple[gbt.Model, np.ndarray]:
-    """``(model, learnt lexicon)`` from at most ``sample`` labelled documents.
+    """``(model, learnt lexicon)``: trees and calibration from at most ``sample`` labelled
+    documents that have a text, the lexicon from all of them.
 
     Labels other than 0 and 1 are left out. Without labelled documents the model is
     constant and the lexicon empty.
     """
     known = pick(labels, doc_id="long", toxic="int").filter("toxic in (0, 1) and doc_id is not null")
-    order = F.xxhash64(F.lit(p.seed), "doc_id")
-    ids = known.groupBy("doc_id").agg(F.max("toxic").alias("y")).orderBy(order, "doc_id").limit(p.sample)
-    some = table(docs.filter("text is not null").join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text"), "labelled")
-    n, toxic = (x or 0 for x in some.agg(F.count(F.lit(1)), F.sum("y")).first())
+    known = table(known.groupBy("doc_id").agg(F.max("toxic").alias("y")), "labels")
+    if known.isEmpty():
+        return gbt.fit(np.zeros((0, len(NAMES))), np.zeros(0), p.boost), np.zeros(0, np.uint64)
+    made = shards.write(known.select(F.lit(0).alias("g"), F.col("doc_id").alias("code"), F.col("y").cast("float").alias("v")), 1)
+    texts = docs.filter("text is not null and doc_id is not null")
+    ids = table(_labelled(texts.select("doc_id"), made), "ids")
+    n, toxic = (x or 0 for x in ids.agg(F.count(F.lit(1)), F.sum("y")).first())
     if not n:
         return gbt.fit(np.zeros((0, len(NAMES))), np.zeros(0), p.boost), np.zeros(0, np.uint64)
     a, b = F.col("toxic") + 0.5, F.col("total") - F.col("toxic") + 0.5
     z = (F.log(a / (toxic + 1)) - F.log(b / (n - toxic + 1))) / F.sqrt(1 / a + 1 / b)
-    words = _word_counts(some).filter((F.col("toxic") >= p.least) & (z >= p.z) & (a / (toxic + 1) > p.ratio * b / (n - toxic + 1))).select("word").toArrow()["word"]
+    words = _word_counts(_labelled(texts.select("doc_id", "text"), made)).filter((F.col("toxic") >= p.least) & (z >= p.z) & (a / (toxic + 1) > p.ratio * b / (n - toxic + 1))).select("word").toArrow()["word"]
     learnt = np.sort(words.to_numpy().astype(np.uint64))
 
     def run(batches):
@@ -177,6 +212,9 @@ def train(docs: DataFrame, labels: DataFrame, p: Toxic) -> tuple[gbt.Model, np.n
             X = features([t or "" for t in K.column(b, "text")], learnt, p)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(list(X), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
+    order = F.xxhash64(F.lit(p.seed), "doc_id")
+    ids = ids.select("doc_id", "y").distinct().orderBy(order, "doc_id").limit(p.sample)
+    some = table(texts.join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text"), "labelled")
     got = some.mapInArrow(run, "doc_id long, y int, x array<double>").toArrow().sort_by("doc_id")
     X = np.array(got["x"].to_pylist()).reshape(-1, len(NAMES))
     y = got["y"].to_numpy().astype(float)

@@ -221,6 +221,16 @@ def test_toxicity_on_held_out_labels(spark):
     assert abs(mean - sum(r.toxic for r in scored) / len(scored)) < 0.03
 
 
+def test_lexicon_is_of_all_labelled_documents(spark):
+    r = random.Random(13)
+    toxic = [i % 4 == 0 for i in range(4000)]
+    texts = [prose(r, 20) + (" grumblefitz" if t and i < 320 else "") for i, t in enumerate(toxic)] + [None] * 500
+    labels = spark.createDataFrame([(i, int(i < 4000 and toxic[i])) for i in range(4500)], "doc_id long, toxic int")
+    p = toxicity.Toxic(sample=100)
+    _, learnt = toxicity.train(frame(spark, rows(texts)).select("doc_id", "text"), labels, p)
+    assert kernels.words(["grumblefitz"])[0][0] in learnt
+
+
 def test_toxic_features():
     learnt = np.sort(kernels.words(["grumble"])[0])
     X = toxicity.features(["You GRUMBLE, idiot!!", "a quiet river", "1d1ot", ""], learnt, toxicity.Toxic())
