@@ -66,13 +66,16 @@ FEATURES = 1 + len(SHAPES) + len(COUNTS) + 3 + len(CONTEXT)
 
 @dataclass(frozen=True)
 class Field:
-    """``rounds``: message-passing rounds; ``damping``: share of the old message kept;
+    """``rounds``: message-passing rounds at least; they go on until no message moves by
+    ``still``, or ``most`` rounds, since loops may never settle; ``damping``: share of the old message kept;
     ``sentences``: size of the generated training set; ``seed``: of the generator."""
 
     rounds: int = 8
     damping: float = 0.3
     sentences: int = 3000
     seed: int = 11
+    still: float = 1e-3
+    most: int = 500
 
 
 def nodes(text: str) -> tuple[list[tuple[int, int]], list[list[int]], list[int]]:
@@ -119,6 +122,27 @@ def edges(text: str, spans: list, numbers: list[int]) -> list[tuple[int, int, in
     return out
 
 
+def stars(texts: list[str], where: list[tuple[int, int, int, int]], unary: np.ndarray) -> tuple[list[tuple[int, int, int]], list[float]]:
+    """``(links, shares)`` of kind 1 between the occurrences of each repeated value of a
+    text and the one of them that is most surely no O, so that two hops join any two.
+    Each of n others has a share of 1/n in what that one hears, lest many occurrences
+    without context outvote the one that has it."""
+    groups: dict[tuple, list[int]] = {}
+    for k, (i, a, b, _) in enumerate(where):
+        s = texts[i][a:b].lower()
+        digits = re.sub(r"\D", "", s)
+        if len(s) >= 6:
+            by_digits = len(digits) >= 7 and not re.search(r"[^\W\d_]", s)
+            groups.setdefault((i, by_digits, digits if by_digits else s), []).append(k)
+    sure, links, shares = unary[:, 1:].max(axis=1) - unary[:, 0], [], []
+    for own in groups.values():
+        if len(own) > 1:
+            hub = max(own, key=lambda k: sure[k])
+            links += [(hub, k, 1) for k in own if k != hub]
+            shares += [1 / (len(own) - 1)] * (len(own) - 1)
+    return links, shares
+
+
 def _word(r: random.Random) -> str:
     return "".join(r.choice(("an", "th", "er", "ou", "ing", "re", "de", "la", "que", "sch", "ion")) for _ in range(r.randint(1, 4)))
 
@@ -212,8 +236,10 @@ def model(p: Field = Field()) -> tuple[np.ndarray, np.ndarray]:
     return train(p)
 
 
-def marginals(unary: np.ndarray, links: np.ndarray, pair: np.ndarray, p: Field) -> np.ndarray:
-    """Label marginals by loopy sum-product with flooding; exact where edges form trees."""
+def marginals(unary: np.ndarray, links: np.ndarray, pair: np.ndarray, p: Field, shares: np.ndarray | None = None) -> np.ndarray:
+    """Label marginals by loopy sum-product with flooding; exact where edges form trees.
+
+    ``shares``: weight of each link's message to its first node, 1 where not given."""
     if not len(links):
         b = np.exp(unary - unary.max(axis=1, keepdims=True))
         return b / b.sum(axis=1, keepdims=True)
@@ -223,14 +249,18 @@ def marginals(unary: np.ndarray, links: np.ndarray, pair: np.ndarray, p: Field)
     w = pair[np.concatenate([links[:, 2], links[:, 2]])]
     back = np.concatenate([np.arange(e, 2 * e), np.arange(e)])
     m = np.zeros((2 * e, unary.shape[1]))
-    for _ in range(p.rounds):
+    part = np.concatenate([np.ones(e), np.ones(e) if shares is None else shares])[:, None]
+    for k in range(max(p.rounds, p.most)):
         total = unary.copy()
         np.add.at(total, dst, m)
         cavity = (total[src] - m[back])[:, :, None] + w
         top = cavity.max(axis=1)
         new = top + np.log(np.exp(cavity - top[:, None, :]).sum(axis=1))
-        new -= new.max(axis=1, keepdims=True)
+        new = (new - new.max(axis=1, keepdims=True)) * part
+        moved = np.abs(new - m).max()
         m = p.damping * m + (1 - p.damping) * new
+        if k + 1 >= p.rounds and moved < p.still:
+            break
     total = unary.copy()
     np.add.at(total, dst, m)
     b = np.exp(total - total.max(axis=1, keepdims=True))
@@ -245,14 +275,16 @@ def find(texts: list[str | None], weights: tuple[np.ndarray, np.ndarray], p: Fie
         if not t or not HOT.search(t):
             continue
         spans, f, numbers = nodes(t)
-        links += [(len(feats) + u, len(feats) + v, k) for u, v, k in edges(t, spans, numbers)]
+        links += [(len(feats) + u, len(feats) + v, k) for u, v, k in edges(t, spans, numbers) if k == 0]
         feats += f
         where += [(i, a, b, n) for (a, b), n in zip(spans, numbers)]
     if not feats:
         return out
     w, pair = weights
     unary = np.stack([w[f].sum(axis=0) for f in feats])
-    label = marginals(unary, np.array(links, np.int64).reshape(-1, 3), pair, p).argmax(axis=1)
+    more, shares = stars(texts, where, unary)
+    every = np.array(links + more, np.int64).reshape(-1, 3)
+    label = marginals(unary, every, pair, p, np.array([1.0] * len(links) + shares)).argmax(axis=1)
     before = (-1, -9, 0)
     for (i, a, b, n), l in zip(where, label):
         if l:

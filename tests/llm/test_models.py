@@ -163,6 +163,16 @@ def test_distant_repeats_share_their_label():
     assert spans[1] == []
 
 
+@pytest.mark.parametrize("n", [5, 40])
+def test_many_repeats_share_their_label(n):
+    p = pii.Field()
+    value = "a7Kp2mQ9zX4c"
+    again = ("river stone " * 20 + f"again {value} here ") * n
+    for text in (f'the api_key = "{value}" was set. ' + again, again + f'the api_key = "{value}" was set.'):
+        assert [(text[a:b], l) for a, b, l in pii.find([text], pii.model(p), p)[0]] == [(value, "SECRET")] * (n + 1)
+    assert pii.find([again], pii.model(p), p) == [[]]
+
+
 def test_marginals_are_exact_on_trees():
     rng = np.random.default_rng(3)
     u, pair = rng.normal(size=(4, 3)), rng.normal(size=(2, 3, 3))
