@@ -229,6 +229,13 @@ def unfold_property(spark, d):
     return reshape.unfold_property(g, "provided_by", "biolink").edges.select("subject", "predicate", "object")
 
 
+@query("{W} select subject, predicate, object from e union all select id, 'biolink:provided_by', provided_by from n")
+def unfold_property_all_edges(spark, d):
+    g = graph(spark, d)
+    g = g.with_(edges=g.edges.select("subject", "predicate", "object"))
+    return reshape.unfold_property(g, "provided_by", "biolink").edges.select("subject", "predicate", "object")
+
+
 PRIORITY = ("1-URGENT", "2-HIGH")
 
 
@@ -418,6 +425,18 @@ def jsonl_roundtrip(spark, d):
     return flat(roundtrips.jsonl(spark, graph(spark, d)).nodes.select("id", "name", "category", "provided_by"), "category", "provided_by")
 
 
+@query(EDGE_TRIP)
+def tsv_edges_roundtrip(spark, d):
+    e = roundtrips.tsv(spark, graph(spark, d)).edges.select("subject", "predicate", "object", "aks")
+    return flat(e, "aks").distinct()
+
+
+@query(EDGE_TRIP)
+def jsonl_edges_roundtrip(spark, d):
+    e = roundtrips.jsonl(spark, graph(spark, d)).edges.select("subject", "predicate", "object", "aks")
+    return flat(e, "aks").distinct()
+
+
 @query("{W} select subject, predicate, object, aks, quantity::varchar as quantity, seq::varchar as seq from e")
 def parquet_roundtrip(spark, d):
     e = roundtrips.parquet(spark, graph(spark, d)).edges
