@@ -9,8 +9,9 @@ that are still larger at the last level are compared block against block, so tha
 case is left out. Independent runs are repeated until the target recall.
 
 A node yields links that connect its similar sets, not all their pairs, so that what is
-shuffled grows with the sets. The exact sets of every connected group are then compared
-with each other in blocks.
+shuffled grows with the sets. Links that rest on an unsure estimate are verified; the
+exact sets of every group that the others connect are then compared with each other in
+blocks, which yield a row a set, not a row a pair.
 """
 
 from __future__ import annotations
@@ -161,9 +162,10 @@ def _links(i: np.ndarray, j: np.ndarray, est: np.ndarray, size: int, p: Join) ->
 
 
 def _compare(groups: DataFrame, p: Join) -> DataFrame:
-    """Links ``(a, b)``, ``a < b``, between the similar sets of each group.
+    """Links ``(a, b, sure)``, ``a < b``, between the similar sets of each group.
 
     A group holds one block of a node (all pairs) or two (pairs across)."""
+    least = (p.threshold + p.sure) * HASHES
 
     def run(batches):
         for b in batches:
@@ -180,7 +182,7 @@ def _compare(groups: DataFrame, p: Join) -> DataFrame:
             sid, blk, sig = sid[order], blk[order], _sigs(flat.field("sig"))[order]
             size = np.diff(off)
             across = np.minimum.reduceat(blk, off[:-1]) != np.maximum.reduceat(blk, off[:-1])
-            a, c = [], []
+            a, c, sure = [], [], []
             for k in np.unique(size):
                 if k < 2:
                     continue
@@ -192,23 +194,24 @@ def _compare(groups: DataFrame, p: Join) -> DataFrame:
                     ok = (est >= (p.threshold - p.slack) * HASHES) & (sid[x] != sid[y])
                     ok &= ~np.repeat(across[part], len(i)) | (blk[x] != blk[y])
                     if k == 2:
-                        a.append(sid[x[ok]]), c.append(sid[y[ok]])
+                        a.append(sid[x[ok]]), c.append(sid[y[ok]]), sure.append(est[ok] >= least)
                         continue
                     ok = ok.reshape(len(part), -1)
                     est = est.reshape(len(part), -1)
                     for g in np.flatnonzero(ok.any(axis=1)):
                         e = np.flatnonzero(ok[g])
                         e = e[_links(i[e], j[e], est[g, e], int(k), p)]
-                        a.append(sid[off[part[g]] + i[e]]), c.append(sid[off[part[g]] + j[e]])
+                        a.append(sid[off[part[g]] + i[e]]), c.append(sid[off[part[g]] + j[e]]), sure.append(est[g, e] >= least)
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(c))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, c, sure)], ["a", "b", "sure"])
 
-    return groups.mapInArrow(run, "a long, b long")
+    return groups.mapInArrow(run, "a long, b long, sure boolean")
 
 
 def _pivoted(members: DataFrame, p: Join) -> DataFrame:
-    """``(node, sid, sig, pivot)`` of large nodes' sets, ``pivot`` null for those to be
-    split further and otherwise the node's pivot, of which the set is surely a copy."""
+    """``(node, sid, sig, pivot, copy)`` of large nodes' sets: ``pivot`` is the node's
+    pivot where the set is perhaps similar to it, ``copy`` is true where it surely is, so
+    that the set need not be split further."""
     pivot = members.groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "sid").alias("h"), "sid", "sig")).alias("p"))
     rows = members.join(pivot, "node").select("node", "sid", "sig", F.col("p.sid").alias("psid"), F.col("p.sig").alias("psig"))
 
@@ -216,14 +219,19 @@ def _pivoted(members: DataFrame, p: Join) -> DataFrame:
         for b in batches:
             sid, own = b.column("sid").to_numpy(zero_copy_only=False), b.column("psid").to_numpy(zero_copy_only=False)
             if len(sid):
-                near = ((_sigs(b.column("sig")) == _sigs(b.column("psig"))).sum(axis=1) >= (p.threshold + p.sure) * HASHES) & (sid != own)
-                yield pa.RecordBatch.from_arrays([b.column("node"), b.column("sid"), b.column("sig"), pa.array(own, mask=~near)], ["node", "sid", "sig", "pivot"])
+                est = (_sigs(b.column("sig")) == _sigs(b.column("psig"))).sum(axis=1)
+                near = (est >= (p.threshold - p.slack) * HASHES) & (sid != own)
+                copy = (est >= (p.threshold + p.sure) * HASHES) & near
+                yield pa.RecordBatch.from_arrays([b.column("node"), b.column("sid"), b.column("sig"), pa.array(own, mask=~near), pa.array(copy)], ["node", "sid", "sig", "pivot", "copy"])
 
-    return rows.mapInArrow(run, "node long, sid long, sig binary, pivot long")
+    return rows.mapInArrow(run, "node long, sid long, sig binary, pivot long, copy boolean")
 
 
 def links(sets: DataFrame, p: Join) -> DataFrame:
-    """Distinct links ``(a, b)`` that connect the similar ones of the sets ``(sid, sig)``."""
+    """Links ``(a, b, sure)`` that connect the similar ones of the sets ``(sid, sig)``.
+
+    Those to a pivot are sure also where the estimate is not: a set that was not split
+    for being like the pivot may be similar to one that is less so."""
     active, found, out = _expand(sets, p, root=True), None, None
     for level in range(1, p.depth + 1):
         active = table(active, "nodes")
@@ -236,9 +244,9 @@ def links(sets: DataFrame, p: Join) -> DataFrame:
             break
         large = members.filter(F.col("n") > p.bucket).select("node", "sid").join(sets, "sid")
         large = table(_pivoted(large, p), "pivoted")
-        star = large.filter("pivot is not null").select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b"))
+        star = large.filter("pivot is not null").select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b"), F.lit(True).alias("sure"))
         out = star if out is None else out.unionByName(star)
-        active = _expand(large.filter("pivot is null").select("node", "sid", "sig"), p, root=False)
+        active = _expand(large.filter("not copy").select("node", "sid", "sig"), p, root=False)
     own = F.col("blk")
     every = found.withColumn("nb", F.ceil(F.col("n") / F.lit(p.bucket)).cast("int")).withColumn("blk", F.pmod(F.xxhash64("sid", "node"), F.col("nb")).cast("int"))
     every = every.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
@@ -249,7 +257,7 @@ def links(sets: DataFrame, p: Join) -> DataFrame:
         .select("m")
     )
     compared = _compare(grouped, p)
-    return (compared if out is None else compared.unionByName(out)).distinct()
+    return (compared if out is None else compared.unionByName(out)).groupBy("a", "b").agg(F.bool_or("sure").alias("sure"))
 
 
 def gram_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -272,17 +280,6 @@ def gram_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, sid long, grams array<long>")
 
 
-def _linked(docs: DataFrame, p: Join) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(members, links, exact)``: ``(sid, doc_id)`` of every document, the links, and
-    ``(sid, grams)`` of every linked set."""
-    sigs = table(signatures(docs, p.n), "signatures")
-    sets = table(sigs.groupBy("sid").agg(F.first("sig").alias("sig"), F.min("doc_id").alias("rep")), "sets")
-    found = table(links(sets.select("sid", "sig"), p), "links")
-    need = found.select(F.col("a").alias("sid")).union(found.select("b")).distinct().join(sets.select("sid", "rep"), "sid")
-    exact = gram_sets(docs.join(need.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), p.n)
-    return sigs.select("sid", "doc_id").distinct(), found, table(exact.groupBy("sid").agg(F.first("grams").alias("grams")), "exact")
-
-
 def _jaccard(table_: pa.Table, p: Join) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(i, j, similarity)`` of the similar pairs of a group's sets, exactly."""
     lists = table_["grams"].combine_chunks()
@@ -313,66 +310,109 @@ def _jaccard(table_: pa.Table, p: Join) -> tuple[np.ndarray, np.ndarray, np.ndar
     return i[ok], j[ok], jac[ok]
 
 
-def pairs_within(groups: DataFrame, exact: DataFrame, p: Join) -> DataFrame:
-    """``(a, b, jaccard)`` of all similar pairs within the groups ``(node, component)``.
+def _labels(i: np.ndarray, j: np.ndarray, size: int) -> np.ndarray:
+    """The least member of the connected group of each of ``size`` sets with pairs (i, j)."""
+    label = np.arange(size)
+    while True:
+        low, new = np.minimum(label[i], label[j]), label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def similar(groups: DataFrame, exact: DataFrame, p: Join) -> DataFrame:
+    """``(a, b, n, best)`` from all similar pairs within the groups ``(node, component)``.
 
     A group of more than ``block`` sets is divided, and every two of its blocks meet in
-    one task."""
+    one task, which yields a row for each set ``a`` that has a pair there: the set ``b``
+    that stands for the ones that its pairs connect, the documents ``n`` of its partners
+    and the greatest similarity. Rows thus follow sets and blocks, not pairs."""
     own = F.col("blk")
     nb = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(p.block)).cast("int").alias("nb"))
     g = groups.join(nb, "component").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     g = g.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    g = g.join(exact, g.node == exact.sid).select("component", F.least(own, F.col("other")).alias("i"), F.greatest(own, F.col("other")).alias("j"), "sid", "blk", "grams")
+    g = g.join(exact, g.node == exact.sid).select("component", F.least(own, F.col("other")).alias("i"), F.greatest(own, F.col("other")).alias("j"), "sid", "blk", "copies", "grams")
 
     def run(t: pa.Table) -> pa.Table:
-        sid, blk = t["sid"].to_numpy(), t["blk"].to_numpy()
+        sid, blk, copies = (t[c].to_numpy() for c in ("sid", "blk", "copies"))
         i, j, jac = _jaccard(t, p) if len(sid) > 1 else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
         if t["i"][0].as_py() != t["j"][0].as_py():
             across = blk[i] != blk[j]
             i, j, jac = i[across], j[across], jac[across]
-        return pa.table({"a": np.minimum(sid[i], sid[j]), "b": np.maximum(sid[i], sid[j]), "jaccard": jac})
+        n, best = np.zeros(len(sid), np.int64), np.zeros(len(sid))
+        for x, y in ((i, j), (j, i)):
+            np.add.at(n, x, copies[y])
+            np.maximum.at(best, x, jac)
+        some = np.flatnonzero(n)
+        return pa.table({"a": sid[some], "b": sid[_labels(i, j, len(sid))[some]], "n": n[some], "best": best[some]})
 
-    return g.groupBy("component", "i", "j").applyInArrow(run, "a long, b long, jaccard double")
+    return g.groupBy("component", "i", "j").applyInArrow(run, "a long, b long, n long, best double")
 
 
 def join(docs: DataFrame, p: Join = Join()) -> DataFrame:
-    """``docs_a, docs_b, jaccard``: the self-join of the documents.
-
-    One row for each similar pair of distinct word sequences, with the sorted ids of all
-    documents that have them, and one for each sequence that several documents have
-    (its least id, the other ids, 1.0), so that copies cost their number and not its
-    square. Texts without words and rows without an id are in no row; a text of fewer
-    than ``n`` words is the set of one gram. Rows that repeat an id and a text count
-    once. An empty table gives an empty result.
+    """``doc_id, class_id, links, jaccard``: the self-join of the documents, a row each.
+
+    ``links`` is the number of other documents that are similar to the document (copies
+    among them), ``jaccard`` the greatest of those similarities (null where there is
+    none); ``class_id`` is the least id of the documents that links connect with it, its
+    own where there are none. Texts without words are similar to none; a text of fewer
+    than ``n`` words is the set of one gram. Rows without an id are left out; rows that
+    repeat an id and a text count once, an id with several texts has a row for each.
+    Texts are read wholly, other columns left aside. An empty table gives an empty result.
     """
-    members, found, exact = _linked(pick(docs, doc_id="long", text="string"), p)
-    pairs = pairs_within(connected_components(found, "a", "b"), exact, p)
-    lists = table(members.groupBy("sid").agg(F.array_sort(F.collect_set("doc_id")).alias("ids")), "members")
-    copies = lists.filter(F.size("ids") > 1).select(F.slice("ids", 1, 1).alias("docs_a"), F.expr("slice(ids, 2, size(ids) - 1)").alias("docs_b"), F.lit(1.0).alias("jaccard"))
-    near = pairs.join(lists.toDF("a", "ia"), "a").join(lists.toDF("b", "ib"), "b")
-    swap = F.element_at("ia", 1) <= F.element_at("ib", 1)
-    near = near.select(F.when(swap, F.col("ia")).otherwise(F.col("ib")).alias("docs_a"), F.when(swap, F.col("ib")).otherwise(F.col("ia")).alias("docs_b"), "jaccard")
-    return copies.unionByName(near)
-
-
-def dropped(docs: DataFrame, p: Join = Join()) -> DataFrame:
-    """``doc_id`` of every document but the least of each group that links of similar sets
-    connect. Links are verified on the exact sets; they are linear in number."""
-    members, found, exact = _linked(docs, p)
-    one, two = exact.toDF("a", "ga"), exact.toDF("b", "gb")
-    both = F.size(F.array_intersect("ga", "gb"))
-    sure = found.join(one, "a").join(two, "b").filter(both >= p.threshold * (F.size("ga") + F.size("gb") - both))
-    groups = connected_components(table(sure.select("a", "b"), "similar"), "a", "b")
-    m = members.join(groups, members.sid == groups.node, "left").select(F.coalesce("component", "sid").alias("g"), "doc_id")
-    least = m.groupBy("g").agg(F.min("doc_id").alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return m.join(least, "g").filter("doc_id <> keep").select("doc_id").distinct()
-
+    d = pick(docs, doc_id="long", text="string").filter("doc_id is not null")
+    sigs = table(signatures(d, p.n), "signatures")
+    members = table(sigs.select("sid", "doc_id").distinct(), "members")
+    copies = members.groupBy("sid").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep"))
+    sets = table(sigs.groupBy("sid").agg(F.first("sig").alias("sig")).join(copies, "sid"), "sets")
+    found = table(links(sets.select("sid", "sig"), p), "links")
+    need = table(found.select(F.col("a").alias("sid")).union(found.select("b")).distinct().join(sets.select("sid", "rep", "copies"), "sid"), "linked")
+    exact = gram_sets(d.join(need.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), p.n)
+    exact = table(exact.groupBy("sid").agg(F.first("grams").alias("grams")).join(need.select("sid", "copies"), "sid"), "exact")
 
-def deduplicated(docs: DataFrame, p: Join = Join()) -> DataFrame:
-    """The documents less :func:`dropped`, with their own columns; rows without an id or
-    without words stay. Rows that repeat an id stay or go together."""
+    one, two = exact.select(F.col("sid").alias("a"), F.col("grams").alias("ga")), exact.select(F.col("sid").alias("b"), F.col("grams").alias("gb"))
+    both = F.size(F.array_intersect("ga", "gb"))
+    verified = found.filter("not sure").join(one, "a").join(two, "b").filter(both >= p.threshold * (F.size("ga") + F.size("gb") - both))
+    kept = table(verified.select("a", "b").unionByName(found.filter("sure").select("a", "b")), "kept")
+    rows = table(similar(connected_components(kept, "a", "b"), exact, p), "similar")
+    stats = rows.groupBy("a").agg(F.sum("n").alias("n"), F.max("best").alias("best")).withColumnRenamed("a", "sid")
+    groups = connected_components(rows, "a", "b").toDF("sid", "g")
+    near = table(stats.join(groups, "sid").join(need.select("sid", "rep"), "sid"), "near")
+    least = near.groupBy("g").agg(F.min("rep").alias("least"))
+    near = near.join(least, "g").select("sid", "n", "best", "least")
+
+    out = members.join(copies, "sid").join(near, "sid", "left").select(
+        "doc_id",
+        F.coalesce("least", "rep").alias("class_id"),
+        (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"),
+        F.when(F.col("copies") > 1, F.lit(1.0)).otherwise(F.col("best")).alias("jaccard"),
+    )
+    wordless = d.join(members.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id").distinct()
+    return out.unionByName(wordless.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links"), F.lit(None).cast("double").alias("jaccard")))
+
+
+def deduplicated(docs: DataFrame, p: Join = Join(), sources: str | None = None) -> DataFrame:
+    """The documents that are the least of a class of :func:`join`, with their own columns.
+
+    Rows without an id and documents without words stay. Rows that repeat an id stay or go
+    together; an id that is the least of one of its texts' classes stays. If ``sources``
+    is given, the ``source`` of a document that stays becomes the sorted sources of its
+    whole class, joined by that sign. An empty table gives an empty result.
+    """
     names = docs.columns
-    (gone,) = fresh(docs, "gone")
-    drop = table(dropped(pick(docs, doc_id="long", text="string"), p), "dropped").toDF(gone)
-    own = next(c for c in names if c.lower() == "doc_id")
-    return docs.join(drop, col(own).cast("long") == F.col(gone), "left_anti")
+    own = {c.lower(): c for c in names}
+    classes = table(join(docs, p), "classes")
+    gone, key, every = fresh(docs, "gone", "key", "every")
+    least = classes.filter("doc_id = class_id").select("doc_id")
+    drop = classes.filter("doc_id <> class_id").join(least, "doc_id", "left_anti").select("doc_id").distinct()
+    out = docs.join(table(drop, "dropped").toDF(gone), col(own["doc_id"]).cast("long") == F.col(gone), "left_anti")
+    if sources is None or "source" not in own:
+        return out
+    several = classes.filter("links > 0").select("doc_id", "class_id").join(pick(docs, doc_id="long", source="string"), "doc_id")
+    several = several.groupBy("class_id").agg(F.array_join(F.array_sort(F.collect_set("source")), sources).alias("s")).filter("s <> ''").toDF(key, every)
+    out = out.join(several, col(own["doc_id"]).cast("long") == F.col(key), "left")
+    new = F.coalesce(F.col(every), col(own["source"]).cast("string")).cast(docs.schema[own["source"]].dataType)
+    return out.select(*[new.alias(c) if c.lower() == "source" else col(c) for c in names])
