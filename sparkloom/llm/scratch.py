@@ -26,13 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def table(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def store(df: DataFrame, name: str, by: str | None = None) -> str:
     """Write ``df`` to the shared folder as Parquet, in a folder for each value of ``by``
-    if that is given, and return the reread table.
+    if that is given, and return the full path.
 
     Unlike an executor-local copy, the files outlive lost executors. They are removed
     when the driver's interpreter ends.
@@ -41,7 +43,13 @@ def table(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/sparkloom/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return str(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString())
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as :func:`store` does and return the reread table."""
+    return df.sparkSession.read.schema(df.schema).parquet(store(df, name))
 
 
 @atexit.register

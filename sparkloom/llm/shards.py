@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import fcntl
 import json
-import os
 from functools import lru_cache
 from pathlib import Path
 from urllib.parse import unquote, urlparse
@@ -23,12 +22,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .scratch import table
+from .scratch import store
 
 BITS = 6  # 64 shards
 STEP = 1 << 20
 
 
+def _shared(df: DataFrame, name: str, by: str | None = None) -> str:
+    """The folder of ``df``, which executors can read or, failing that, are sent."""
+    path = store(df, name, by)
+    if urlparse(path).scheme not in ("", "file"):
+        df.sparkSession.sparkContext.addFile(path, recursive=True)
+    return path
+
+
+def _laid_out(path: str, make, *args) -> Path:
+    """The folder of arrays that ``make(source, to, *args)`` makes once a host."""
+    u = urlparse(path)
+    source = Path(unquote(u.path)) if u.scheme in ("", "file") else Path(SparkFiles.get(u.path.rpartition("/")[2]))
+    to = source / "_arrays"
+    to.mkdir(exist_ok=True)
+    with (to / "lock").open("w") as lock:
+        fcntl.flock(lock, fcntl.LOCK_EX)
+        if not (to / "done").exists():
+            make(source, to, *args)
+            (to / "done").touch()
+    return to
+
+
 def write(entries: DataFrame, groups: int) -> str:
     """The folder of the shards of ``(g, code, v)``: group, 64-bit key, value."""
 
@@ -40,10 +61,7 @@ def write(entries: DataFrame, groups: int) -> str:
             yield pa.RecordBatch.from_arrays([shard, b.column("g"), signed, b.column("v")], ["shard", "g", "h", "v"])
 
     rows = entries.select(F.col("g").cast("int").alias("g"), "code", "v").mapInArrow(run, "shard int, g int, h long, v float")
-    path = table(rows.repartition(1 << BITS, "shard").sortWithinPartitions("shard", "g", "h"), "model", by="shard").inputFiles()[0].rpartition("/shard=")[0]
-    if urlparse(path).scheme not in ("", "file"):
-        entries.sparkSession.sparkContext.addFile(path, recursive=True)
-    return json.dumps([path, groups])
+    return json.dumps([_shared(rows.repartition(1 << BITS, "shard").sortWithinPartitions("shard", "g", "h"), "model", by="shard"), groups])
 
 
 class Mapped(K.HashArray):
@@ -96,15 +114,7 @@ def opened(made: str) -> list[Mapped]:
     if not made:
         return []
     path, groups = json.loads(made)
-    u = urlparse(path)
-    source = Path(unquote(u.path)) if u.scheme in ("", "file") else Path(SparkFiles.get(u.path.rpartition("/")[2]))
-    to = source / "_arrays"
-    to.mkdir(exist_ok=True)
-    with (to / "lock").open("w") as lock:
-        fcntl.flock(lock, fcntl.LOCK_EX)
-        if not (to / "done").exists():
-            _lay_out(source, to, groups)
-            (to / "done").touch()
+    to = _laid_out(path, _lay_out, groups)
     size = json.loads((to / "sizes").read_text())
     h, v, d = (np.asarray(np.memmap(to / n, t, "r")) for n, t in (("h", np.uint64), ("v", np.float32), ("d", np.int64)))
     out, a, f = [], 0, 0
@@ -113,3 +123,48 @@ def opened(made: str) -> list[Mapped]:
         out.append(Mapped(h[a : a + n + 1], v[a : a + n + 1], d[f : f + (1 << bits) + 1], bits))
         a, f = a + n + 1, f + (1 << bits) + 1
     return out
+
+
+def write_rows(entries: DataFrame, rows: int, words: int, bits: int) -> str:
+    """The folder of a dense array ``[words, rows]`` of ``bits`` bits an entry, zero but
+    for the entries ``(w, at, v)``, of which no two have one place."""
+    return json.dumps([_shared(entries.select(F.col("w").cast("int").alias("w"), "at", "v"), "rows"), rows, words, bits])
+
+
+def _fill(source: Path, to: Path, rows: int, words: int, bits: int) -> None:
+    out = np.memmap(to / "rows", f"u{bits // 8}", "w+", shape=(words, rows))
+    for f in sorted(source.glob("*.parquet")):
+        for b in pq.ParquetFile(f).iter_batches(STEP, columns=["w", "at", "v"]):
+            w, at, v = (c.to_numpy() for c in b.columns)
+            out[w, at] = v.view(np.uint64).astype(out.dtype)
+    out.flush()
+
+
+@lru_cache(1)
+def opened_rows(made: str) -> np.ndarray:
+    """The array of a folder that :func:`write_rows` returned."""
+    path, rows, words, bits = json.loads(made)
+    to = _laid_out(path, _fill, rows, words, bits)
+    return np.asarray(np.memmap(to / "rows", f"u{bits // 8}", "r", shape=(words, rows)))
+
+
+def write_order(entries: DataFrame) -> str:
+    """The folder of ``(a, b)``, two 64-bit numbers, in ascending order."""
+    return _shared(entries.select("a", "b").orderBy("a", "b"), "order")
+
+
+def _line_up(source: Path, to: Path) -> None:
+    with (to / "a").open("wb") as a, (to / "b").open("wb") as b:
+        for f in sorted(source.glob("*.parquet")):  # a global sort numbers its parts in order
+            for batch in pq.ParquetFile(f).iter_batches(STEP, columns=["a", "b"]):
+                a.write(batch.column(0).to_numpy().astype(np.int64).tobytes())
+                b.write(batch.column(1).to_numpy().astype(np.int64).tobytes())
+
+
+@lru_cache(1)
+def opened_order(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The arrays of a folder that :func:`write_order` returned."""
+    to = _laid_out(path, _line_up)
+    if not (to / "a").stat().st_size:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.asarray(np.memmap(to / n, np.int64, "r")) for n in "ab")

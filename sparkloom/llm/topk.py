@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from . import shards
 from .scratch import pick, table
 
 
@@ -50,13 +51,13 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """``(term, doc_id, tf, dl)`` of the given terms in every document with an id and at
     least one word; term 0 stands for the document itself (``dl`` words).
 
-    The distinct terms of the queries go to the workers as one sorted array.
+    The distinct terms of the queries are mapped by the workers as one array sorted by
+    hash (see :mod:`sparkloom.llm.shards`), whatever their number.
     """
-    known = np.sort(terms.select("term").distinct().toArrow()["term"].to_numpy().astype(np.uint64))
-    held = docs.sparkSession.sparkContext.broadcast(K.HashArray(known, known))
+    made = shards.write(terms.select(F.lit(0).alias("g"), F.col("term").alias("code"), F.lit(0.0).cast("float").alias("v")).distinct(), 1)
 
     def run(batches):
-        index = held.value
+        (index,) = shards.opened(made)
         for b in batches:
             ids, texts = np.array(K.column(b, "doc_id"), np.int64), [t or "" for t in K.column(b, "text")]
             for at, part in K.chunks(texts):
@@ -66,9 +67,11 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
                 dl = np.bincount(row, minlength=len(part))
                 pos = index.find(h)
                 hit = pos >= 0
-                key, tf = K.tally((row[hit].astype(np.uint64) << np.uint64(32)) | pos[hit].astype(np.uint64))
-                r = (key >> np.uint64(32)).astype(np.int64)
-                t = index.v[(key & np.uint64(0xFFFFFFFF)).astype(np.int64)].astype(np.int64)
+                own, t = row[hit], h[hit]
+                o = np.lexsort((t, own))
+                own, t = own[o], t[o]
+                at0 = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (own[1:] != own[:-1])])) if len(t) else o
+                r, t, tf = own[at0], t[at0].astype(np.int64), np.diff(np.append(at0, len(own)))
                 some = np.flatnonzero(dl)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -137,7 +140,9 @@ def search(docs: DataFrame, queries: DataFrame, p: Search = Search()) -> DataFra
     cut = table(terms.join(m.join(kth, "query"), "query").withColumn("cut", F.col("low") / F.col("m")), "cutoffs")
 
     # phase 2: all entries that reach the cutoff, by the least s that any query needs
-    need = cut.groupBy("term").agg(F.min(F.col("cut") / F.nullif(F.col("idf"), F.lit(0))).alias("least"))
+    # a term of weight 0 reaches the cutoff with all its entries or with none
+    reach = F.when(F.col("idf") > 0, F.col("cut") / F.col("idf")).when(F.col("cut") <= 0, F.lit(0.0)).otherwise(F.lit(float("inf")))
+    need = cut.groupBy("term").agg(F.min(reach).alias("least"))
     seen = lists.join(need, "term").filter(F.col("s") >= F.col("least")).select("term", "doc_id", "s")
     seen = seen.join(cut.select("query", "term", "idf", "cut", "m"), "term").filter(F.col("s") * F.col("idf") >= F.col("cut"))
     part = table(

@@ -23,6 +23,16 @@ def test_topk_ties_go_to_the_least_id(spark):
     assert [r.doc_id for r in got] == list(range(10)) and [r["rank"] for r in got] == list(range(1, 11))
 
 
+def test_topk_of_words_that_weigh_nothing(spark, tmp_path):
+    """A word of (nearly) every document has weight 0; its documents count all the same."""
+    docs = frame(spark, rows([f"alpha beta{i}" for i in range(1200)]))
+    q = spark.createDataFrame([(1, "alpha"), (2, "beta7 alpha"), (3, "gamma")], "item_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    q.write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = sql_rows(ORACLES["op5_topk_search"], str(tmp_path))
+    assert len(want[1]) == 20 and spark_rows(QUERIES["op5_topk_search"](spark, str(tmp_path))) == want
+
+
 def gram_set(text: str, n: int = 3) -> frozenset:
     w = [text.lower()[s:e] for _, _, s, e in zip(*kernels.words([text]))]
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) or (frozenset([tuple(w)]) if w else frozenset())
