@@ -56,13 +56,30 @@ def pieces(texts: list[str], context: int, size: int = CHUNK) -> Iterator[tuple[
         yield points("".join(buf)), np.array(rows), np.array(lens)
 
 
+LOW = 3328  # code points below are symbols as they are
+
+
+def spelled(text: str) -> str:
+    """The text in symbols below 4096: a code point from ``LOW`` up becomes two symbols, or
+    three beyond the basic plane, of ranges of their own, so that no two texts agree that
+    differ."""
+    if text.isascii():
+        return text
+    c = points(text)
+    if not (c >= LOW).any():
+        return text
+    n = 1 + (c >= LOW) + (c > 0xFFFF)
+    out, at = np.repeat(c, n), np.cumsum(n) - n
+    two, three = n == 2, n == 3
+    out[at[two]], out[at[two] + 1] = LOW + (c[two] >> 8), LOW + 256 + (c[two] & 255)
+    out[at[three]], out[at[three] + 1], out[at[three] + 2] = LOW + 512 + (c[three] >> 16), LOW + (c[three] >> 8 & 255), LOW + 256 + (c[three] & 255)
+    return out.astype(np.uint32).tobytes().decode("utf-32-le")
+
+
 def codes(cps: np.ndarray, order: int) -> np.ndarray:
-    """Packed ``order``-grams, 12 bits a symbol: code points below 3840 as they are, the
-    others folded into 256 classes. Entry i covers points i .. i+order-1."""
+    """Packed ``order``-grams of symbols below 4096, 12 bits each. Entry i covers symbols
+    i .. i+order-1."""
     c = cps.astype(U)
-    high = c >= U(3840)
-    if high.any():
-        c[high] = U(3840) + c[high] % U(256)
     n = len(c) - order + 1
     out = c[:n].copy()
     for k in range(1, order):

@@ -2,7 +2,8 @@
 
 Spark counts the 5-grams of every document by language; all lower orders follow from
 them as continuation counts, and the counts of counts set the three discounts of every
-order (Chen and Goodman 1999). Probabilities are computed by joins and kept in arrays
+order (Chen and Goodman 1999). Characters from U+0D00 up are spelled in two or three
+symbols each (:func:`kernels.spelled`), so that no two of them count as one. Probabilities are computed by joins and kept in arrays
 sorted by hash in files, which grow with the corpus and are mapped into memory.
 Documents whose log perplexity lies outside their language's band are rejected.
 """
@@ -62,7 +63,7 @@ def count_grams(docs: DataFrame, lang: str, text: str) -> DataFrame:
                 if t:
                     by.setdefault(l, []).append(t)
             for l, ts in by.items():
-                for cps, _, lens in K.pieces(ts, ORDER - 1):
+                for cps, _, lens in K.pieces([K.spelled(t) for t in ts], ORDER - 1):
                     c = K.codes(cps, ORDER)
                     held.setdefault(l, []).append(K.tally(c[K.inside(lens, ORDER - 1, len(c))]))
                     if len(held[l]) > 12:
@@ -180,7 +181,7 @@ def with_scores(docs: DataFrame, built: tuple[str, dict], lang: str, text: str,
         for l, ids in by.items():
             ids = np.array(ids)
             model = [models[l][0], *((groups[a], groups[b]) for a, b in models[l][1:])]
-            for cps, rows, lens in K.pieces([texts[i] for i in ids], ORDER - 1):
+            for cps, rows, lens in K.pieces([K.spelled(texts[i]) for i in ids], ORDER - 1):
                 lp = log_probs(model, K.codes(cps, ORDER))
                 np.add.at(sums, ids[rows], K.segment_sum(lp, K.starts(lens, ORDER - 1), lens))
         return [pa.array(sums / np.maximum(n, 1), mask=n == 0), pa.array(n)]

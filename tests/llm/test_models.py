@@ -7,7 +7,7 @@ import pytest
 from llm.fixtures import WORDS, frame, prose, rows
 from pyspark.sql import functions as F
 
-from sparkloom.llm import gbt, kernels, langid, pii, quality, toxicity, urls
+from sparkloom.llm import gbt, kernels, langid, pii, quality, shards, toxicity, urls
 
 SF = "/root/testdata/sf0.01"
 
@@ -19,8 +19,8 @@ def kneser_ney(texts: list[str], order: int = 5):
     """Modified Kneser-Ney in dictionaries, without a floor: ``(symbols) -> log p``."""
     grams = Counter()
     for t in texts:
-        s = ["\0"] * (order - 1) + list(t)
-        grams.update(tuple(s[i : i + order]) for i in range(len(t)))
+        s = ["\0"] * (order - 1) + list(kernels.spelled(t))
+        grams.update(tuple(s[i : i + order]) for i in range(len(s) - order + 1))
     counts = {order: grams}
     for o in range(order - 1, 0, -1):
         counts[o] = Counter(g[1:] for g in counts[o + 1])
@@ -47,8 +47,8 @@ def kneser_ney(texts: list[str], order: int = 5):
         return max(v - (d[min(v, 3) - 1] if v else 0), 0) / den[h] + gamma * p(g[1:])
 
     def score(t: str) -> float:
-        s = ["\0"] * (order - 1) + list(t)
-        return sum(log(p(tuple(s[i : i + order]))) for i in range(len(t))) / len(t)
+        s = ["\0"] * (order - 1) + list(kernels.spelled(t))
+        return sum(log(p(tuple(s[i : i + order]))) for i in range(len(s) - order + 1)) / len(t)
 
     return score
 
@@ -124,14 +124,45 @@ def test_languages_against_exact_sets(spark):
 def test_false_positives_are_corrected():
     rng = np.random.default_rng(1)
     own = np.unique(rng.integers(0, 1 << 60, 20_000).astype(np.uint64))
-    b = langid.SlicedBloom({"a": own, "b": own[:100]}, langid.Filter(bits=3))
+    rows = 3 * len(own)
+    filled = np.zeros((1, rows), np.uint8)
+    for l, keys in enumerate((own, own[:100])):
+        for at in langid.places(keys, rows, 4):
+            filled[0][at] |= np.uint8(1 << l)
+    b = langid.SlicedBloom(["a", "b"], filled, [int((filled[0] >> l & 1).sum()) for l in (0, 1)], 4)
     other = rng.integers(1 << 61, 1 << 62, 50_000).astype(np.uint64)
     for truth in (0.0, 0.3):
         keys = np.concatenate([other[: int(50_000 * (1 - truth))], rng.choice(own, int(50_000 * truth))])
         n = np.array([float(len(keys))])
         seen = b.popcounts(keys, np.array([0]), np.array([len(keys)]))
         assert abs(b.corrected(seen, n)[0, 0] / n[0] - truth) < 0.02
-    assert (b.masks(own)[0] & np.uint64(1)).all()
+    assert (b.masks(own)[0] & np.uint8(1)).all()
+
+
+def test_filter_holds_every_ngram(spark):
+    """The rows that Spark writes are those of all n-grams, for more languages than a
+    byte has bits; wrongly declared documents do not spoil their language."""
+    r = random.Random(15)
+    data = [(i, prose(r, 20) + f" {'abcdefghijklmnop'[i % 12] * 6} {i}", f"l{i % 12:02d}", "s", 1, None, None, None, None, None) for i in range(60)]
+    data.append((99, "東京都 の 漢字", "l03", "s", 1, None, None, None, None, None))
+    d = frame(spark, data).select("doc_id", "lang", "text")
+    p = langid.Filter(ratio=0.0)
+    langs, made, filled = langid.build(d, p)
+    table = shards.opened_rows(made)
+    assert langs == sorted({x[2] for x in data}) and table.dtype == np.uint16
+    bloom = langid.SlicedBloom(langs, table, filled, p.hashes)
+    assert filled == [int((table[0] >> l & 1).sum()) for l in range(12)]
+    for x in data:
+        cps, _, lens = next(kernels.pieces([kernels.spelled(x[1].lower())], 4))
+        keys = kernels.codes(cps, 5)[kernels.inside(lens, 4, len(cps) - 4)]
+        assert (bloom.masks(keys)[0] >> np.uint16(langs.index(x[2])) & np.uint16(1)).all()
+
+
+def test_no_two_characters_are_one():
+    texts = ["東京", "京東", chr(0x4E00), chr(0x4F00), chr(0x4E01), "😀", "😁", chr(3328), chr(3327), "é漢", "漢é"]
+    spelt = [kernels.spelled(t) for t in texts]
+    assert len(set(spelt)) == len(texts) and all(ord(c) < 4096 for t in spelt for c in t)
+    assert [len(t) for t in spelt] == [4, 4, 2, 2, 2, 3, 3, 2, 1, 3, 3]
 
 
 def test_languages_of_the_documents(spark):
