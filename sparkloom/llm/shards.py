@@ -149,22 +149,22 @@ def opened_rows(made: str) -> np.ndarray:
 
 
 def write_order(entries: DataFrame) -> str:
-    """The folder of ``(a, b)``, two 64-bit numbers, in ascending order."""
-    return _shared(entries.select("a", "b").orderBy("a", "b"), "order")
+    """The folder of the rows of some 64-bit numbers, in ascending order."""
+    names = entries.columns
+    return json.dumps([_shared(entries.orderBy(*names), "order"), names])
 
 
-def _line_up(source: Path, to: Path) -> None:
-    with (to / "a").open("wb") as a, (to / "b").open("wb") as b:
-        for f in sorted(source.glob("*.parquet")):  # a global sort numbers its parts in order
-            for batch in pq.ParquetFile(f).iter_batches(STEP, columns=["a", "b"]):
-                a.write(batch.column(0).to_numpy().astype(np.int64).tobytes())
-                b.write(batch.column(1).to_numpy().astype(np.int64).tobytes())
+def _line_up(source: Path, to: Path, names: list[str]) -> None:
+    for n in names:
+        with (to / n).open("wb") as out:
+            for f in sorted(source.glob("*.parquet")):  # a global sort numbers its parts in order
+                for b in pq.ParquetFile(f).iter_batches(STEP, columns=[n]):
+                    out.write(b.column(0).to_numpy().astype(np.int64).tobytes())
 
 
 @lru_cache(1)
-def opened_order(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """The arrays of a folder that :func:`write_order` returned."""
-    to = _laid_out(path, _line_up)
-    if not (to / "a").stat().st_size:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.asarray(np.memmap(to / n, np.int64, "r")) for n in "ab")
+def opened_order(made: str) -> tuple[np.ndarray, ...]:
+    """The columns of a folder that :func:`write_order` returned."""
+    path, names = json.loads(made)
+    to = _laid_out(path, _line_up, names)
+    return tuple(np.asarray(np.memmap(to / n, np.int64, "r")) if (to / n).stat().st_size else np.zeros(0, np.int64) for n in names)

@@ -146,7 +146,7 @@ def test_cuts_cost_least():
 def test_windows_hold_every_word_in_order(spark):
     r = random.Random(4)
     texts = [" ".join(prose(r, r.randint(3, 25)) for _ in range(r.randint(0, 12))) for _ in range(120)] + ["no stop " * 90, " ", ""]
-    p = packing.Pack(window=64, shard=50)
+    p = packing.Pack(window=64, shard=9000)
     got = packing.packed(frame(spark, rows(texts)), p).orderBy("shard", "window").collect()
     assert " ".join(x.text for x in got).split() == " ".join(texts).split()
     back = defaultdict(str)
@@ -158,6 +158,42 @@ def test_windows_hold_every_word_in_order(spark):
     assert all(back[i] == t for i, t in enumerate(texts) if t.strip())
 
 
+@pytest.mark.parametrize("place", ["close", "wide", "negative", "huge"])
+def test_spacing_of_ids_does_not_matter(spark, place):
+    r = random.Random(5)
+    texts = [prose(r, 3) for _ in range(2000)]
+    at = {"close": lambda i: i, "wide": lambda i: i * 1_000_003, "negative": lambda i: i - 1000, "huge": lambda i: (1 << 63) - 1 - 7 * (2000 - i)}[place]
+    d = spark.createDataFrame([(at(i), t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    got = packing.packed(d, packing.Pack(shard=20_000)).orderBy("shard", "window").collect()
+    assert " ".join(x.text for x in got).split() == " ".join(texts).split()
+    total = sum(map(len, texts))
+    assert len({x.shard for x in got}) == (total - 1) // 20_000 + 1
+    assert sum(x.padding for x in got) <= len({x.shard for x in got}) * 2048
+
+
+def test_equal_rows_share_shards_and_repeats_lie_apart(spark):
+    r = random.Random(6)
+    same = prose(r, 40)
+    d = spark.createDataFrame([(7, same)] * 200 + [(i, prose(r, 40)) for i in range(40)], "doc_id long, text string")
+    size = Counter(x.shard for x in packing.packed(d, packing.Pack(window=50, shard=2000)).collect())
+    assert len(size) > 20 and max(size.values()) <= 30
+    twice = spark.createDataFrame([(i, t) for i, t in enumerate(prose(r, 30) for _ in range(50)) for _ in range(2)], "doc_id long, text string")
+    got = packing.packed(twice, packing.Pack(window=64, shard=3000, spread=True)).orderBy("shard", "window").collect()
+    order = list(dict.fromkeys((k, i) for k, x in enumerate(got) for i in x.doc_ids))
+    assert all(len(set(x.doc_ids)) == len(x.doc_ids) for x in got)
+    assert list(dict.fromkeys(i for _, i in order)) == list(range(50))
+    half = next(n for n, (_, i) in enumerate(order) if i == 49)  # the last one comes before any is repeated
+    assert {i for _, i in order[: half + 1]} == set(range(50)) and {i for _, i in order[half + 1 :]} >= set(range(49))
+
+
+def test_scripts_without_spaces_have_tokens():
+    tokens, chars, penalty = packing.boundaries("東京は晴れ。abc def", packing.Pack())
+    assert (tokens, chars, penalty) == ([6, 8], [6, 13], [64, 0])
+    got = packing.pack_shard([1], ["日本語の文章。" * 1500], packing.Pack(window=100))
+    assert "".join(x[0] for x in got) == "日本語の文章。" * 1500
+    assert all(x[3] == len(x[0]) == 98 for x in got[:-1]) and sum(x[3] for x in got) == 10_500
+
+
 def test_boundaries_are_sentence_ends():
     tokens, chars, penalty = packing.boundaries('One two. "Three four?" Five\nsix', packing.Pack())
     assert tokens == [2, 4, 5, 6] and penalty == [64, 64, 64, 0]
