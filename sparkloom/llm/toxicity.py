@@ -3,6 +3,8 @@
 Features are lexicon densities, second-person proximity, capitals, punctuation and
 obfuscation rates. The lexicon is learnt from labelled documents: words and stems
 whose log odds of occurring in toxic ones are significantly high, beside a short general list.
+Documents from which the trees or their calibration are learnt get their features by a
+lexicon of the other folds, so that none sees its own label.
 """
 
 from __future__ import annotations
@@ -13,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import gbt
 from . import kernels as K
@@ -35,7 +36,7 @@ class Toxic:
     ``z``: least significance of a learnt word or stem, ``ratio``: least ratio of its rates in toxic and other
     documents, ``least``: documents it must occur in; ``near``: words between a
     hit and a second person at most; ``cut``: probability from which a document is
-    toxic; ``seed``: of the order."""
+    toxic; ``folds``: parts of the labelled documents; ``seed``: of the order."""
 
     sample: int = 8000
     held_out: float = 0.3
@@ -44,23 +45,29 @@ class Toxic:
     least: int = 4
     near: int = 5
     cut: float = 0.5
+    folds: int = 4
     seed: int = 5
     boost: gbt.Boost = field(default_factory=gbt.Boost)
 
 
-def _hashes(words: list[str]) -> np.ndarray:
-    return np.sort(K.words([" ".join(words)])[0]) if words else np.zeros(0, np.uint64)
+def lexicon(words: list[str]) -> K.HashArray:
+    """The words' hashes, to be looked up."""
+    h = np.unique(K.words([" ".join(words)])[0])
+    return K.HashArray(h, np.ones(len(h), np.float32))
 
 
-def features(texts: list[str], learnt: np.ndarray, p: Toxic) -> np.ndarray:
+def fold(ids: np.ndarray, p: Toxic) -> np.ndarray:
+    """Which part of the labelled documents each id belongs to."""
+    return (K.mix(ids.astype(np.uint64)) % np.uint64(p.folds)).astype(np.int64)
+
+
+def features(texts: list[str], learnt: K.HashArray, p: Toxic) -> np.ndarray:
     """One row of :data:`NAMES` a text; all zeros for one without words."""
     out = np.zeros((len(texts), len(NAMES)))
-    general, second = _hashes(GENERAL), _hashes(SECOND)
+    general, second = lexicon(GENERAL), lexicon(SECOND)
 
-    def member(h, lexicon):
-        if not len(lexicon):
-            return np.zeros(len(h), bool)
-        return lexicon[np.minimum(np.searchsorted(lexicon, h), len(lexicon) - 1)] == h
+    def member(h, held):
+        return held.find(h) >= 0
 
     for at, part in K.chunks(texts):
         h, row, _, _, *stems = K.words(part, STEMS)
@@ -135,87 +142,128 @@ def _surface(t: str, known_words: frozenset) -> tuple:
 _ODD = np.array([ord(c) for c in "013457@$!*"], np.uint32)
 
 
-def _labelled(docs: DataFrame, made: str) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` has a label, with it as ``y``. Labels are
-    looked up in mapped files, so that texts aren't shuffled."""
-    at, schema = docs.columns.index("doc_id"), T.StructType([*docs.schema.fields, T.StructField("y", T.IntegerType())])
-    names = schema.fieldNames()
+def _labels(ids: np.ndarray, made: str) -> tuple[np.ndarray, np.ndarray]:
+    """``(which ids have a label, the labels)``, looked up in mapped files, so that texts
+    are not shuffled."""
+    (labels,) = shards.opened(made)
+    got = labels.find(ids.astype(np.uint64))
+    has = np.flatnonzero(got >= 0)
+    return has, labels.v[got[has]].astype(np.int64)
+
+
+def _known(docs: DataFrame, made: str) -> DataFrame:
+    """``(doc_id, y)`` of the rows that have a label."""
 
     def run(batches):
-        (labels,) = shards.opened(made)
         for b in batches:
-            got = labels.find(b.column(at).to_numpy(zero_copy_only=False).astype(np.uint64))
-            has = np.flatnonzero(got >= 0)
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(has)) for c in b.columns), pa.array(labels.v[got[has]].astype(np.int32))], names)
+            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+            has, y = _labels(ids, made)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[has]), pa.array(y.astype(np.int32))], ["doc_id", "y"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.select("doc_id").mapInArrow(run, "doc_id long, y int")
 
 
-def _word_counts(docs: DataFrame) -> DataFrame:
-    """``(word, toxic, total)``: labelled documents in which each word or stem occurs."""
+def _word_counts(docs: DataFrame, made: str, p: Toxic) -> DataFrame:
+    """``(word, fold, toxic, total)``: labelled documents in which each word or stem occurs."""
 
     def run(batches):
-        held: list[tuple] = []
+        held: dict[int, list[tuple]] = {}
 
-        def fold():
-            k, t, n = map(np.concatenate, zip(*held))
+        def fold_up(f):
+            k, t, n = map(np.concatenate, zip(*held[f]))
             keys, total = K.tally(k, n)
-            held[:] = [(keys, np.bincount(np.searchsorted(keys, k), t, len(keys)).astype(np.int64), total)]
+            held[f] = [(keys, np.bincount(np.searchsorted(keys, k), t, len(keys)).astype(np.int64), total)]
 
         for b in batches:
-            texts, y = [t or "" for t in K.column(b, "text")], np.array(K.column(b, "y"), np.int64)
-            for at, part in K.chunks(texts):
-                h, row, _, _, *stems = K.words(part, STEMS)
-                h, row = np.concatenate([h, *stems]), np.tile(row, 1 + len(STEMS))
-                h, row = h[h != 0], row[h != 0]
-                o = np.lexsort((h, row))
-                h, row = h[o], row[o]
-                new = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])]) if len(h) else np.zeros(0, bool)
-                h, t = h[new], y[at + row[new]]
-                keys, total = K.tally(h)
-                held.append((keys, np.bincount(np.searchsorted(keys, h), t, len(keys)).astype(np.int64), total))
-                if len(held) > 12:
-                    fold()
-        if held:
-            fold()
-            for at in range(0, len(held[0][0]), 200_000):
-                keys, toxic, total = (x[at : at + 200_000] for x in held[0])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(toxic), pa.array(total)], ["word", "toxic", "total"])
-
-    return docs.mapInArrow(run, "word long, toxic long, total long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("total").alias("total"))
-
-
-def train(docs: DataFrame, labels: DataFrame, p: Toxic) -> tuple[gbt.Model, np.ndarray]:
-    """``(model, learnt lexicon)``: trees and calibration from at most ``sample`` labelled
-    documents that have a text, the lexicon from all of them.
-
-    Labels other than 0 and 1 are left out. Without labelled documents the model is
-    constant and the lexicon empty.
+            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+            has, y = _labels(ids, made)
+            part_of = fold(ids[has], p)
+            for f in np.unique(part_of).tolist():
+                own = np.flatnonzero(part_of == f)
+                texts = b.column("text").take(pa.array(has[own])).to_pylist()
+                for at, part in K.chunks(texts, K.CHUNK // 4):
+                    h, row, _, _, *stems = K.words(part, STEMS)
+                    h, row = np.concatenate([h, *stems]), np.tile(row, 1 + len(STEMS))
+                    h, row = h[h != 0], row[h != 0]
+                    o = np.lexsort((h, row))
+                    h, row = h[o], row[o]
+                    new = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])]) if len(h) else np.zeros(0, bool)
+                    h, t = h[new], y[own[at + row[new]]]
+                    keys, total = K.tally(h)
+                    held.setdefault(f, []).append((keys, np.bincount(np.searchsorted(keys, h), t, len(keys)).astype(np.int64), total))
+                    if len(held[f]) > 12:
+                        fold_up(f)
+        for f in held:
+            fold_up(f)
+            for at in range(0, len(held[f][0][0]), 200_000):
+                keys, toxic, total = (x[at : at + 200_000] for x in held[f][0])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(np.full(len(keys), f, np.int32)), pa.array(toxic), pa.array(total)], ["word", "fold", "toxic", "total"])
+
+    return docs.mapInArrow(run, "word long, fold int, toxic long, total long")
+
+
+def learn(docs: DataFrame, made: str, ids: DataFrame, p: Toxic) -> str:
+    """The folder of the lexicons: group f is learnt without fold f, the last from all.
+
+    Words are counted over all labelled documents and looked up in mapped files, so that
+    neither their number nor the lexicon's is bounded by a worker's memory."""
+    part = F.pmod(F.col("fold"), F.lit(p.folds))
+    sizes = np.zeros((p.folds, 2))
+
+    def tallied(batches):
+        for b in batches:
+            f = fold(b.column("doc_id").to_numpy(), p)
+            y = b.column("y").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(p.folds, dtype=np.int32)), pa.array(np.bincount(f, y, p.folds).astype(np.int64)), pa.array(np.bincount(f, minlength=p.folds))], ["fold", "toxic", "n"])
+
+    for r in ids.mapInArrow(tallied, "fold int, toxic long, n long").groupBy("fold").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).collect():  # a row a fold
+        sizes[r.fold] = r.toxic, r.n
+    own = [F.sum(F.when(part == f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for f in range(p.folds) for c in ("toxic", "total")]
+    counts = _word_counts(docs, made, p).groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("total").alias("total"), *own)
+
+    def high(f: int):
+        toxic, n = sizes.sum(axis=0) - (sizes[f] if f < p.folds else 0)
+        a = F.col("toxic") - (F.col(f"toxic{f}") if f < p.folds else 0)
+        b = F.col("total") - (F.col(f"total{f}") if f < p.folds else 0) - a
+        rate, other = (a + 0.5) / F.lit(float(toxic + 1)), (b + 0.5) / F.lit(float(n - toxic + 1))
+        return (a >= p.least) & ((F.log(rate) - F.log(other)) / F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) >= p.z) & (rate > p.ratio * other)
+
+    groups = F.filter(F.array(*[F.when(high(f), F.lit(f)) for f in range(p.folds + 1)]), lambda x: x.isNotNull())
+    return shards.write(counts.select(F.col("word").alias("code"), F.explode(groups).alias("g")).select("g", "code", F.lit(1.0).cast("float").alias("v")), p.folds + 1)
+
+
+def train(docs: DataFrame, labels: DataFrame, p: Toxic) -> tuple[gbt.Model, str]:
+    """``(model, lexicons)``: trees and calibration from at most ``sample`` labelled
+    documents that have a text, the lexicons from all of them.
+
+    Labels other than 0 and 1 are left out; of conflicting labels of one id the toxic one
+    counts. Without labelled documents the model is constant and the lexicon empty.
     """
     known = pick(labels, doc_id="long", toxic="int").filter("toxic in (0, 1) and doc_id is not null")
     known = table(known.groupBy("doc_id").agg(F.max("toxic").alias("y")), "labels")
+    constant = gbt.fit(np.zeros((0, len(NAMES))), np.zeros(0), p.boost), ""
     if known.isEmpty():
-        return gbt.fit(np.zeros((0, len(NAMES))), np.zeros(0), p.boost), np.zeros(0, np.uint64)
+        return constant
     made = shards.write(known.select(F.lit(0).alias("g"), F.col("doc_id").alias("code"), F.col("y").cast("float").alias("v")), 1)
-    texts = docs.filter("text is not null and doc_id is not null")
-    ids = table(_labelled(texts.select("doc_id"), made), "ids")
-    n, toxic = (x or 0 for x in ids.agg(F.count(F.lit(1)), F.sum("y")).first())
-    if not n:
-        return gbt.fit(np.zeros((0, len(NAMES))), np.zeros(0), p.boost), np.zeros(0, np.uint64)
-    a, b = F.col("toxic") + 0.5, F.col("total") - F.col("toxic") + 0.5
-    z = (F.log(a / (toxic + 1)) - F.log(b / (n - toxic + 1))) / F.sqrt(1 / a + 1 / b)
-    words = _word_counts(_labelled(texts.select("doc_id", "text"), made)).filter((F.col("toxic") >= p.least) & (z >= p.z) & (a / (toxic + 1) > p.ratio * b / (n - toxic + 1))).select("word").toArrow()["word"]
-    learnt = np.sort(words.to_numpy().astype(np.uint64))
+    texts = docs.filter("text is not null and doc_id is not null").select("doc_id", "text")
+    ids = table(_known(texts, made), "ids")
+    if ids.isEmpty():
+        return constant
+    learnt = learn(texts, made, ids, p)
 
     def run(batches):
+        held = shards.opened(learnt)
         for b in batches:
-            X = features([t or "" for t in K.column(b, "text")], learnt, p)
+            part, rows = fold(b.column("doc_id").to_numpy(), p), K.column(b, "text")
+            X = np.zeros((len(rows), len(NAMES)))
+            for f in np.unique(part).tolist():
+                own = np.flatnonzero(part == f)
+                X[own] = features([rows[i] or "" for i in own], held[f], p)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(list(X), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
     order = F.xxhash64(F.lit(p.seed), "doc_id")
-    ids = ids.select("doc_id", "y").distinct().orderBy(order, "doc_id").limit(p.sample)
-    some = table(texts.join(F.broadcast(ids), "doc_id").select("doc_id", "y", "text"), "labelled")
-    got = some.mapInArrow(run, "doc_id long, y int, x array<double>").toArrow().sort_by("doc_id")
+    some = ids.distinct().orderBy(order, "doc_id").limit(p.sample)
+    got = texts.join(F.broadcast(some), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, x array<double>").toArrow().sort_by("doc_id")
     X = np.array(got["x"].to_pylist()).reshape(-1, len(NAMES))
     y = got["y"].to_numpy().astype(float)
     out = np.random.default_rng(p.seed).random(len(y)) < p.held_out
@@ -226,14 +274,16 @@ def score(docs: DataFrame, labels: DataFrame, p: Toxic = Toxic()) -> DataFrame:
     """``doc_id, toxicity, toxic`` of every document: the calibrated probability, and
     whether it reaches ``cut``.
 
-    Null and empty texts have probability 0. Texts are read wholly. Repeated rows give
-    repeated rows. An empty table gives an empty result.
+    Null and empty texts have probability 0; a probability of exactly ``cut`` is toxic.
+    Texts are read wholly. Repeated rows give repeated rows; other columns are left
+    aside. An empty table gives an empty result.
     """
     d = pick(docs, doc_id="long", text="string")
     held = d.sparkSession.sparkContext.broadcast(train(d, labels, p))
 
     def run(b):
-        model, learnt = held.value
+        model, made = held.value
+        learnt = shards.opened(made)[-1] if made else K.HashArray(np.zeros(0, np.uint64), np.zeros(0, np.float32))
         texts = [t or "" for t in b.column(1).to_pylist()]
         X = features(texts, learnt, p)
         q = model.probability(X)

@@ -269,11 +269,24 @@ def test_lexicon_is_of_all_labelled_documents(spark):
     labels = spark.createDataFrame([(i, int(i < 4000 and toxic[i])) for i in range(4500)], "doc_id long, toxic int")
     p = toxicity.Toxic(sample=100)
     _, learnt = toxicity.train(frame(spark, rows(texts)).select("doc_id", "text"), labels, p)
-    assert kernels.words(["grumblefitz"])[0][0] in learnt
+    assert all(x.find(kernels.words(["grumblefitz"])[0])[0] >= 0 for x in shards.opened(learnt))
+
+
+def test_no_document_is_judged_by_its_own_label(spark):
+    """A word whose toxic documents are all of one fold is in no lexicon without it."""
+    p = toxicity.Toxic(least=2, z=1.0, ratio=2.0)
+    part = toxicity.fold(np.arange(4000), p)
+    own = np.flatnonzero(part == 2)[:40].tolist()
+    r = random.Random(3)
+    texts = [prose(r, 12) + (" grumblefitz" if i in own else "") for i in range(4000)]
+    labels = spark.createDataFrame([(i, int(i in own or i % 5 == 0)) for i in range(4000)], "doc_id long, toxic int")
+    _, learnt = toxicity.train(frame(spark, rows(texts)).select("doc_id", "text"), labels, p)
+    word = kernels.words(["grumblefitz"])[0]
+    assert [x.find(word)[0] >= 0 for x in shards.opened(learnt)] == [True, True, False, True, True]
 
 
 def test_toxic_features():
-    learnt = np.sort(kernels.words(["grumble"])[0])
+    learnt = toxicity.lexicon(["grumble"])
     X = toxicity.features(["You GRUMBLE, idiot!!", "a quiet river", "1d1ot", ""], learnt, toxicity.Toxic())
     at = toxicity.NAMES.index
     assert X[0, at("learnt")] == 1 and X[0, at("general")] == 1 and X[0, at("near_you")] == 2 and X[0, at("least_gap")] == 1
