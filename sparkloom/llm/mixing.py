@@ -9,6 +9,7 @@ routed amounts.
 
 from __future__ import annotations
 
+import re
 from collections import deque
 from dataclasses import dataclass, field
 
@@ -27,7 +28,7 @@ class Mix:
     of all distinct texts if None. ``repeats``: uses of one text at most; quotas that
     this cannot fill stay unfilled. ``seed``: of the documents' order. ``bits``: leading
     bits of the order by which sums are made in parallel; the result does not depend on
-    them.
+    them. ``several``: sign between the sources of a document that has more than one.
     """
 
     weights: dict[str, float] | None = field(default=None, hash=False)
@@ -36,6 +37,7 @@ class Mix:
     repeats: int = 8
     seed: int = 17
     bits: int = 10
+    several: str | None = None
 
 
 class Flow:
@@ -136,17 +138,17 @@ def solve(patterns: dict[tuple[str, ...], int], p: Mix) -> dict[tuple[str, ...],
     return {m: [(names[j], f) for j, f in r] for m, r in zip(keys, flow.routed()) if r}
 
 
-def units(docs: DataFrame) -> DataFrame:
+def units(docs: DataFrame, p: Mix = Mix()) -> DataFrame:
     """``(doc_id, pattern, tokens, u)``, one row a distinct text: its least id, the sorted
     sources that have it, its whitespace-separated words and its place in the order."""
     d = pick(docs, doc_id="long", text="string", source="string")
     words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
     d = d.filter("doc_id is not null and text is not null").select(
-        "doc_id", F.coalesce("source", F.lit(NONE)).alias("source"), words.cast("long").alias("tokens"),
+        "doc_id", F.array(F.coalesce("source", F.lit(NONE))).alias("source") if p.several is None else F.split(F.coalesce("source", F.lit(NONE)), re.escape(p.several)).alias("source"), words.cast("long").alias("tokens"),
         F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"),
     )
     return d.filter("tokens > 0").groupBy("h1", "h2").agg(
-        F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens"), F.array_sort(F.collect_set("source")).alias("pattern")
+        F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("source")))).alias("pattern")
     )
 
 
@@ -161,7 +163,7 @@ def selection(docs: DataFrame, p: Mix = Mix()) -> DataFrame:
     Ties in the order are broken by id. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    u = table(units(docs).withColumn("u", F.xxhash64(F.lit(p.seed), "doc_id")), "units")
+    u = table(units(docs, p).withColumn("u", F.xxhash64(F.lit(p.seed), "doc_id")), "units")
     sums = u.groupBy("pattern").agg(F.sum("tokens").alias("tokens")).collect()  # a row a pattern: sources' combinations, not documents
     capacity = {tuple(r.pattern): r.tokens for r in sums}
     parts = []
