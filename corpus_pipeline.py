@@ -13,6 +13,8 @@ from sparkloom.llm import chosenpath, mixing, packing, pii, quality
 from sparkloom.llm.scratch import table
 from sparkloom.session import ship
 
+SEVERAL = "\x1f"  # between the sources of a document that stands for several
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents whose perplexity lies outside their language's band."""
@@ -21,9 +23,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the least id of every group of similar ones."""
+    """Keep the document of the least id of every group of similar ones, with the sources
+    of the whole group."""
     ship(spark)
-    return chosenpath.deduplicated(docs)
+    return chosenpath.deduplicated(docs, sources=SEVERAL)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,13 +38,13 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Choose and repeat documents so that the sources' shares meet their targets."""
     ship(spark)
-    return mixing.mixed(docs)
+    return mixing.mixed(docs, mixing.Mix(several=SEVERAL))
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the documents, in order, into windows."""
+    """Pack the documents, in order, into windows; repeats of one lie far apart."""
     ship(spark)
-    return packing.packed(docs)
+    return packing.packed(docs, packing.Pack(spread=True))
 
 
 STAGES = [
