@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.catalog import NS
 from ..kg import KG
 from .components import ensure_checkpoint_dir
 
-SUBCLASS = ("biolink:subclass_of", "subclass_of", "rdfs:subClassOf")
+SUBCLASS = (f"{NS}:subclass_of", "subclass_of", "rdfs:subClassOf")
 
 
 def parents(kg: KG, relations: tuple[str, ...] = SUBCLASS) -> DataFrame:

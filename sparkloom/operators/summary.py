@@ -12,13 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.catalog import NS
 from ..functions.curie import prefix_of
 from ..kg import KG
 from .normalize import col
 from .store import first_records
 
-CATEGORY = r"^biolink:[A-Z][a-zA-Z]*$"
-PREDICATE = r"^biolink:[a-z][a-z_]*$"
+CATEGORY = rf"^{NS}:[A-Z][a-zA-Z]*$"
+PREDICATE = rf"^{NS}:[a-z][a-z_]*$"
 UNKNOWN = "unknown"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.catalog import IMPORT_TYPES, REQUIRED_EDGE, REQUIRED_NODE, Catalog, catalog
+from ..functions.catalog import IMPORT_TYPES, NS, REQUIRED_EDGE, REQUIRED_NODE, Catalog, catalog
 from ..functions.curie import is_curie, prefix_of
 from ..kg import KG
 from .normalize import col, null_if_blank
@@ -80,7 +80,7 @@ def bad_categories(nodes: DataFrame, cat: Catalog | None = None) -> DataFrame:
     cat = cat or catalog()
     c = F.col("category")
     many = isinstance(nodes.schema["category"].dataType, T.ArrayType)
-    name = F.regexp_replace("c", "^biolink:", "")
+    name = F.regexp_replace("c", f"^{NS}:", "")
     rows = nodes.select(F.coalesce("id", F.lit("")).alias("e"), (F.explode(c) if many else c).alias("c")).filter("c is not null").withColumn("n", name)
     table = [(k, "mixin" if cat.is_mixin(k) else "class") for k in cat.classes] + [(a, "alias") for a in cat.aliases() if a not in cat.classes]
     known = F.broadcast(nodes.sparkSession.createDataFrame(table, "n string, t string"))
@@ -100,7 +100,7 @@ def bad_predicates(edges: DataFrame, cat: Catalog | None = None) -> DataFrame:
     """Predicates that are malformed or unknown."""
     cat = cat or catalog()
     p = F.col("predicate")
-    n = F.regexp_replace(p, "^biolink:", "")
+    n = F.regexp_replace(p, f"^{NS}:", "")
     known = F.array(*map(F.lit, cat.predicates))
     why = F.when(~n.rlike(SNAKE), F.lit("is not in snake_case form")).when(~F.array_contains(known, n), F.lit("is unknown"))
     rows = edges.filter("predicate is not null").withColumn("w", why).filter("w is not null")

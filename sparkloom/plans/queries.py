@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import curie
+from ..functions.catalog import NS
 from ..kg import KG
 from ..operators import clique, closure, components, filters, merge, normalize, provenance, report, reshape, store, summary, validate
 from ..streaming import streams
@@ -26,7 +26,7 @@ def query(sql: str | None):
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = sql.replace("{W}", WITH)
+            ORACLES[f.__name__] = sql.replace("{W}", WITH).replace("{B}", NS)
         return f
 
     return add
@@ -117,9 +117,9 @@ def meta_graph_totals(spark, d):
     return summary.MetaGraph(graph(spark, d)).totals()
 
 
-@query("{W} select id, count(*) as n from (select id from n union all select subject from e where predicate = 'biolink:provides') group by 1 having count(*) > 1")
+@query("{W} select id, count(*) as n from (select id from n union all select subject from e where predicate = '{B}:provides') group by 1 having count(*) > 1")
 def duplicate_nodes(spark, d):
-    again = edges(spark, d).filter("predicate = 'biolink:provides'").select(F.col("subject").alias("id"))
+    again = edges(spark, d).filter(f"predicate = '{NS}:provides'").select(F.col("subject").alias("id"))
     return summary.duplicate_nodes(nodes(spark, d).select("id").unionByName(again))
 
 
@@ -129,15 +129,15 @@ def first_record(spark, d):
     return store.first_records(e, ("id",), "seq")
 
 
-@query("{W} select id, category from n where category in ('biolink:Agent', 'biolink:Event')")
+@query("{W} select id, category from n where category in ('{B}:Agent', '{B}:Event')")
 def node_filter_category(spark, d):
-    g = filters.Filters.of(nodes={"category": {"biolink:Agent", "biolink:Event"}}).apply(graph(spark, d))
+    g = filters.Filters.of(nodes={"category": {f"{NS}:Agent", f"{NS}:Event"}}).apply(graph(spark, d))
     return flat(g.nodes.select("id", "category"), "category")
 
 
-@query("{W} select subject, predicate, object, seq from e where predicate = 'biolink:located_in'")
+@query("{W} select subject, predicate, object, seq from e where predicate = '{B}:located_in'")
 def edge_filter_predicate(spark, d):
-    return filters.Filters.of(edges={"predicate": "biolink:located_in"}).apply(graph(spark, d)).edges.select("subject", "predicate", "object", "seq")
+    return filters.Filters.of(edges={"predicate": f"{NS}:located_in"}).apply(graph(spark, d)).edges.select("subject", "predicate", "object", "seq")
 
 
 @query("{W} select subject, predicate, object, seq from e where contains(predicate, 'part') or contains(predicate, 'input')")
@@ -145,14 +145,14 @@ def edge_filter_substring(spark, d):
     return filters.Filters.of(edges={"predicate": {"part", "input"}}).apply(graph(spark, d)).edges.select("subject", "predicate", "object", "seq")
 
 
-@query("{W} select subject, predicate, object, seq from e where subject in (select id from n where category = 'biolink:Agent')")
+@query("{W} select subject, predicate, object, seq from e where subject in (select id from n where category = '{B}:Agent')")
 def endpoint_gate_subject(spark, d):
-    return filters.Filters.of(edges={"subject_category": {"biolink:Agent"}}).apply(graph(spark, d)).edges.select("subject", "predicate", "object", "seq")
+    return filters.Filters.of(edges={"subject_category": {f"{NS}:Agent"}}).apply(graph(spark, d)).edges.select("subject", "predicate", "object", "seq")
 
 
-@query("{W}, k as (select id from n where category in ('biolink:Agent', 'biolink:GeographicLocation')) select subject, predicate, object, seq from e where subject in (from k) and object in (from k)")
+@query("{W}, k as (select id from n where category in ('{B}:Agent', '{B}:GeographicLocation')) select subject, predicate, object, seq from e where subject in (from k) and object in (from k)")
 def endpoint_gate_both(spark, d):
-    return filters.Filters.of(nodes={"category": {"biolink:Agent", "biolink:GeographicLocation"}}).apply(graph(spark, d)).edges.select("subject", "predicate", "object", "seq")
+    return filters.Filters.of(nodes={"category": {f"{NS}:Agent", f"{NS}:GeographicLocation"}}).apply(graph(spark, d)).edges.select("subject", "predicate", "object", "seq")
 
 
 @query("{W}, x as (select subject as id from e union all select object from e), c as (select id, count(*) as k from x group by 1) select n.id, coalesce(k, 0) as degree from n left join c using (id)")
@@ -160,9 +160,9 @@ def degree(spark, d):
     return store.degrees(graph(spark, d))
 
 
-@query("{W}, k as (select subject as id from e where predicate = 'biolink:located_in' union select object from e where predicate = 'biolink:located_in') select n.id from n where id in (from k)")
+@query("{W}, k as (select subject as id from e where predicate = '{B}:located_in' union select object from e where predicate = '{B}:located_in') select n.id from n where id in (from k)")
 def singleton_removal(spark, d):
-    g = filters.filter_edges(graph(spark, d), {"predicate": ["biolink:located_in"]})
+    g = filters.filter_edges(graph(spark, d), {"predicate": [f"{NS}:located_in"]})
     return reshape.remove_singletons(g).nodes.select("id")
 
 
@@ -171,7 +171,7 @@ def dangling_nodes(spark, d):
     return store.dangling(KG(nodes(spark, d, leave_out=("part",)), edges(spark, d)))
 
 
-@query("{W} select id, case when provided_by = 'part' then 'biolink:NamedThing' else category end as category from n where provided_by <> 'part' union all select distinct object, 'biolink:NamedThing' from e where split_part(object, ':', 1) = 'PART'")
+@query("{W} select id, case when provided_by = 'part' then '{B}:NamedThing' else category end as category from n where provided_by <> 'part' union all select distinct object, '{B}:NamedThing' from e where split_part(object, ':', 1) = 'PART'")
 def implicit_endpoints(spark, d):
     return flat(store.with_endpoints(KG(nodes(spark, d, leave_out=("part",)), edges(spark, d))).nodes.select("id", "category"), "category")
 
@@ -188,9 +188,9 @@ def set_attributes(spark, d):
     return store.set_attributes(nodes(spark, d).select("id", "name"), ["id"], new)
 
 
-@query("{W} select distinct replace(subject, 'SUPP:', 'VENDOR:') as subject, predicate, object from e where predicate in ('biolink:provides', 'biolink:located_in')")
+@query("{W} select distinct replace(subject, 'SUPP:', 'VENDOR:') as subject, predicate, object from e where predicate in ('{B}:provides', '{B}:located_in')")
 def relabel_nodes(spark, d):
-    g = filters.filter_edges(graph(spark, d), {"predicate": ["biolink:provides", "biolink:located_in"]})
+    g = filters.filter_edges(graph(spark, d), {"predicate": [f"{NS}:provides", f"{NS}:located_in"]})
     m = nodes(spark, d).filter("provided_by = 'supplier'").select(F.col("id").alias("old"), F.regexp_replace("id", "^SUPP:", "VENDOR:").alias("new"))
     return store.relabel(g.with_(edges=g.edges.drop("seq")), m).edges.select("subject", "predicate", "object")
 
@@ -200,40 +200,40 @@ def remap_identifier(spark, d):
     g = graph(spark, d)
     alt = F.when(F.col("id").startswith("CUST:"), F.array(F.regexp_replace("id", "^CUST:", "ALT:"), F.regexp_replace("id", "^CUST:", "MKT:")))
     g = g.with_(nodes=g.nodes.withColumn("xref", alt), edges=g.edges.select("subject", "predicate", "object"))
-    return reshape.remap_identifiers(g, "biolink:Agent", "xref", "MKT:").edges.select("subject", "predicate", "object")
+    return reshape.remap_identifiers(g, f"{NS}:Agent", "xref", "MKT:").edges.select("subject", "predicate", "object")
 
 
-@query("{W} select id, case when category = 'biolink:Agent' then provided_by else null end as description from n")
+@query("{W} select id, case when category = '{B}:Agent' then provided_by else null end as description from n")
 def remap_node_property(spark, d):
     g = graph(spark, d)
     g = g.with_(nodes=g.nodes.withColumn("description", F.lit(None).cast("string")))
-    return reshape.remap_node_property(g, "biolink:Agent", "description", "provided_by").nodes.select("id", "description")
+    return reshape.remap_node_property(g, f"{NS}:Agent", "description", "provided_by").nodes.select("id", "description")
 
 
-@query("{W} select subject, predicate, object, seq, case when predicate = 'biolink:provides' then aks else predicate end as relation from e")
+@query("{W} select subject, predicate, object, seq, case when predicate = '{B}:provides' then aks else predicate end as relation from e")
 def remap_edge_property(spark, d):
     g = graph(spark, d)
     g = g.with_(edges=g.edges.withColumn("relation", F.col("predicate")))
-    return reshape.remap_edge_property(g, "biolink:provides", "relation", "aks").edges.select("subject", "predicate", "object", "seq", "relation")
+    return reshape.remap_edge_property(g, f"{NS}:provides", "relation", "aks").edges.select("subject", "predicate", "object", "seq", "relation")
 
 
-@query("{W}, v as (select subject, min(object) as value from e where predicate = 'biolink:located_in' group by 1) select id, value as located_in from n left join v on id = subject")
+@query("{W}, v as (select subject, min(object) as value from e where predicate = '{B}:located_in' group by 1) select id, value as located_in from n left join v on id = subject")
 def fold_predicate(spark, d):
-    return reshape.fold_predicate(graph(spark, d), "biolink:located_in", remove_prefix=True).nodes.select("id", "located_in")
+    return reshape.fold_predicate(graph(spark, d), f"{NS}:located_in", remove_prefix=True).nodes.select("id", "located_in")
 
 
-@query("{W} select subject, predicate, object from e where predicate = 'biolink:part_of' union all select id, 'biolink:provided_by', provided_by from n")
+@query("{W} select subject, predicate, object from e where predicate = '{B}:part_of' union all select id, '{B}:provided_by', provided_by from n")
 def unfold_property(spark, d):
     g = graph(spark, d)
-    g = g.with_(edges=g.edges.filter("predicate = 'biolink:part_of'").select("subject", "predicate", "object"))
-    return reshape.unfold_property(g, "provided_by", "biolink").edges.select("subject", "predicate", "object")
+    g = g.with_(edges=g.edges.filter(f"predicate = '{NS}:part_of'").select("subject", "predicate", "object"))
+    return reshape.unfold_property(g, "provided_by", f"{NS}").edges.select("subject", "predicate", "object")
 
 
-@query("{W} select subject, predicate, object from e union all select id, 'biolink:provided_by', provided_by from n")
+@query("{W} select subject, predicate, object from e union all select id, '{B}:provided_by', provided_by from n")
 def unfold_property_all_edges(spark, d):
     g = graph(spark, d)
     g = g.with_(edges=g.edges.select("subject", "predicate", "object"))
-    return reshape.unfold_property(g, "provided_by", "biolink").edges.select("subject", "predicate", "object")
+    return reshape.unfold_property(g, "provided_by", f"{NS}").edges.select("subject", "predicate", "object")
 
 
 PRIORITY = ("1-URGENT", "2-HIGH")
@@ -245,7 +245,7 @@ def _two_graphs(spark, d):
     key = F.concat(F.lit("CUST:"), F.col("c_custkey").cast("string")).alias("id")
     a = c.select(key, F.col("c_name").alias("name"), F.array(F.lit("a")).alias("synonym"), F.col("c_mktsegment").alias("note"))
     b = c.select(key, F.col("c_mktsegment").alias("name"), F.array(F.col("c_mktsegment"), F.lit("a")).alias("synonym"), F.col("c_name").alias("note"))
-    e = read(spark, d, "customer").select(key.alias("subject"), F.lit("biolink:located_in").alias("predicate"), F.concat(F.lit("NATION:"), F.col("c_nationkey").cast("string")).alias("object"))
+    e = read(spark, d, "customer").select(key.alias("subject"), F.lit(f"{NS}:located_in").alias("predicate"), F.concat(F.lit("NATION:"), F.col("c_nationkey").cast("string")).alias("object"))
     return KG(a, e, "a"), KG(b, e, "b")
 
 
@@ -259,7 +259,7 @@ def merge_replace(spark, d):
     return flat(merge.merge(list(_two_graphs(spark, d)), preserve=False).nodes, "synonym")
 
 
-@query("select 'CUST:' || c_custkey as subject, 'biolink:located_in' as predicate, 'NATION:' || c_nationkey as object, 'CUST:' || c_custkey || '-biolink:located_in-NATION:' || c_nationkey as edge_key from customer")
+@query("select 'CUST:' || c_custkey as subject, '{B}:located_in' as predicate, 'NATION:' || c_nationkey as object, 'CUST:' || c_custkey || '-{B}:located_in-NATION:' || c_nationkey as edge_key from customer")
 def merge_edges(spark, d):
     return merge.merge_all(list(_two_graphs(spark, d))).edges
 
@@ -307,12 +307,12 @@ def clique_nodes(spark, d):
 
 
 @query(
-    "{W}, r as (select subject as id, object as ancestor, 1 as distance from e where predicate in ('biolink:part_of', 'biolink:located_in') "
-    "union select r.id, e.object, distance + 1 from r join e on e.subject = r.ancestor and e.predicate in ('biolink:part_of', 'biolink:located_in')) "
+    "{W}, r as (select subject as id, object as ancestor, 1 as distance from e where predicate in ('{B}:part_of', '{B}:located_in') "
+    "union select r.id, e.object, distance + 1 from r join e on e.subject = r.ancestor and e.predicate in ('{B}:part_of', '{B}:located_in')) "
     "select id, ancestor, min(distance)::int as distance from r group by 1, 2"
 )
 def ancestors_closure(spark, d):
-    return closure.ancestors(graph(spark, d), relations=("biolink:part_of", "biolink:located_in"))
+    return closure.ancestors(graph(spark, d), relations=(f"{NS}:part_of", f"{NS}:located_in"))
 
 
 @query("select p_partkey, 'infores:' || replace(regexp_replace(regexp_replace(regexp_replace(lower(trim('made by ' || p_brand || '. ' || p_type)), '\\s+', '_', 'g'), '\\.+', '_', 'g'), '[^\\w]', '', 'g'), '_', '-') as source from part")
@@ -340,7 +340,7 @@ def contract_expand(spark, d):
     return n.select("id", "iri", curie.contract("iri", m).alias("back"))
 
 
-@query("select p_partkey, lower(p_type) as sentence, replace(lower(p_type), ' ', '_') as snake, 'biolink:' || replace(lower(p_type), ' ', '_') as slot from part")
+@query("select p_partkey, lower(p_type) as sentence, replace(lower(p_type), ' ', '_') as snake, '{B}:' || replace(lower(p_type), ' ', '_') as slot from part")
 def name_cases(spark, d):
     p = read(spark, d, "part").withColumn("snake", curie.sentence_to_snake("p_type"))
     return p.select("p_partkey", curie.snake_to_sentence("snake").alias("sentence"), "snake", curie.slot_curie("p_type").alias("slot"))
@@ -385,7 +385,7 @@ def error_rollup(spark, d):
     return report.roll_up(f).select("level", "kind", "message", "n")
 
 
-@query("select 'USER:' || user_id as subject, 'biolink:' || event_type as predicate, 'EVENT:' || event_id as object from events")
+@query("select 'USER:' || user_id as subject, '{B}:' || event_type as predicate, 'EVENT:' || event_id as object from events")
 def events_as_edges(spark, d):
     e = read(spark, d, "events")
     return e.select(F.concat(F.lit("USER:"), F.col("user_id").cast("string")).alias("subject"), curie.slot_curie("event_type").alias("predicate"), F.concat(F.lit("EVENT:"), F.col("event_id").cast("string")).alias("object"))
@@ -449,9 +449,9 @@ def nt_roundtrip(spark, d):
     return roundtrips.ntriples(spark, g.with_(edges=g.edges.select("subject", "predicate", "object"))).edges.select("subject", "predicate", "object")
 
 
-@query("{W} select subject, predicate, object, seq from e where subject in (select id from n where category = 'biolink:Agent')")
+@query("{W} select subject, predicate, object, seq from e where subject in (select id from n where category = '{B}:Agent')")
 def stream_endpoint_gate(spark, d):
-    return streams.gated_files(spark, graph(spark, d), {"biolink:Agent"}).select("subject", "predicate", "object", "seq")
+    return streams.gated_files(spark, graph(spark, d), {f"{NS}:Agent"}).select("subject", "predicate", "object", "seq")
 
 
 @query("select event_type, count(*) as n from events group by 1")

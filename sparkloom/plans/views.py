@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.catalog import NS
 from ..kg import KG
 from ..session import ship
 
@@ -40,7 +41,7 @@ EDGE_TABLES = (
 def nodes(spark: SparkSession, sf_dir: str, leave_out: tuple[str, ...] = ()) -> DataFrame:
     """``id, name, category, provided_by`` of every row of the node tables."""
     parts = [
-        read(spark, sf_dir, t).select(_id(p, k).alias("id"), (F.col(n) if n else F.lit(None).cast("string")).alias("name"), F.array(F.lit(f"biolink:{c}")).alias("category"), F.lit(t).alias("provided_by"))
+        read(spark, sf_dir, t).select(_id(p, k).alias("id"), (F.col(n) if n else F.lit(None).cast("string")).alias("name"), F.array(F.lit(f"{NS}:{c}")).alias("category"), F.lit(t).alias("provided_by"))
         for t, p, k, n, c in NODE_TABLES
         if t not in leave_out
     ]
@@ -55,7 +56,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         line = t == "lineitem"
         parts.append(
             df.select(
-                _id(sp, sk).alias("subject"), F.lit(f"biolink:{pred}").alias("predicate"), _id(op, ok).alias("object"), F.lit(t).alias("aks"),
+                _id(sp, sk).alias("subject"), F.lit(f"{NS}:{pred}").alias("predicate"), _id(op, ok).alias("object"), F.lit(t).alias("aks"),
                 (F.col("l_quantity") if line else F.lit(None)).cast("long").alias("quantity"),
                 (F.col("l_orderkey") * 8 + F.col("l_linenumber") if line else F.lit(0)).cast("long").alias("seq"),
             )
@@ -67,9 +68,9 @@ def graph(spark: SparkSession, sf_dir: str) -> KG:
     return KG(nodes(spark, sf_dir), edges(spark, sf_dir), "tables")
 
 
-NODES_SQL = " union all ".join(f"select '{p}:' || {k} as id, {n or 'null'} as name, 'biolink:{c}' as category, '{t}' as provided_by from {t}" for t, p, k, n, c in NODE_TABLES)
+NODES_SQL = " union all ".join(f"select '{p}:' || {k} as id, {n or 'null'} as name, '{NS}:{c}' as category, '{t}' as provided_by from {t}" for t, p, k, n, c in NODE_TABLES)
 EDGES_SQL = " union all ".join(
-    f"select '{sp}:' || {sk} as subject, 'biolink:{pred}' as predicate, '{op}:' || {ok} as object, '{t}' as aks, "
+    f"select '{sp}:' || {sk} as subject, '{NS}:{pred}' as predicate, '{op}:' || {ok} as object, '{t}' as aks, "
     f"{'l_quantity::bigint' if t == 'lineitem' else 'null::bigint'} as quantity, {'(l_orderkey * 8 + l_linenumber)::bigint' if t == 'lineitem' else '0::bigint'} as seq from {t}"
     for t, sp, sk, pred, op, ok in EDGE_TABLES
 )

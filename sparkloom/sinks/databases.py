@@ -7,6 +7,7 @@ import sqlite3
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.catalog import NS
 from ..functions.curie import prefix_of, reference_of, safe_key
 from ..kg import KG
 from ..operators.normalize import edge_key, sanitize_export
@@ -60,13 +61,13 @@ def cypher_constraint(category: str) -> str:
 
 def cypher_node_batch(category: str) -> str:
     """Upsert of a batch of nodes of one category."""
-    return f"UNWIND $nodes AS node MERGE (n:`biolink:NamedThing` {{id: node.id}}) ON CREATE SET n += node, n:{label(category)} ON MATCH SET n += node, n:{label(category)}"
+    return f"UNWIND $nodes AS node MERGE (n:`{NS}:NamedThing` {{id: node.id}}) ON CREATE SET n += node, n:{label(category)} ON MATCH SET n += node, n:{label(category)}"
 
 
 def cypher_edge_batch(predicate: str) -> str:
     """Upsert of a batch of edges of one predicate."""
     return (
-        "UNWIND $edges AS edge MATCH (s:`biolink:NamedThing` {id: edge.subject}), (o:`biolink:NamedThing` {id: edge.object}) "
+        f"UNWIND $edges AS edge MATCH (s:`{NS}:NamedThing` {{id: edge.subject}}), (o:`{NS}:NamedThing` {{id: edge.object}}) "
         f"MERGE (s)-[r:{label(predicate)}]->(o) SET r += edge"
     )
 
@@ -76,11 +77,11 @@ def write_neo4j(kg: KG, uri: str, user: str, password: str) -> None:
     the edges of each predicate."""
     auth = {"url": uri, "authentication.basic.username": user, "authentication.basic.password": password}
     w = lambda df, **o: df.write.format("org.neo4j.spark.DataSource").mode("Overwrite").options(**auth, **o).save()
-    w(kg.nodes.drop(*HIDDEN), labels=":`biolink:NamedThing`", **{"node.keys": "id"})
+    w(kg.nodes.drop(*HIDDEN), labels=f":`{NS}:NamedThing`", **{"node.keys": "id"})
     for (p,) in kg.edges.select("predicate").distinct().collect():
         w(
             kg.edges.filter(F.col("predicate") == p).drop(*HIDDEN), relationship=p,
-            **{"relationship.save.strategy": "keys", "relationship.source.labels": ":`biolink:NamedThing`", "relationship.source.node.keys": "subject:id", "relationship.target.labels": ":`biolink:NamedThing`", "relationship.target.node.keys": "object:id"},
+            **{"relationship.save.strategy": "keys", "relationship.source.labels": f":`{NS}:NamedThing`", "relationship.source.node.keys": "subject:id", "relationship.target.labels": f":`{NS}:NamedThing`", "relationship.target.node.keys": "object:id"},
         )
 
 

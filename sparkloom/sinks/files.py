@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.catalog import DEFAULT_CATEGORY
+from ..functions.catalog import DEFAULT_CATEGORY, NS
 from ..functions.curie import expand, is_curie, is_iri
 from ..kg import KG
 from ..operators.normalize import col, edge_key, sanitize_export, used_properties
@@ -174,7 +174,7 @@ def _property_lines(df: DataFrame, subject: Column, names: list[str], px: dict[s
     lines = []
     for n in names:
         t = df.schema[n].dataType
-        pred = _uri(F.lit(f"biolink:{n}") if ":" not in n else F.lit(n), px)
+        pred = _uri(F.lit(f"{NS}:{n}") if ":" not in n else F.lit(n), px)
         kind = XSD.get((t.elementType if isinstance(t, T.ArrayType) else t).simpleString())
         line = partial(_line, subject, pred, px, n in uris, kind)
         one = F.transform(F.filter(col(n), lambda x: x.isNotNull()), lambda v: line(v)) if isinstance(t, T.ArrayType) else F.when(col(n).isNotNull(), F.array(line(col(n))))
@@ -199,8 +199,8 @@ def ntriples(kg: KG, reify_all: bool = False, prefixes: dict[str, str] | None =
         has = has | col(c).isNotNull()
     me = _uri(F.coalesce("id", edge_key()) if "id" in e.columns else edge_key(), px)
     slot = lambda name, v: F.concat_ws(" ", me, _uri(F.lit(name), px), v, F.lit("."))
-    kind = slot("rdf:type", _uri(F.lit("biolink:Association"), px))
-    body = F.concat(F.array(kind, slot("biolink:subject", s), slot("biolink:predicate", p), slot("biolink:object", o)), _property_lines(e, me, extra, px, URIS))
+    kind = slot("rdf:type", _uri(F.lit(f"{NS}:Association"), px))
+    body = F.concat(F.array(kind, slot(f"{NS}:subject", s), slot(f"{NS}:predicate", p), slot(f"{NS}:object", o)), _property_lines(e, me, extra, px, URIS))
     el = e.select(F.explode(F.concat(F.array(direct), F.when(has, body).otherwise(F.array().cast("array<string>")))).alias("value"))
     return nl.unionByName(el)
 
@@ -210,7 +210,7 @@ def write_ntriples(kg: KG, path: str, reify_all: bool = False, compression: str
     return path
 
 
-VALUE_TYPES = {"provided_by": "biolink:Agent", "xref": "EDAM:data_0896", "synonym": "biolink:Phenomenon", "description": "biolink:Phenomenon"}
+VALUE_TYPES = {"provided_by": f"{NS}:Agent", "xref": "EDAM:data_0896", "synonym": f"{NS}:Phenomenon", "description": f"{NS}:Phenomenon"}
 
 
 def _json_value(df: DataFrame, n: str, listed: bool) -> Column:
@@ -227,7 +227,7 @@ def _attributes(df: DataFrame, skip: tuple[str, ...]) -> Column:
         if n in skip or n.startswith("_") or n.endswith("_qualifier"):
             continue
         kind = f', "value_type_id": "{VALUE_TYPES[n]}"' if n in VALUE_TYPES else ""
-        name = n if n.startswith("biolink:") else f"biolink:{n}"
+        name = n if n.startswith(f"{NS}:") else f"{NS}:{n}"
         v = _json_value(df, n, n in ("provided_by", "xref", "synonym"))
         empty = F.size(col(n)) == 0 if isinstance(df.schema[n].dataType, T.ArrayType) else F.lit(False)
         parts_.append(F.when(col(n).isNotNull() & ~empty, F.concat(F.lit(f'{{"attribute_type_id": "{name}", "value": '), v, F.lit(kind + "}"))))
@@ -240,7 +240,7 @@ def trapi(kg: KG, knowledge_source: str | None = None) -> tuple[DataFrame, DataF
     n, e = kg.nodes, kg.edges
     many = "category" in n.columns and isinstance(n.schema["category"].dataType, T.ArrayType)
     cats = F.coalesce(F.col("category") if many else F.array("category"), F.array(F.lit(DEFAULT_CATEGORY))) if "category" in n.columns else F.array(F.lit(DEFAULT_CATEGORY))
-    cats = F.transform(cats, lambda c: F.when(c.startswith("biolink:"), c).otherwise(F.concat(F.lit("biolink:"), c)))
+    cats = F.transform(cats, lambda c: F.when(c.startswith(f"{NS}:"), c).otherwise(F.concat(F.lit(f"{NS}:"), c)))
     name = _json_value(n, "name", False) if "name" in n.columns else F.lit(None).cast("string")
     v = F.concat(F.lit('{"categories": '), F.to_json(cats), F.coalesce(F.concat(F.lit(', "name": '), name), F.lit("")), F.lit(', "attributes": '), _attributes(n, ("id", "name", "category", "is_set", *HIDDEN)), F.lit("}"))
     last = lambda df: df.groupBy("k").agg(F.max_by("v", "s").alias("v"))
@@ -257,7 +257,7 @@ def trapi(kg: KG, knowledge_source: str | None = None) -> tuple[DataFrame, DataF
         other = F.filter(by, lambda x: x.isNotNull() & (x != primary))
         sources.append(F.array_join(F.transform(other, lambda x: F.concat(F.lit('{"resource_id": "'), infores(x), F.lit('", "resource_role": "aggregator_knowledge_source"}'))), ", "))
     src = F.concat(F.lit("["), F.concat_ws(", ", *[F.when(s != "", s) for s in sources]), F.lit("]"))
-    quals = [F.when(col(q).isNotNull(), F.concat(F.lit(f'{{"qualifier_type_id": "biolink:{q}", "qualifier_value": '), _json_value(e, q, False), F.lit("}"))) for q in e.columns if q.endswith("_qualifier")]
+    quals = [F.when(col(q).isNotNull(), F.concat(F.lit(f'{{"qualifier_type_id": "{NS}:{q}", "qualifier_value": '), _json_value(e, q, False), F.lit("}"))) for q in e.columns if q.endswith("_qualifier")]
     q = F.concat_ws(", ", *quals) if quals else F.lit("")
     text = lambda c: _json_value(e, c, False)
     skip = ("id", "subject", "predicate", "object", "primary_knowledge_source", "pks_record_urls", "provided_by", "qualifiers", *HIDDEN)
@@ -276,7 +276,7 @@ def write_trapi(spark: SparkSession, kg: KG, path: str, knowledge_source: str |
         typed = lambda df, t: df.select(F.concat(F.lit(f'{{"type": "{t}", "id": "'), F.regexp_replace("k", r'(["\\])', r"\\$1"), F.lit('", '), F.substring("v", 2, 1 << 30)).alias("value"))
         typed(nodes, "node").unionByName(typed(edges, "edge")).write.mode("overwrite").text(path)
         return path
-    return write_document(spark, {"nodes": nodes, "edges": edges}, path, f'{{"knowledge_graph": {{"biolink_version": "{version}", ', "}}\n")
+    return write_document(spark, {"nodes": nodes, "edges": edges}, path, f'{{"knowledge_graph": {{"{NS}_version": "{version}", ', "}}\n")
 
 
 def shown_properties(kg: KG) -> tuple[list[str], list[str]]:

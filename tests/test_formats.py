@@ -6,6 +6,7 @@ import tarfile
 
 import pytest
 
+from sparkloom.functions.catalog import NS
 from sparkloom.kg import KG
 from sparkloom.operators.filters import Filters
 from sparkloom.plans import transformer
@@ -14,8 +15,8 @@ from sparkloom.sinks import files
 from sparkloom.sources import databases, delimited, jsons, rdf, sssom
 from sparkloom.sources.common import ReadOptions
 
-NODES = "id\tcategory\tname\tsynonym\ttaxon\nX:1\tbiolink:Gene|biolink:NamedThing\tone\tb|a|a\t9606\nX:2\tbiolink:Disease\ttwo\t\t\n\tbiolink:Gene\tno id\t\t\nX:3\t\tthree\tc\t\n"
-EDGES = "subject\tpredicate\tobject\tpublications\tnegated\nX:1\tbiolink:related_to\tX:2\tP:2|P:1\tFalse\nX:2\tbiolink:part_of\tX:3\t\t\nX:2\t\tX:3\t\t\n"
+NODES = f"id\tcategory\tname\tsynonym\ttaxon\nX:1\t{NS}:Gene|{NS}:NamedThing\tone\tb|a|a\t9606\nX:2\t{NS}:Disease\ttwo\t\t\n\t{NS}:Gene\tno id\t\t\nX:3\t\tthree\tc\t\n"
+EDGES = f"subject\tpredicate\tobject\tpublications\tnegated\nX:1\t{NS}:related_to\tX:2\tP:2|P:1\tFalse\nX:2\t{NS}:part_of\tX:3\t\t\nX:2\t\tX:3\t\t\n"
 
 
 @pytest.fixture
@@ -32,9 +33,9 @@ def rows(df, *names):
 def test_tsv(spark, tsv):
     g = delimited.load(spark, tsv)
     assert rows(g.nodes, "id", "name", "synonym") == [("X:1", "one", ("a", "b")), ("X:2", "two", None), ("X:3", "three", ("c",))]
-    assert rows(g.nodes.filter("id = 'X:1'"), "category") == [(("biolink:Gene", "biolink:NamedThing"),)]
-    assert g.nodes.filter("id = 'X:3'").first().category == ["biolink:NamedThing"]
-    assert rows(g.edges, "subject", "predicate", "object", "edge_key") == [("X:1", "biolink:related_to", "X:2", "X:1-biolink:related_to-X:2"), ("X:2", "biolink:part_of", "X:3", "X:2-biolink:part_of-X:3")]
+    assert rows(g.nodes.filter("id = 'X:1'"), "category") == [((f"{NS}:Gene", f"{NS}:NamedThing"),)]
+    assert g.nodes.filter("id = 'X:3'").first().category == [f"{NS}:NamedThing"]
+    assert rows(g.edges, "subject", "predicate", "object", "edge_key") == [("X:1", f"{NS}:related_to", "X:2", f"X:1-{NS}:related_to-X:2"), ("X:2", f"{NS}:part_of", "X:3", f"X:2-{NS}:part_of-X:3")]
     first = g.edges.filter("subject = 'X:1'").first()
     assert first.publications == ["P:1", "P:2"] and first.negated is True and first.id.startswith("urn:uuid:")
 
@@ -42,7 +43,7 @@ def test_tsv(spark, tsv):
 def test_tsv_of_a_missing_role_and_filters(spark, tsv):
     g = delimited.load(spark, tsv[:1])
     assert g.edges.count() == 0 and g.nodes.count() == 3
-    o = ReadOptions(filters=Filters.of({"category": {"biolink:Gene"}}))
+    o = ReadOptions(filters=Filters.of({"category": {f"{NS}:Gene"}}))
     g = delimited.load(spark, tsv, o=o)
     assert rows(g.nodes, "id") == [("X:1",)] and g.edges.count() == 0
 
@@ -58,7 +59,7 @@ def test_archive_round_trip(spark, tsv, tmp_path):
 
 
 def test_csv_quoting(spark, tmp_path):
-    (tmp_path / "a_nodes.csv").write_text('id,category,name\nX:1,biolink:Gene,"one, ""two""\nlines"\n')
+    (tmp_path / "a_nodes.csv").write_text(f'id,category,name\nX:1,{NS}:Gene,"one, ""two""\nlines"\n')
     g = delimited.load(spark, str(tmp_path / "a_nodes.csv"), "csv")
     assert g.nodes.first().name == 'one, "two" lines'
 
@@ -97,7 +98,7 @@ def test_parquet_and_databases(spark, tsv, tmp_path):
 def test_ntriples(spark, tmp_path):
     lines = [
         "<http://purl.obolibrary.org/obo/HP_1> <http://www.w3.org/2000/01/rdf-schema#label> \"a \\\"b\\\" \\u00e9\"@en .",
-        "<http://purl.obolibrary.org/obo/HP_1> <https://w3id.org/biolink/vocab/category> <https://w3id.org/biolink/vocab/PhenotypicFeature> .",
+        f"<http://purl.obolibrary.org/obo/HP_1> <https://w3id.org/{NS}/vocab/category> <https://w3id.org/{NS}/vocab/PhenotypicFeature> .",
         "<http://purl.obolibrary.org/obo/HP_1> <http://www.w3.org/2000/01/rdf-schema#subClassOf> <http://purl.obolibrary.org/obo/HP_2> .",
         "# a comment", "", "broken line",
     ]
@@ -105,7 +106,7 @@ def test_ntriples(spark, tmp_path):
     g = rdf.load_ntriples(spark, str(tmp_path / "a.nt"))
     n = {r.id: r for r in g.nodes.collect()}
     assert set(n) == {"HP:1", "HP:2"} and n["HP:1"].name == 'a "b" é'
-    assert rows(g.edges, "subject", "predicate", "object") == [("HP:1", "biolink:subclass_of", "HP:2")]
+    assert rows(g.edges, "subject", "predicate", "object") == [("HP:1", f"{NS}:subclass_of", "HP:2")]
     with pytest.raises(Exception, match="malformed"):
         rdf.read_ntriples(spark, str(tmp_path / "a.nt"), strict=True).collect()
 
@@ -126,7 +127,7 @@ def test_obograph(spark, tmp_path):
     g = jsons.load_obograph(spark, str(tmp_path / "o.json"))
     one = g.nodes.filter("id = 'HP:1'").first()
     assert one.name == "one" and one.description == "first"
-    assert rows(g.edges, "subject", "predicate", "object") == [("HP:1", "biolink:subclass_of", "HP:2")]
+    assert rows(g.edges, "subject", "predicate", "object") == [("HP:1", f"{NS}:subclass_of", "HP:2")]
 
 
 def test_trapi_round_trip(spark, tsv, tmp_path):
@@ -144,7 +145,7 @@ def test_mapping_set(spark, tmp_path):
     (tmp_path / "m.tsv").write_text("#mapping_provider: someone\nsubject_id\tsubject_label\tpredicate_id\tobject_id\tconfidence\nA:1\tone\tskos:exactMatch\tB:1\t0.9\n")
     g = sssom.load(spark, str(tmp_path / "m.tsv"))
     e = g.edges.first()
-    assert (e.subject, e.predicate, e.object, e.confidence, e.knowledge_source) == ("A:1", "biolink:exact_match", "B:1", "0.9", "someone")
+    assert (e.subject, e.predicate, e.object, e.confidence, e.knowledge_source) == ("A:1", f"{NS}:exact_match", "B:1", "0.9", "someone")
     assert rows(g.nodes, "id") == [("A:1",), ("B:1",)]
 
 
@@ -170,6 +171,6 @@ def test_command_line(spark, tsv, tmp_path, capsys):
 
 
 def test_statements():
-    assert "MATCH" in databases.cypher_nodes({"category": {"biolink:Gene"}}, 0, 10)
-    assert db.cypher_constraint("biolink:Gene").endswith("REQUIRE n.id IS UNIQUE")
+    assert "MATCH" in databases.cypher_nodes({"category": {f"{NS}:Gene"}}, 0, 10)
+    assert db.cypher_constraint(f"{NS}:Gene").endswith("REQUIRE n.id IS UNIQUE")
     assert isinstance(KG, type)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import curie
-from sparkloom.functions.catalog import catalog
+from sparkloom.functions.catalog import NS, catalog
 from sparkloom.kg import KG
 from sparkloom.operators import clique, closure, components, filters, merge, normalize, provenance, summary, validate
 from sparkloom.streaming import streams
@@ -28,7 +28,7 @@ def one(spark, value, f):
         (curie.is_iri, "http://x/y", True), (curie.prefix_of, "HP:1", "HP"), (curie.reference_of, "HP:1", "1"), (curie.prefix_of, "x", None),
         (curie.camel_to_sentence, "NamedThing", "named thing"), (curie.snake_to_sentence, "named_thing", "named thing"),
         (curie.sentence_to_snake, "Named thing", "named_thing"), (curie.sentence_to_camel, "named thing", "NamedThing"),
-        (curie.category_curie, "named thing", "biolink:NamedThing"), (curie.slot_curie, "related to", "biolink:related_to"),
+        (curie.category_curie, "named thing", f"{NS}:NamedThing"), (curie.slot_curie, "related to", f"{NS}:related_to"),
     ],
 )
 def test_names(spark, f, value, want):
@@ -66,9 +66,9 @@ def test_closure_with_a_cycle(spark):
 
 
 def test_clique_merge(spark):
-    gene, disease = ["biolink:Gene"], ["biolink:Disease"]
+    gene, disease = [f"{NS}:Gene"], [f"{NS}:Disease"]
     nodes = [("HGNC:1", gene, "one", None), ("ENSEMBL:1", gene, None, ["HGNC:1"]), ("MONDO:1", disease, "d", ["HGNC:1"]), ("X:9", gene, "alone", None)]
-    edges = [("ENSEMBL:1", "biolink:same_as", "NCBIGene:1"), ("NCBIGene:1", "biolink:related_to", "X:9"), ("X:9", "biolink:related_to", "ENSEMBL:1")]
+    edges = [("ENSEMBL:1", f"{NS}:same_as", "NCBIGene:1"), ("NCBIGene:1", f"{NS}:related_to", "X:9"), ("X:9", f"{NS}:related_to", "ENSEMBL:1")]
     out = clique.clique_merge(graph(spark, [*nodes, ("NCBIGene:1", gene, "n", None)], edges), priority=["HGNC", "NCBIGene", "ENSEMBL"])
     n = {r.id: r for r in out.nodes.collect()}
     assert set(n) == {"HGNC:1", "MONDO:1", "X:9"} and n["HGNC:1"].same_as == ["ENSEMBL:1", "NCBIGene:1"] and n["HGNC:1"].clique_leader
@@ -85,10 +85,10 @@ def test_merge_keeps_all_values_of_other_properties(spark):
 
 
 def test_filters_imply_each_other(spark):
-    f = filters.Filters.of({"category": {"biolink:Gene"}}, {"subject_category": {"biolink:Disease"}, "predicate": {"biolink:x"}})
-    assert f.nodes["category"] == {"biolink:Gene", "biolink:Disease"} and f.edges["object_category"] == {"biolink:Gene"}
+    f = filters.Filters.of({"category": {f"{NS}:Gene"}}, {"subject_category": {f"{NS}:Disease"}, "predicate": {f"{NS}:x"}})
+    assert f.nodes["category"] == {f"{NS}:Gene", f"{NS}:Disease"} and f.edges["object_category"] == {f"{NS}:Gene"}
     with pytest.raises(TypeError):
-        filters.Filters.of({"category": ["biolink:Gene"]})
+        filters.Filters.of({"category": [f"{NS}:Gene"]})
     assert filters.sql_where({"id": "a'b"}) == "\"id\" IN ('a''b')"
 
 
@@ -106,17 +106,17 @@ def test_import_rules(spark):
 
 
 def test_validation(spark):
-    g = graph(spark, [("X:1", ["biolink:Gene"], "a", None), ("bad id", ["biolink:gene"], None, None)], [("X:1", "biolink:BAD", "Y:1")])
+    g = graph(spark, [("X:1", [f"{NS}:Gene"], "a", None), ("bad id", [f"{NS}:gene"], None, None)], [("X:1", f"{NS}:BAD", "Y:1")])
     kinds = {(r.entity, r.kind) for r in validate.validate(g, prefixes={"X"}).collect()}
     assert ("bad id", "INVALID_NODE_PROPERTY_VALUE") in kinds and ("bad id", "INVALID_CATEGORY") in kinds and ("X:1-Y:1", "INVALID_EDGE_PREDICATE") in kinds
     assert not any(e == "X:1" for e, _ in kinds)
 
 
 def test_summary_counts_the_unknown(spark):
-    g = graph(spark, [("X:1", ["biolink:Gene", "biolink:NamedThing"], "a", None), ("Y:1", None, None, None)], [("X:1", "biolink:related_to", "Y:1"), ("X:1", None, "Z:1")])
+    g = graph(spark, [("X:1", [f"{NS}:Gene", f"{NS}:NamedThing"], "a", None), ("Y:1", None, None, None)], [("X:1", f"{NS}:related_to", "Y:1"), ("X:1", None, "Z:1")])
     s = summary.graph_summary(g)
     assert s["node_stats"]["count_by_category"]["unknown"]["count"] == 1 and s["node_stats"]["count_by_id_prefixes"] == {"X": 2, "Y": 1}
-    assert s["edge_stats"]["count_by_spo"]["biolink:Gene-biolink:related_to-unknown"]["count"] == 1 and s["edge_stats"]["total_edges"] == 1
+    assert s["edge_stats"]["count_by_spo"][f"{NS}:Gene-{NS}:related_to-unknown"]["count"] == 1 and s["edge_stats"]["total_edges"] == 1
 
 
 def test_streamed_upserts(spark, tmp_path):
