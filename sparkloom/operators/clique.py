@@ -50,12 +50,43 @@ def checked_categories(nodes: DataFrame, cat: Catalog | None = None) -> DataFram
     )
 
 
-def cliques(kg: KG, strict: bool = True, cat: Catalog | None = None) -> DataFrame:
+def with_categories(kg: KG, pairs: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
+    """``id, category`` of every node, renamed by ``mapping`` (categories that are not of
+    the model to those that are); a node without one takes that of its equivalent node of
+    the least id that has one."""
+    own = kg.nodes.select("id", "category" if isinstance(kg.nodes.schema["category"].dataType, T.ArrayType) else F.array("category").alias("category"))
+    if mapping:
+        names = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
+        own = own.withColumn("category", F.transform("category", lambda c: F.coalesce(names[c], c)))
+    has = own.filter(F.size(F.filter("category", lambda c: c.isNotNull())) > 0)
+    both = pairs.select("a", "b").union(pairs.select("b", "a")).toDF("id", "other")
+    lent = both.join(has.select("id"), "id", "left_anti").join(has.toDF("other", "category"), "other")
+    return has.unionByName(lent.groupBy("id").agg(F.min_by("category", "other").alias("category")))
+
+
+def _lines(spark, cat: Catalog) -> DataFrame:
+    return cat.ancestor_table(spark).groupBy("category").agg(F.collect_set("ancestor").alias("line"), F.count(F.lit(1)).alias("depth"))
+
+
+def clique_categories(comp: DataFrame, valid: DataFrame, cat: Catalog | None = None) -> DataFrame:
+    """``clique, category, line, categories``: the most specific category of the members
+    (of most ancestors, the first by name of equals), its ancestors, and the members'
+    categories with all above them, from the most specific to the most general."""
+    cat = cat or catalog()
+    lines = F.broadcast(_lines(comp.sparkSession, cat))
+    named = comp.join(valid.select("id", F.explode("valid").alias("category")), "id").select("clique", "category").distinct()
+    every = named.join(lines, "category").select("clique", F.explode("line").alias("category")).distinct().join(lines, "category")
+    order = F.array_sort(F.collect_set(F.struct((-F.col("depth")).alias("d"), "category")))
+    top = named.join(lines, "category").groupBy("clique").agg(F.min_by(F.struct("category", "line"), F.struct(-F.col("depth"), "category")).alias("k"))
+    return every.groupBy("clique").agg(F.transform(order, lambda x: x["category"]).alias("categories")).join(top, "clique").select("clique", "k.category", "k.line", "categories")
+
+
+def cliques(kg: KG, strict: bool = True, cat: Catalog | None = None, mapping: dict[str, str] | None = None) -> DataFrame:
     """``id, clique`` of the equivalent nodes.
 
     Components are found; with ``strict``, nodes whose category is not on the line of
-    their component's category are expelled, and components are found again, since one
-    that held two parts together may be gone.
+    their component's category are expelled, and where any was, components are found
+    again, since one that held two parts together may be gone.
     """
     ensure_checkpoint_dir(kg.nodes.sparkSession)
     pairs = equivalences(kg).checkpoint()
@@ -63,13 +94,13 @@ def cliques(kg: KG, strict: bool = True, cat: Catalog | None = None) -> DataFram
     if not strict or "category" not in kg.nodes.columns:
         return comp
     cat = cat or catalog()
-    depth = cat.ancestor_table(kg.nodes.sparkSession).groupBy("category").agg(F.collect_set("ancestor").alias("line"), F.count(F.lit(1)).alias("depth"))
-    valid = checked_categories(kg.nodes, cat)
-    member = comp.join(valid, "id", "left")
-    c = member.select("clique", F.explode("valid").alias("category")).join(F.broadcast(depth), "category")
-    kind = c.groupBy("clique").agg(F.max(F.struct("depth", "category", "line")).alias("k")).select("clique", F.col("k.line").alias("line"))
+    valid = checked_categories(with_categories(kg, pairs, mapping).join(comp.select("id"), "id", "left_semi"), cat).checkpoint()
+    member = comp.join(valid, "id")
+    kind = clique_categories(comp, valid, cat).select("clique", "line")
     bad = member.join(kind, "clique").filter((F.size("valid") > 0) & ~F.arrays_overlap("valid", "line")).select(F.col("id").alias("x"))
-    bad = bad.union(valid.filter(F.size("outside") > 0).select("id")).distinct()
+    bad = bad.union(valid.filter(F.size("outside") > 0).select("id")).distinct().checkpoint()
+    if bad.isEmpty():
+        return comp
     left = pairs.join(bad, F.col("a") == F.col("x"), "left_anti").join(bad, F.col("b") == F.col("x"), "left_anti")
     return connected_components(left, "a", "b").toDF("id", "clique").checkpoint()
 
@@ -103,14 +134,15 @@ def leaders(kg: KG, comp: DataFrame, annotation: str = "clique_leader", priority
     return best.select("clique", F.col("w.id").alias("leader"), F.col("w.how").alias("election_strategy"))
 
 
-def clique_merge(kg: KG, annotation: str = "clique_leader", priority: list[str] | None = None, by_category: dict[str, list[str]] | None = None, strict: bool = True) -> KG:
-    """Equivalent nodes collapse into their leader.
+def clique_merge(kg: KG, annotation: str = "clique_leader", priority: list[str] | None = None, by_category: dict[str, list[str]] | None = None, strict: bool = True, category_mapping: dict[str, str] | None = None) -> KG:
+    """Equivalent nodes collapse into their leader. ``category_mapping`` names the model's
+    categories for others, before they are checked.
 
     Edges move to it, with the true ends in ``_original_subject`` and
     ``_original_object``; ``same_as`` edges go, as do ``subclass_of`` loops that arise.
     The leader's ``same_as`` lists the other members, which are removed.
     """
-    comp = cliques(kg, strict)
+    comp = cliques(kg, strict, mapping=category_mapping)
     lead = leaders(kg, comp, annotation, priority, by_category)
     who = comp.join(lead, "clique").select("id", "leader", "election_strategy").checkpoint()  # as many rows as equivalent nodes
     edges = kg.edges.filter((F.col("predicate") != SAME) | F.col("predicate").isNull())

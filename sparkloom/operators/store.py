@@ -26,9 +26,9 @@ def last_values(df: DataFrame, keys: tuple[str, ...], seq: str | Column) -> Data
     return df.groupBy(*keys).agg(*aggs) if aggs else df.select(*keys).distinct()
 
 
-def first_records(df: DataFrame, keys: tuple[str, ...], seq: str) -> DataFrame:
-    """The first whole record of every key."""
-    rest = [c for c in df.columns if c not in keys and c != seq]
+def first_records(df: DataFrame, keys: tuple[str, ...], seq: str, keep: bool = False) -> DataFrame:
+    """The first whole record of every key; with ``keep``, its ``seq`` too."""
+    rest = [c for c in df.columns if c not in keys and (keep or c != seq)]
     return df.groupBy(*keys).agg(F.min_by(F.struct(*[col(c) for c in rest]), F.col(seq)).alias("r")).select(*keys, *[F.col("r").getField(c).alias(c) for c in rest])
 
 

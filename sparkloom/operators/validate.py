@@ -131,3 +131,20 @@ def validate_edges(edges: DataFrame, prefixes: set[str] | None = None, cat: Cata
 def validate(kg: KG, prefixes: set[str] | None = None, cat: Catalog | None = None) -> DataFrame:
     """All findings on a graph: ``entity, level, kind, message``."""
     return validate_nodes(kg.nodes, prefixes, cat).unionByName(validate_edges(kg.edges, prefixes, cat))
+
+
+def dropped_nodes(nodes: DataFrame) -> DataFrame:
+    """Findings on the records that import leaves out or completes: no id, no category."""
+    lacks = null_if_blank(F.col("id")).isNull()
+    kind = nodes.schema["category"].dataType if "category" in nodes.columns else None
+    bare = F.lit(True) if kind is None else F.size("category") < 1 if isinstance(kind, T.ArrayType) else null_if_blank(F.col("category")).isNull()
+    none = nodes.filter(lacks).select(*finding(F.lit(""), "MISSING_NODE_PROPERTY", "Required property 'id' is missing"))
+    return none.unionByName(nodes.filter(~lacks & F.coalesce(bare, F.lit(True))).select(*finding(F.col("id"), "MISSING_CATEGORY", "No category; the default one is taken", "WARNING")))
+
+
+def dropped_edges(edges: DataFrame) -> DataFrame:
+    """Findings on the edges that import leaves out, one for each part that is missing."""
+    lacks = [F.when(null_if_blank(F.col(c)).isNull(), F.lit(c)) for c in ("subject", "predicate", "object")]
+    rows = edges.select(_entity(True).alias("e"), F.explode(F.filter(F.array(*lacks), lambda x: x.isNotNull())).alias("p"))
+    kind = F.when(F.col("p") == "predicate", "MISSING_EDGE_PREDICATE").otherwise("MISSING_EDGE_PROPERTY").alias("kind")
+    return rows.select(F.col("e").alias("entity"), F.lit("ERROR").alias("level"), kind, F.concat(F.lit("Required property '"), F.col("p"), F.lit("' is missing")).alias("message"))

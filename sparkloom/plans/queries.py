@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import curie
@@ -12,31 +9,11 @@ from ..functions.catalog import NS
 from ..kg import KG
 from ..operators import clique, closure, components, filters, merge, normalize, provenance, report, reshape, store, summary, validate
 from ..streaming import streams
-from . import roundtrips
+from ..sources import databases
+from .registry import ORACLES, QUERIES, flat, query
 from .views import WITH, edges, graph, nodes, read
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    """Register a query and its SQL; ``{W}`` stands for the graph's views ``n`` and ``e``."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql.replace("{W}", WITH).replace("{B}", NS)
-        return f
-
-    return add
-
-
-def flat(df: DataFrame, *names: str) -> DataFrame:
-    """Lists as one string each, for results that any engine compares alike."""
-    for n in names:
-        df = df.withColumn(n, F.concat_ws("|", n))
-    return df
+__all__ = ["ORACLES", "QUERIES"]
 
 
 @query("{W} select id, name, category, provided_by from n")
@@ -160,10 +137,11 @@ def degree(spark, d):
     return store.degrees(graph(spark, d))
 
 
-@query("{W}, k as (select subject as id from e where predicate = '{B}:located_in' union select object from e where predicate = '{B}:located_in') select n.id from n where id in (from k)")
+@query("{W}, k as (select subject as id from e union select object from e) select n.id from n where id in (from k) and provided_by <> 'nowhere'")
 def singleton_removal(spark, d):
-    g = filters.filter_edges(graph(spark, d), {"predicate": [f"{NS}:located_in"]})
-    return reshape.remove_singletons(g).nodes.select("id")
+    lonely = nodes(spark, d).limit(0).unionByName(read(spark, d, "customer").select(F.concat(F.lit("LONE:"), F.col("c_custkey").cast("string")).alias("id"), F.lit(None).cast("string").alias("name"), F.array(F.lit("x")).alias("category"), F.lit("nowhere").alias("provided_by")))
+    g = graph(spark, d)
+    return reshape.remove_singletons(g.with_(nodes=g.nodes.unionByName(lonely))).nodes.select("id")
 
 
 @query("{W} select distinct object as id from e where split_part(object, ':', 1) = 'PART'")
@@ -188,9 +166,9 @@ def set_attributes(spark, d):
     return store.set_attributes(nodes(spark, d).select("id", "name"), ["id"], new)
 
 
-@query("{W} select distinct replace(subject, 'SUPP:', 'VENDOR:') as subject, predicate, object from e where predicate in ('{B}:provides', '{B}:located_in')")
+@query("{W} select distinct replace(subject, 'SUPP:', 'VENDOR:') as subject, predicate, object from e")
 def relabel_nodes(spark, d):
-    g = filters.filter_edges(graph(spark, d), {"predicate": [f"{NS}:provides", f"{NS}:located_in"]})
+    g = graph(spark, d)
     m = nodes(spark, d).filter("provided_by = 'supplier'").select(F.col("id").alias("old"), F.regexp_replace("id", "^SUPP:", "VENDOR:").alias("new"))
     return store.relabel(g.with_(edges=g.edges.drop("seq")), m).edges.select("subject", "predicate", "object")
 
@@ -222,15 +200,8 @@ def fold_predicate(spark, d):
     return reshape.fold_predicate(graph(spark, d), f"{NS}:located_in", remove_prefix=True).nodes.select("id", "located_in")
 
 
-@query("{W} select subject, predicate, object from e where predicate = '{B}:part_of' union all select id, '{B}:provided_by', provided_by from n")
-def unfold_property(spark, d):
-    g = graph(spark, d)
-    g = g.with_(edges=g.edges.filter(f"predicate = '{NS}:part_of'").select("subject", "predicate", "object"))
-    return reshape.unfold_property(g, "provided_by", f"{NS}").edges.select("subject", "predicate", "object")
-
-
 @query("{W} select subject, predicate, object from e union all select id, '{B}:provided_by', provided_by from n")
-def unfold_property_all_edges(spark, d):
+def unfold_property(spark, d):
     g = graph(spark, d)
     g = g.with_(edges=g.edges.select("subject", "predicate", "object"))
     return reshape.unfold_property(g, "provided_by", f"{NS}").edges.select("subject", "predicate", "object")
@@ -396,9 +367,18 @@ def json_props(spark, d):
     return read(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-@query("{W} select id, name, category, provided_by from n order by id limit 500 offset 1000")
+@query(
+    "{W}, r as (select 'node' as kind, id as a, '' as b, '' as c, row_number() over (order by id) - 1 as k from n union all "
+    "select 'edge', subject, predicate, object, (select count(*) from n) + row_number() over (order by seq, subject || '-' || predicate || '-' || object) - 1 from e where predicate = '{B}:provides') "
+    "select kind, a, b, c from r where k >= 1000 and k < (select count(*) from n) + 500"
+)
 def page_range(spark, d):
-    return flat(nodes(spark, d).orderBy("id").offset(1000).limit(500), "category")
+    """A slice of the nodes, then the edges, that spans both."""
+    e = edges(spark, d).filter(f"predicate = '{NS}:provides'").withColumn("edge_key", normalize.edge_key())
+    g = KG(nodes(spark, d).withColumn("seq", F.lit(0)), e)
+    cut = databases.sliced(g, 1000, g.nodes.count() + 500)
+    n = cut.nodes.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.lit("").alias("b"), F.lit("").alias("c"))
+    return n.unionByName(cut.edges.select(F.lit("edge").alias("kind"), F.col("subject").alias("a"), F.col("predicate").alias("b"), F.col("object").alias("c")))
 
 
 @query("{W} select provided_by as source, 'infores:' || provided_by as infores from n group by 1")
@@ -406,47 +386,11 @@ def infores_catalog(spark, d):
     return provenance.infores_catalog(nodes(spark, d), "provided_by")
 
 
-@query("{W} select count(*) filter (where id is not null) as id, count(*) filter (where name is not null) as name from n")
-def property_counts(spark, d):
-    return nodes(spark, d).agg(F.count("id").alias("id"), F.count("name").alias("name"))
-
-
-NODE_TRIP = "{W} select id, name, category, provided_by from n"
-EDGE_TRIP = "{W} select distinct subject, predicate, object, aks from e"
-
-
-@query(NODE_TRIP)
-def tsv_roundtrip(spark, d):
-    return flat(roundtrips.tsv(spark, graph(spark, d)).nodes.select("id", "name", "category", "provided_by"), "category", "provided_by")
-
-
-@query(NODE_TRIP)
-def jsonl_roundtrip(spark, d):
-    return flat(roundtrips.jsonl(spark, graph(spark, d)).nodes.select("id", "name", "category", "provided_by"), "category", "provided_by")
-
-
-@query(EDGE_TRIP)
-def tsv_edges_roundtrip(spark, d):
-    e = roundtrips.tsv(spark, graph(spark, d)).edges.select("subject", "predicate", "object", "aks")
-    return flat(e, "aks").distinct()
-
-
-@query(EDGE_TRIP)
-def jsonl_edges_roundtrip(spark, d):
-    e = roundtrips.jsonl(spark, graph(spark, d)).edges.select("subject", "predicate", "object", "aks")
-    return flat(e, "aks").distinct()
-
-
-@query("{W} select subject, predicate, object, aks, quantity::varchar as quantity, seq::varchar as seq from e")
-def parquet_roundtrip(spark, d):
-    e = roundtrips.parquet(spark, graph(spark, d)).edges
-    return e.select("subject", "predicate", "object", "aks", F.col("quantity").cast("string").alias("quantity"), F.col("seq").cast("string").alias("seq"))
-
-
-@query("{W} select distinct subject, predicate, object from e")
-def nt_roundtrip(spark, d):
-    g = graph(spark, d)
-    return roundtrips.ntriples(spark, g.with_(edges=g.edges.select("subject", "predicate", "object"))).edges.select("subject", "predicate", "object")
+@query("select unnest(['id', 'name', 'category', 'provided_by']) as property")
+def property_discovery(spark, d):
+    """Columns that some node uses; ``note`` is empty throughout."""
+    used = normalize.used_properties(nodes(spark, d).withColumn("note", F.lit(None).cast("string")))
+    return spark.createDataFrame([(p,) for p in used], "property string")
 
 
 @query("{W} select subject, predicate, object, seq from e where subject in (select id from n where category = '{B}:Agent')")
@@ -457,3 +401,6 @@ def stream_endpoint_gate(spark, d):
 @query("select event_type, count(*) as n from events group by 1")
 def stream_event_counts(spark, d):
     return streams.counted(spark, f"{d}/events.parquet", "event_type")
+
+
+from . import format_queries, operator_queries  # noqa: E402, F401 - they register theirs

@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
+from inspect import signature
 from pathlib import PurePosixPath
 from typing import Any
 
@@ -29,7 +30,7 @@ OPERATIONS: dict[str, Operation] = {
     "fold_predicate": lambda g, predicate, remove_prefix=False: reshape.fold_predicate(g, predicate, remove_prefix),
     "unfold_node_property": lambda g, node_property, prefix=None: reshape.unfold_property(g, node_property, prefix),
     "remove_singleton_nodes": lambda g: reshape.remove_singletons(g),
-    "clique_merge": lambda g, leader_annotation="clique_leader", prefix_prioritization_map=None, strict=True, **_: clique.clique_merge(g, leader_annotation, None, prefix_prioritization_map, strict),
+    "clique_merge": lambda g, leader_annotation="clique_leader", prefix_prioritization_map=None, category_mapping=None, strict=True: clique.clique_merge(g, leader_annotation, None, prefix_prioritization_map, strict, category_mapping),
     "apply_filters": lambda g, node_filters=None, edge_filters=None: _store_filters(g, node_filters or {}, edge_filters or {}),
 }
 
@@ -45,6 +46,12 @@ def _sets(spec: dict | None) -> dict:
     return {k: set(v) if isinstance(v, (list, tuple)) else v for k, v in (spec or {}).items()}
 
 
+#: Readers ``(spark, source) -> KG`` and writers ``(kg, target) -> Any`` of formats that
+#: programs add, by name; they go before the built-in ones.
+SOURCES: dict[str, Callable[[SparkSession, dict[str, Any]], KG]] = {}
+SINKS: dict[str, Callable[[KG, dict[str, Any]], Any]] = {}
+
+
 def load(spark: SparkSession, source: dict[str, Any]) -> KG:
     """A graph from ``{format, filename, ...}``; many files are one graph.
 
@@ -53,6 +60,8 @@ def load(spark: SparkSession, source: dict[str, Any]) -> KG:
     """
     s = dict(source)
     fmt, name = s["format"], s.get("name", "graph")
+    if fmt in SOURCES:
+        return Filters.of(_sets(s.get("node_filters")), _sets(s.get("edge_filters"))).apply(SOURCES[fmt](spark, s))
     paths = s.get("filename", [])
     paths = [paths] if isinstance(paths, str) else list(paths)
     f = Filters.of(_sets(s.get("node_filters")), _sets(s.get("edge_filters")))
@@ -78,6 +87,8 @@ def load(spark: SparkSession, source: dict[str, Any]) -> KG:
         return f.apply(databases.load_parquet(spark, s["nodes"] if "nodes" in s else paths[0], s["edges"] if "edges" in s else paths[1], name=name))
     if fmt == "neo4j":
         return databases.load_neo4j(spark, s["uri"], s["username"], s["password"], f, s.get("is_directed", True), o, name)
+    if fmt == "arangodb":  # exported documents, as JSON Lines
+        return f.apply(databases.load_arango(*[spark.read.json(p) for p in paths[:2]], o, name))
     if fmt == "graph":
         return f.apply(s["graph"])
     raise ValueError(f"unknown input format {fmt!r}")
@@ -100,13 +111,18 @@ def operate(kg: KG, operations: list[dict]) -> KG:
         name = op["name"].rsplit(".", 1)[-1]
         if name not in OPERATIONS:
             raise ValueError(f"unknown operation {name!r}; known: {', '.join(sorted(OPERATIONS))}")
-        kg = OPERATIONS[name](kg, **(op.get("args") or {}))
+        args, takes = op.get("args") or {}, list(signature(OPERATIONS[name]).parameters)[1:]
+        if wrong := set(args) - set(takes):
+            raise ValueError(f"{name!r} has no argument {', '.join(map(repr, sorted(wrong)))}; it takes: {', '.join(takes)}")
+        kg = OPERATIONS[name](kg, **args)
     return kg
 
 
 def save(spark: SparkSession, kg: KG, target: dict[str, Any]) -> Any:
     """Write to ``{format, filename, ...}``."""
     fmt, path = target["format"], target.get("filename")
+    if fmt in SINKS:
+        return SINKS[fmt](kg, target)
     np, ep = target.get("node_properties"), target.get("edge_properties")
     if fmt in ("tsv", "csv"):
         c = target.get("compression")

@@ -10,6 +10,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 from ..functions.catalog import DEFAULT_CATEGORY
 from ..kg import KG
+from ..operators.components import ensure_checkpoint_dir
 from ..operators.filters import Filters, sql_where
 from ..operators.normalize import edge_key
 from ..operators.store import first_records
@@ -60,7 +61,7 @@ def load_duckdb(spark: SparkSession, path: str, filters: Filters | None = None,
     ``end`` cut the stream of nodes, then edges, in row order.
     """
     f = filters or Filters()
-    nodes = first_records(_duck_scan(spark, path, "nodes", sql_where(f.nodes), page), ("id",), "seq").withColumn("seq", F.lit(0).cast("long"))
+    nodes = first_records(_duck_scan(spark, path, "nodes", sql_where(f.nodes), page), ("id",), "seq", keep=True)
     if "category" not in nodes.columns:
         nodes = nodes.withColumn("category", F.array(F.lit(DEFAULT_CATEGORY)))
     e = {k: v for k, v in f.edges.items() if k not in ("subject_category", "object_category")}
@@ -75,14 +76,57 @@ def load_duckdb(spark: SparkSession, path: str, filters: Filters | None = None,
 
 
 def sliced(kg: KG, start: int, end: int | None) -> KG:
-    """Records ``start`` to ``end`` of nodes by id, then edges by key and order."""
-    n = kg.nodes.count()
-    def cut(df: DataFrame, order: list[str], lo: int, hi: int | None) -> DataFrame:
-        if hi is not None and hi <= lo:
-            return df.limit(0)
-        out = df.orderBy(*order).offset(max(0, lo))
-        return out if hi is None else out.limit(hi - max(0, lo))
-    return kg.with_(nodes=cut(kg.nodes, ["id"], start, min(end, n) if end is not None else None), edges=cut(kg.edges, ["edge_key", "seq"] if "seq" in kg.edges.columns else ["edge_key"], max(0, start - n), None if end is None else max(0, end - n)))
+    """Records ``start`` to ``end`` (exclusive) of the nodes, then the edges, in the order of
+    ``seq``, and of the key where that is equal.
+
+    Rows are numbered by the counts of ranges before theirs, so that no task sorts all."""
+    nodes = numbered(kg.nodes, ["seq", "id"])
+    n = nodes.count()
+    edges = numbered(kg.edges, ["seq", "edge_key"])
+    cut = lambda d, lo, hi: d.filter((F.col("_row") >= lo) & (F.lit(True) if hi is None else F.col("_row") < hi)).drop("_row")
+    return kg.with_(nodes=cut(nodes, start, end), edges=cut(edges, start - n, None if end is None else end - n))
+
+
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` with its row number ``_row`` from 0 in the order of those columns that it has."""
+    order = [c for c in order if c in df.columns]
+    ensure_checkpoint_dir(df.sparkSession)
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()  # read twice, with one division into ranges
+    part = F.shiftright("_at", 33)
+    counts = spread.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect()  # a row a partition
+    base, at = [], 0
+    for c in counts:
+        base.append((c["_part"], at))
+        at += c.n
+    if not base:
+        return df.withColumn("_row", F.lit(0).cast("long"))
+    table = F.broadcast(df.sparkSession.createDataFrame(base, "_part long, _base long"))
+    return spread.withColumn("_part", part).join(table, "_part").withColumn("_row", F.col("_base") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_part", "_base", "_at")
+
+
+def load_sqlite(spark: SparkSession, path: str, nodes: str = "nodes", edges: str = "edges", o: ReadOptions = ReadOptions(delimiter=None), name: str = "graph") -> KG:
+    """Two tables of an SQLite file, each streamed by one task that can open it."""
+    import sqlite3
+
+    def scan(table: str) -> DataFrame:
+        con = sqlite3.connect(path)
+        names = [r[1] for r in con.execute(f'pragma table_info("{table}")')]
+        con.close()
+
+        def read(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                if b.num_rows:
+                    con = sqlite3.connect(path)
+                    cur = con.execute(f'select * from "{table}"')
+                    while got := cur.fetchmany(20_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*got)], names)
+                    con.close()
+
+        return with_seq(spark.range(1).mapInArrow(read, ", ".join(f"`{n}` string" for n in names)))
+
+    return finish(scan(nodes), scan(edges), o, name, spark)
 
 
 def load_jdbc(spark: SparkSession, url: str, nodes: str = "nodes", edges: str = "edges", o: ReadOptions = ReadOptions(), name: str = "graph", **options: str) -> KG:
@@ -140,11 +184,17 @@ def load_neo4j(spark: SparkSession, uri: str, user: str, password: str, filters:
     nodes = r(cypher_nodes(f.nodes)).select("n.*")
     e = r(cypher_edges(f.edges, directed=directed))
     ends = e.select("s.*").unionByName(e.select("o.*"), allowMissingColumns=True)
-    edges = e.select(F.col("s.id").alias("subject"), F.col("p.predicate").alias("predicate"), F.col("p.relation").alias("relation"), F.col("o.id").alias("object"))
+    edges = with_ends(e)
     nodes = nodes.unionByName(ends, allowMissingColumns=True).dropDuplicates(["id"])
     return finish(with_seq(nodes), with_seq(edges), o, name, spark)
 
 
+def with_ends(rows: DataFrame) -> DataFrame:
+    """Edges from rows ``s, p, o``: all properties of ``p``, between the ids of its ends."""
+    own = [F.col(f"p.`{f.name}`").alias(f.name) for f in rows.schema["p"].dataType.fields if f.name not in ("subject", "object") and not f.name.startswith("<")]
+    return rows.select(F.col("s.id").alias("subject"), F.col("o.id").alias("object"), *own)
+
+
 def aql_filter(filters: dict[str, str | Collection[str]], var: str) -> str:
     """An AQL filter: list properties overlap, others are among the values."""
     quote = lambda v: '"' + str(v).replace("\\", "\\\\").replace('"', '\\"') + '"'
