@@ -206,9 +206,9 @@ def type_findings(spark, d):
 
 
 @query(
-    "select s || '-' || o as entity, level, message from (select s, o, unnest([case when s not like '%:%' then {'level': 'ERROR', 'message': 'Property ''subject'' is not a CURIE'} when s like 'ZZ:%' then {'level': 'WARNING', 'message': 'Property ''subject'' has the unknown prefix ''ZZ'''} end, "
-    "case when o like 'YY:%' then {'level': 'WARNING', 'message': 'Property ''object'' has the unknown prefix ''YY'''} end]) as x, x.level as level, x.message as message from (select case c_custkey % 3 when 0 then 'CUST:' || c_custkey when 1 then 'cust ' || c_custkey else 'ZZ:' || c_custkey end as s, "
-    "case c_custkey % 2 when 0 then 'NATION:' || c_nationkey else 'YY:' || c_nationkey end as o from customer)) where level is not null"
+    "with x as (select case c_custkey % 3 when 0 then 'CUST:' || c_custkey when 1 then 'cust ' || c_custkey else 'ZZ:' || c_custkey end as s, case c_custkey % 2 when 0 then 'NATION:' || c_nationkey else 'YY:' || c_nationkey end as o from customer) "
+    "select s || '-' || o as entity, 'ERROR' as level, 'Property ''subject'' is not a CURIE' as message from x where s not like '%:%' union all select s || '-' || o, 'WARNING', 'Property ''subject'' has the unknown prefix ''ZZ''' from x where s like 'ZZ:%' union all "
+    "select s || '-' || o, 'WARNING', 'Property ''object'' has the unknown prefix ''YY''' from x where o like 'YY:%'"
 )
 def edge_id_findings(spark, d):
     k = F.col("c_custkey")
