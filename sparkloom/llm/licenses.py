@@ -23,12 +23,17 @@ from .scratch import pick
 class Scan:
     """``n``: words a gram; ``winnow``: grams of which the least is kept, so that every
     shared run of ``n + winnow - 1`` words is found; ``band``: words by which a match may
-    stray from its diagonal, half the template's at most; ``cover``: least share of the template's words matched."""
+    stray from its diagonal, half the template's at most, and a hundredth of a long
+    template's at least; ``cover``: least share of the template's words matched;
+    ``hits``: least share of a template's fingerprints on about one diagonal for it to
+    be aligned. A match of three quarters whose mismatches are spread evenly still
+    shares about a sixth of them."""
 
     n: int = 3
     winnow: int = 2
     band: int = 8
     cover: float = 0.75
+    hits: float = 0.08
 
 
 def fingerprints(g: np.ndarray, row: np.ndarray, window: int) -> np.ndarray:
@@ -64,6 +69,7 @@ class Index:
         g, grow, first = K.grams(h, row, p.n)
         keep = fingerprints(g, grow, p.winnow)
         by: dict[int, list[tuple[int, int]]] = {}
+        self.prints = np.bincount(grow[keep], minlength=len(self.names)).tolist()
         for i in keep.tolist():
             by.setdefault(int(g[i]), []).append((int(grow[i]), int(first[i] - cut[grow[i]])))
         keys = np.array(sorted(by), np.uint64)
@@ -123,7 +129,9 @@ def find(texts: list[str], index: Index, p: Scan) -> list[tuple[int, str, float,
         for (r, t), hits in by.items():
             hits.sort()
             size, a = len(index.words[t]), cut[r]
-            band = min(p.band, max(1, size // 2))
+            band = min(max(p.band, size // 100), max(1, size // 2))
+            if len(hits) < p.hits * index.prints[t]:
+                continue
             groups: list[list[int]] = []  # diagonals that lie within one band
             for d, _ in hits:
                 if not groups or d - groups[-1][0] > band:
@@ -132,6 +140,8 @@ def find(texts: list[str], index: Index, p: Scan) -> list[tuple[int, str, float,
                     groups[-1].append(d)
             found = []
             for ds in groups:
+                if len(ds) < p.hits * index.prints[t]:
+                    continue
                 mid = ds[len(ds) // 2]
                 span = band + (ds[-1] - ds[0] + 1) // 2
                 lo = max(0, mid - span)
@@ -144,10 +154,10 @@ def find(texts: list[str], index: Index, p: Scan) -> list[tuple[int, str, float,
 
 
 def _best(found: list[tuple[int, str, int, float, int, int]]) -> list[tuple[int, str, float, int, int]]:
-    """Of matches of one text that overlap, the one of the largest coverage, then of the
-    most words, then the first by name."""
+    """Of matches of one text that overlap, the one of the most words, then of the largest
+    coverage, then the first by name."""
     kept: dict[int, list] = {}
-    for r, name, n, cover, s, e in sorted(found, key=lambda m: (-m[3], -m[2], m[1])):
+    for r, name, n, cover, s, e in sorted(found, key=lambda m: (-m[2], -m[3], m[1])):
         own = kept.setdefault(r, [])
         if not any(s < y and x < e for _, _, _, x, y in own):
             own.append((r, name, cover, s, e))
@@ -160,7 +170,8 @@ def scan(docs: DataFrame, p: Scan = Scan(), templates: dict[str, str] | None = N
 
     Words are compared without case and punctuation. Null and empty texts, and texts
     without a match, have no rows; texts are read wholly, and a template that occurs
-    twice has two rows. Of overlapping matches the one that covers most is reported. A template of fewer than ``n`` words is one gram. Repeated rows
+    twice has two rows. Of overlapping matches the one of the most words is reported, of
+    equal ones that which covers more, then the first by name. A template of fewer than ``n`` words is one gram. Repeated rows
     give repeated rows; a null id is passed on. An empty table gives an empty result.
     """
     d = pick(docs, doc_id="long", text="string")
