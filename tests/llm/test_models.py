@@ -219,6 +219,46 @@ def test_marginals_are_exact_on_trees():
     assert np.allclose(got, want, atol=1e-4)
 
 
+def test_marginals_on_small_loopy_graphs():
+    """Labels of the greatest exact marginal, and marginals near the exact ones."""
+    rng = np.random.default_rng(4)
+    near = same = n = 0
+    for _ in range(40):
+        k = int(rng.integers(3, 6))
+        links = np.array([(i, i + 1, 0) for i in range(k - 1)] + [(0, k - 1, 1)] + ([(0, k - 2, 1)] if k > 3 else []))
+        u, pair = 1.5 * rng.normal(size=(k, 3)), np.stack([0.4 * np.eye(3), 1.2 * np.eye(3)])
+        want = np.zeros((k, 3))
+        for a in np.ndindex(*[3] * k):
+            w = exp(sum(u[i, a[i]] for i in range(k)) + sum(pair[c, a[i], a[j]] for i, j, c in links))
+            for i in range(k):
+                want[i, a[i]] += w
+        want /= want.sum(axis=1, keepdims=True)
+        got = pii.marginals(u, links, pair, pii.Field())
+        near += (abs(got - want) < 0.1).all(axis=1).sum()
+        same += (got.argmax(axis=1) == want.argmax(axis=1)).sum()
+        n += k
+    assert same >= 0.97 * n and near >= 0.9 * n
+
+
+def test_values_of_letters_and_of_several_tokens():
+    p = pii.Field()
+    found = lambda t: [(t[a:b], l) for a, b, l in pii.find([t], pii.model(p), p)[0]]
+    assert found("password = hunterwombat and later hunterwombat again") == [("hunterwombat", "SECRET")] * 2
+    far = "river stone " * 60
+    assert found(f"Name: John Smith met us. {far} Then John Smith left.") == [("John Smith", "NAME")] * 2
+    assert found("IBAN DE89 3704 0044 0532 0130 00 ok") == [("DE89 3704 0044 0532 0130 00", "IBAN")]
+    assert found("IBAN DE89370400440532013000 ok") == [("DE89370400440532013000", "IBAN")]
+    assert found("card 4111 1111 1111 1111 ok") == [("4111 1111 1111 1111", "CARD")]
+    assert found("He lives at 221b Baker Street in town") == [("221b Baker Street", "ADDRESS")]
+    assert found("the key point is that names matter; the street was empty. Dear reader, go on.") == []
+
+
+def test_equal_texts_have_equal_spans(spark):
+    text = "Mail a.b@c.org and a.b@c.org, token = \"a7Kp2mQ9zX4c\"."
+    got = [x.spans for x in pii.scan(frame(spark, rows([text, "x", text]))).orderBy("doc_id").collect()]
+    assert got[0] == got[2] and len(got[0]) == 3 and got[1] == []
+
+
 def test_masking_leaves_the_rest_alone(spark):
     text = "Write to anna.b@mail.example.org or call (415) 555-0134 before 2021-03-04. Chapter 12, page 7."
     out = pii.scan(frame(spark, rows([text, "no data here, 12 of 30 apples"]))).orderBy("doc_id").collect()
