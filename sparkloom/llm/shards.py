@@ -61,7 +61,7 @@ def write(entries: DataFrame, groups: int) -> str:
             yield pa.RecordBatch.from_arrays([shard, b.column("g"), signed, b.column("v")], ["shard", "g", "h", "v"])
 
     rows = entries.select(F.col("g").cast("int").alias("g"), "code", "v").mapInArrow(run, "shard int, g int, h long, v float")
-    return json.dumps([_shared(rows.repartition(1 << BITS, "shard").sortWithinPartitions("shard", "g", "h"), "model", by="shard"), groups])
+    return json.dumps([_shared(rows.repartition("shard").sortWithinPartitions("shard", "g", "h"), "model", by="shard"), groups])
 
 
 class Mapped(K.HashArray):
