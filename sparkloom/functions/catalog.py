@@ -10,6 +10,7 @@ import json
 from dataclasses import dataclass, field
 from functools import lru_cache
 from importlib.resources import files
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,7 @@ class Catalog:
     classes: dict = field(hash=False)
     prefixes: dict[str, str] = field(hash=False)
     predicates: tuple[str, ...] = PREDICATES
+    version: str = ""
 
     def ancestors(self, name: str) -> list[str]:
         """The class and all above it, mixins of each included, nearest first."""
@@ -82,8 +84,11 @@ class Catalog:
         return MULTIVALUED.get(name, name in LIST_SLOTS)
 
 
-@lru_cache(1)
-def catalog() -> Catalog:
-    """The packaged model."""
-    classes = json.loads((_DATA / "classes.json").read_text())
-    return Catalog(classes, {**json.loads((_DATA / "prefixes.json").read_text()), **EXTRA_PREFIXES})
+@lru_cache(8)
+def catalog(folder: str | None = None) -> Catalog:
+    """The packaged model, or that of another version whose ``classes.json``,
+    ``prefixes.json`` and ``model.json`` lie in a folder."""
+    data = _DATA if folder is None else Path(folder)
+    model = _MODEL if folder is None else json.loads((data / "model.json").read_text())
+    read = lambda n: json.loads((data / n).read_text())
+    return Catalog(read("classes.json"), {**read("prefixes.json"), **model["extra_prefixes"]}, tuple(model["predicates"]), model.get("version", ""))

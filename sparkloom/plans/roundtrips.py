@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import SparkSession
 
 from ..kg import KG
+from ..session import temporary
 from ..sinks import files
 from ..sources import databases, delimited, jsons, rdf
 from ..sources.common import ReadOptions
-from ..streaming.streams import shared_dir
 
 
 def _base(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/roundtrips/{uuid.uuid4().hex}/g"
+    return temporary(spark, "roundtrips") + "/g"
 
 
 def tsv(spark: SparkSession, kg: KG) -> KG:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import tempfile
 import uuid
@@ -11,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_folders: list[tuple[SparkSession, str]] = []
 
 
 def build_session(app: str = "sparkloom", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -42,11 +44,10 @@ def _zipped() -> bytes:
 def ship(spark: SparkSession) -> SparkSession:
     """Send the package's modules to the executors, once an application, so that Python
     workers can import them where the package is not installed. The archive lies in the
-    shared folder that ``spark.checkpoint.dir`` names, or where it is unset in a local one."""
+    shared folder (see :func:`shared_dir`)."""
     sc = spark.sparkContext
     if sc.applicationId not in _shipped:
-        base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sparkloom-")
-        path = f"{base.rstrip('/')}/sparkloom/{sc.applicationId}-{uuid.uuid4().hex}/sparkloom_src.zip"
+        path = f"{shared_dir(spark)}/sparkloom/{sc.applicationId}-{uuid.uuid4().hex}/sparkloom_src.zip"
         p = sc._jvm.org.apache.hadoop.fs.Path(path)
         out = p.getFileSystem(sc._jsc.hadoopConfiguration()).create(p, True)
         out.write(bytearray(_zipped()))
@@ -54,3 +55,37 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(path)
         _shipped.add(sc.applicationId)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``. Where none is set, a
+    local one, which there may be only without a cluster."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-"))
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def temporary(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, which is removed when the driver's interpreter ends."""
+    path = f"{shared_dir(ship(spark))}/{kind}/{uuid.uuid4().hex}"
+    _folders.append((spark, path))
+    return path
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _folders:
+        try:
+            sc = spark.sparkContext
+            if sc._jsc is None:
+                return
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the JVM may be gone already; the folder's owner then cleans it
+            return
