@@ -1,13 +1,12 @@
 """Shared-folder tables that cut lineage.
 
 The folder is the one the cluster names in ``spark.checkpoint.dir``; only when that is
-unset (tests, notebooks) is a local folder set instead.
+unset and there is no cluster (tests, notebooks) is a local folder set instead.
 """
 
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -15,21 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_written: list[tuple[SparkSession, str]] = []
-
+from ..session import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one is set where none is configured."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+_written: list[tuple[SparkSession, str]] = []
 
 
 def store(df: DataFrame, name: str, by: str | None = None) -> str:
