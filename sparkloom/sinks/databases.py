@@ -14,12 +14,15 @@ from ..operators.normalize import edge_key, sanitize_export
 from .files import EDGE_ORDER, HIDDEN, NODE_ORDER, ordered
 
 
-def write_sqlite(kg: KG, path: str, node_table: str = "nodes", edge_table: str = "edges", batch: int = 10_000) -> str:
+def write_sqlite(kg: KG, path: str, node_table: str = "nodes", edge_table: str = "edges", batch: int = 10_000, most: int = 50_000_000) -> str:
     """Two tables of text columns with indexes on node ids and on edges' ends.
 
-    SQLite has one writer: rows stream through the driver a partition at a time. Use
-    :func:`write_jdbc` for what is too large for that.
+    SQLite has one writer: rows stream through the driver a partition at a time. A graph
+    of more than ``most`` records is refused; :func:`write_jdbc` writes those.
     """
+    n = kg.nodes.count() + kg.edges.count()
+    if n > most:
+        raise ValueError(f"{n} records are too many for one SQLite writer (at most {most}); use write_jdbc")
     con = sqlite3.connect(path)
     try:
         for df, table, core, mark in ((kg.nodes, node_table, NODE_ORDER, ","), (kg.edges, edge_table, EDGE_ORDER, "|")):
@@ -72,13 +75,18 @@ def cypher_edge_batch(predicate: str) -> str:
     )
 
 
-def write_neo4j(kg: KG, uri: str, user: str, password: str) -> None:
+def write_neo4j(kg: KG, uri: str, user: str, password: str, most: int = 2000) -> None:
     """Through the Spark connector, which must be on the class path: nodes by id, then
-    the edges of each predicate."""
+    the edges of each predicate, one job each, since the connector takes the type of a
+    relationship as an option. Predicates are those of a model, a few hundred at most;
+    more than ``most`` are refused."""
     auth = {"url": uri, "authentication.basic.username": user, "authentication.basic.password": password}
     w = lambda df, **o: df.write.format("org.neo4j.spark.DataSource").mode("Overwrite").options(**auth, **o).save()
     w(kg.nodes.drop(*HIDDEN), labels=f":`{NS}:NamedThing`", **{"node.keys": "id"})
-    for (p,) in kg.edges.select("predicate").distinct().collect():
+    kinds = [r[0] for r in kg.edges.select("predicate").distinct().limit(most + 1).collect()]
+    if len(kinds) > most:
+        raise ValueError(f"more than {most} predicates")
+    for p in kinds:
         w(
             kg.edges.filter(F.col("predicate") == p).drop(*HIDDEN), relationship=p,
             **{"relationship.save.strategy": "keys", "relationship.source.labels": f":`{NS}:NamedThing`", "relationship.source.node.keys": "subject:id", "relationship.target.labels": f":`{NS}:NamedThing`", "relationship.target.node.keys": "object:id"},

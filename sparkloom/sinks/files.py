@@ -70,8 +70,10 @@ def parts(spark: SparkSession, folder: str) -> list[str]:
     return sorted(s.getPath().toString() for s in fs.listStatus(p) if s.getPath().getName().startswith("part-"))
 
 
-def write_archive(spark: SparkSession, kg: KG, path: str, fmt: str = "tsv", mode: str = "gz", scratch: str | None = None) -> str:
-    """A tar archive of both tables on the driver's file system; the loose files go."""
+def write_archive(spark: SparkSession, kg: KG, path: str, fmt: str = "tsv", mode: str = "gz", scratch: str | None = None, most: int = 20 << 30) -> str:
+    """A tar archive of both tables on the driver's file system; the loose files go. A
+    table of more than ``most`` bytes of text is refused: an archive is one file that one
+    task reads."""
     base = (scratch or path) + ".parts"
     names = write_delimited(kg, base, fmt, single=True)
     with tarfile.open(path, f"w:{mode}" if mode else "w") as tar:
@@ -81,6 +83,8 @@ def write_archive(spark: SparkSession, kg: KG, path: str, fmt: str = "tsv", mode
                 pass
             for part in parts(spark, folder):  # one part: the tables were written singly
                 fs, p = _fs(spark, part)
+                if fs.getFileStatus(p).getLen() > most:
+                    raise ValueError(f"the {what} are too large for an archive (at most {most} bytes)")
                 fs.copyToLocalFile(False, p, spark.sparkContext._jvm.org.apache.hadoop.fs.Path("file://" + os.path.abspath(loose)), True)
             tar.add(loose, arcname=f"{path.rsplit('/', 1)[-1].split('.')[0]}_{what}.{fmt}")
             os.remove(loose)

@@ -111,6 +111,44 @@ def test_ntriples(spark, tmp_path):
         rdf.read_ntriples(spark, str(tmp_path / "a.nt"), strict=True).collect()
 
 
+def test_ntriples_literals(spark, tmp_path):
+    """No literal is lost: escapes of all kinds, wrong ones, comments with quotes, long texts."""
+    long = "word \\\\ " * 60_000
+    cases = [
+        (r'"face \U0001F600 end"', "face \U0001F600 end"), (r'"a\\Ub \u00e9"', "a\\Ub é"), (r'"it\'s"', "it's"), (r'"bad \q here"', r"bad \q here"), (r'"C:\\temp\tx"', "C:\\temp\tx"),
+        (r'"x"@en # says "hi" there', "x"), ('"' + long + '"', long.replace("\\\\", "\\")), (r'"7"^^<http://www.w3.org/2001/XMLSchema#integer>', "7"), ('""', ""),
+    ]
+    (tmp_path / "l.nt").write_text("".join(f"<http://e.org/{i}> <http://e.org/p> {x.replace('@en #', '@en . #')}{'' if '#' in x and 'says' in x else ' .'}\n" for i, (x, _) in enumerate(cases)))
+    got = {int(r.s.rsplit("/", 1)[1]): r for r in rdf.read_ntriples(spark, str(tmp_path / "l.nt")).collect()}
+    assert {i: r.o for i, r in got.items()} == {i: v for i, (_, v) in enumerate(cases)}
+    assert got[5].lang == "en" and got[7].datatype.endswith("integer") and got[0].lang is None
+
+
+def test_owl_imports(spark, tmp_path):
+    head = '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:rdfs="http://www.w3.org/2000/01/rdf-schema#" xmlns:owl="http://www.w3.org/2002/07/owl#">'
+    sub = lambda a, b: f'<owl:Class rdf:about="http://purl.obolibrary.org/obo/HP_{a}"><rdfs:subClassOf rdf:resource="http://purl.obolibrary.org/obo/HP_{b}"/></owl:Class>'
+    imp = lambda *x: '<owl:Ontology rdf:about="http://e.org/o">' + "".join(f'<owl:imports rdf:resource="{i}"/>' for i in x) + "</owl:Ontology>"
+    (tmp_path / "a.owl").write_text(head + imp("http://e.org/b.owl", "http://e.org/absent.owl") + sub(1, 2) + "</rdf:RDF>")
+    (tmp_path / "b.owl").write_text(head + imp("http://e.org/far") + sub(2, 3) + "</rdf:RDF>")
+    (tmp_path / "c.owl").write_text(head + imp("http://e.org/b.owl") + sub(3, 4) + "</rdf:RDF>")
+    g = rdf.load_owl(spark, str(tmp_path / "a.owl"), also={"http://e.org/far": str(tmp_path / "c.owl")})
+    assert [("HP:1", "HP:2"), ("HP:2", "HP:3"), ("HP:3", "HP:4")] == rows(g.edges.filter("relation = 'rdfs:subClassOf'"), "subject", "object")
+
+
+def test_edges_of_a_graph_database_keep_their_properties(spark):
+    r = spark.sql("select named_struct('id', 'A:1') s, named_struct('predicate', 'x:p', 'relation', 'r', 'score', 0.5D, 'subject', 'old') p, named_struct('id', 'B:1') o")
+    e = databases.with_ends(r)
+    assert set(e.columns) == {"subject", "object", "predicate", "relation", "score"} and e.first().asDict() == {"subject": "A:1", "object": "B:1", "predicate": "x:p", "relation": "r", "score": 0.5}
+
+
+def test_bounds_of_single_writers(spark, tsv, tmp_path):
+    g = delimited.load(spark, tsv)
+    with pytest.raises(ValueError, match="too many"):
+        db.write_sqlite(g, str(tmp_path / "x.sqlite"), most=1)
+    with pytest.raises(ValueError, match="too large"):
+        files.write_archive(spark, g, str(tmp_path / "x.tar.gz"), most=3)
+
+
 def test_owl(spark, tmp_path):
     (tmp_path / "a.owl").write_text(
         '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:rdfs="http://www.w3.org/2000/01/rdf-schema#" xmlns:owl="http://www.w3.org/2002/07/owl#">'

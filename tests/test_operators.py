@@ -7,6 +7,7 @@ from sparkloom.functions import curie
 from sparkloom.functions.catalog import NS, catalog
 from sparkloom.kg import KG
 from sparkloom.operators import clique, closure, components, filters, merge, normalize, provenance, summary, validate
+from sparkloom.plans import transformer
 from sparkloom.streaming import streams
 
 N = "id string, category array<string>, name string, same_as array<string>"
@@ -132,3 +133,22 @@ def test_streamed_upserts(spark, tmp_path):
 def test_windows(spark):
     df = spark.createDataFrame([("2024-01-01 00:10:00", "x"), ("2024-01-01 00:50:00", "x"), ("2024-01-01 01:10:00", "x")], "t string, k string").withColumn("t", F.to_timestamp("t"))
     assert sorted(r.n for r in streams.windowed(df, "t", "k").collect()) == [1, 2]
+
+
+def test_operations_reject_unknown_arguments(spark):
+    g = graph(spark, [("X:1", [f"{NS}:Gene"], "a", None)], [("X:1", f"{NS}:related_to", "X:1")])
+    with pytest.raises(ValueError, match="category_maping"):
+        transformer.operate(g, [{"name": "clique_merge", "args": {"category_maping": {}}}])
+    with pytest.raises(ValueError, match="unknown operation"):
+        transformer.operate(g, [{"name": "no_such_thing"}])
+
+
+def test_settings_and_model_versions(tmp_path):
+    from sparkloom import config
+
+    (tmp_path / "s.json").write_text('{"level": "ERROR", "prefixes": {"X": "http://x.org/"}}')
+    assert config.logger("t", str(tmp_path / "s.json")).level == 40 and config.jsonld_context(str(tmp_path / "s.json"))["X"] == "http://x.org/"
+    for n, text in (("classes", '{"Thing": {}}'), ("prefixes", "{}"), ("model", '{"extra_prefixes": {"Y": "http://y.org/"}, "predicates": ["knows"], "version": "9"}')):
+        (tmp_path / f"{n}.json").write_text(text)
+    other = catalog(str(tmp_path))
+    assert other.version == "9" and other.predicates == ("knows",) and other.prefixes == {"Y": "http://y.org/"} and catalog().version != "9"
