@@ -17,6 +17,7 @@ from . import roundtrips, transformer
 from .registry import flat, query
 from .views import EDGES_SQL, NODES_SQL, graph, nodes, read
 
+OBO = "http://purl.obolibrary.org/obo/"
 TRIP = "{W} select 'node' as kind, id as a, coalesce(name, '') as b, category as c, provided_by as d from n union all (select distinct 'edge', subject, predicate, object, aks from e)"
 
 
@@ -111,6 +112,18 @@ def nt_literals(spark, d):
     return got.select(F.element_at(F.split("s", "[^0-9]"), -1).cast("long").alias("doc_id"), F.col("o").alias("text"))
 
 
+@query("select 'HP:' || c_custkey as id, c_mktsegment as market, 'HP:' || c_nationkey as home from customer")
+def nt_named_properties(spark, d):
+    """Predicates that the caller names, and ones whose objects are properties, not ends."""
+    c = read(spark, d, "customer")
+    s = lambda k: F.concat(F.lit(f"<{OBO}HP_"), F.col(k).cast("string"), F.lit(">"))
+    line = lambda p, o: F.concat_ws(" ", s("c_custkey"), F.lit(f"<http://example.org/p/{p}>"), o, F.lit("."))
+    path = roundtrips._base(spark) + ".nt"
+    c.select(F.explode(F.array(line("segment", F.concat(F.lit('"'), "c_mktsegment", F.lit('"'))), line("home", s("c_nationkey")))).alias("value")).write.text(path)
+    g = rdf.load_ntriples(spark, path, names={"http://example.org/p/segment": "market", "http://example.org/p/home": "home"}, node_properties=("home",))
+    return g.nodes.select("id", "market", "home")
+
+
 def _duckdb(spark, d) -> str:
     """The graph as a DuckDB file that all tasks of this host can open."""
     import duckdb
@@ -172,9 +185,6 @@ def _lines(spark, first: list[str], *more: DataFrame, last: list[str] = ()) -> s
     return files.parts(spark, path)[0]
 
 
-OBO = "http://purl.obolibrary.org/obo/"
-
-
 @query(
     "select 'node' as kind, 'HP:' || c_custkey as a, c_name as b, '{B}:PhenotypicFeature' as c, c_mktsegment as d, c_mktsegment || '|seg' as f from customer union all "
     "select 'edge', 'HP:' || c_custkey, case c_custkey % 4 when 0 then '{B}:subclass_of' when 1 then '{B}:part_of' when 2 then '{B}:has_part' else '{B}:related_to' end, 'HP:' || c_nationkey, "

@@ -333,3 +333,11 @@ def stream_summary(spark, d):
 def stream_upserts(spark, d):
     """Edges upserted batch by batch."""
     return streams.upserted(spark, edges(spark, d)).select("subject", "predicate", "object", "aks", "quantity")
+
+
+@query("{W} select category, count(*) as n from n group by 1")
+def inspected(spark, d):
+    """A graph passed on to no output; an inspector sees it on the way."""
+    seen = []
+    transformer.transform(spark, {"format": "graph", "graph": graph(spark, d)}, {"format": "null"}, stream=True, inspector=lambda g: seen.append(summary.category_counts(g.nodes)))
+    return seen[0]
