@@ -160,7 +160,8 @@ def selection(docs: DataFrame, p: Mix = Mix()) -> DataFrame:
     in whose part its start lies, so that a quota is met to within one document. A text
     that several documents have is represented by the least id. Null and empty texts,
     and rows without an id, are never selected; a null source counts as the source "".
-    Ties in the order are broken by id. An empty table gives an empty result.
+    Ties in the order are broken by id. Texts are read wholly, other columns left aside.
+    An empty table gives an empty result.
     """
     spark = docs.sparkSession
     u = table(units(docs, p).withColumn("u", F.xxhash64(F.lit(p.seed), "doc_id")), "units")
@@ -187,8 +188,9 @@ def selection(docs: DataFrame, p: Mix = Mix()) -> DataFrame:
 
 def mixed(docs: DataFrame, p: Mix = Mix()) -> DataFrame:
     """The selected documents, each as many times as it is used, with its own columns;
-    ``source`` is the source whose quota the row fills. Rows that repeat an id and a
-    text are taken once."""
+    ``source`` is the source whose quota the row fills. Every row of a chosen id is
+    taken, so an id should have one row. Null and empty texts and rows without an id go;
+    an empty table gives an empty result."""
     names = docs.columns
     own = {c.lower(): c for c in names}
     key, target, uses = fresh(docs, "key", "target", "uses")

@@ -226,13 +226,20 @@ def judged(docs: DataFrame, lang: str = "lang", text: str = "text", p: Bands = B
 
 
 def quality(docs: DataFrame, p: Bands = Bands()) -> DataFrame:
-    """``doc_id, lang, perplexity, lower, upper, keep`` of every document."""
+    """``doc_id, lang, perplexity, lower, upper, keep`` of every document.
+
+    Null and empty texts have no perplexity and are not kept; a text exactly on a bound
+    is. A null language is one of its own. Texts are read wholly, equal texts of a
+    language are judged alike, repeated rows give repeated rows, and other columns are
+    left aside. An empty table gives an empty result.
+    """
     d = pick(docs, doc_id="long", lang="string", text="string")
     out, (score, lo, hi, keep, _) = judged(d, p=p)
     return out.select("doc_id", "lang", F.col(score).alias("perplexity"), F.col(lo).alias("lower"), F.col(hi).alias("upper"), F.col(keep).alias("keep"))
 
 
 def filtered(docs: DataFrame, p: Bands = Bands()) -> DataFrame:
-    """The documents that the rule keeps, with the columns they came with."""
+    """The documents that the rule keeps, with the columns they came with. Null and empty
+    texts go; an empty table gives an empty result."""
     out, (_, _, _, keep, _) = judged(docs, p=p)
     return out.filter(F.col(keep)).select(*[col(c) for c in docs.columns])

@@ -109,8 +109,9 @@ def search(docs: DataFrame, queries: DataFrame, p: Search = Search()) -> DataFra
     Words are as in :func:`kernels.words`. Null and empty texts are in no list, and null
     or empty queries have no rows; a query that fewer than k documents share a word with
     has that many. Rows that repeat an id and a text count once as a document; rows
-    that repeat an id with other texts are one document with the words of all. Empty
-    tables give an empty result.
+    that repeat an id with other texts are one document with the words of all. A word
+    that (nearly) all documents have weighs nothing, but its documents count. Texts are
+    read wholly, other columns left aside. Empty tables give an empty result.
     """
     q = table(query_terms(pick(queries, item_id="long", text="string")), "queries")
     d = pick(docs, doc_id="long", text="string")

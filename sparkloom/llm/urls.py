@@ -140,9 +140,11 @@ def score(pages: DataFrame, labels: DataFrame | None = None, p: Urls = Urls()) -
     """``page_id, url, unwanted, reject`` of every page: the calibrated probability, and
     whether it reaches ``cut``.
 
-    ``labels`` has ``url, label`` (0 or 1; others are left out). A null or blank address
-    has probability 0 and is not rejected. Repeated rows give repeated rows. Without
-    labelled addresses the model is constant; an empty table gives an empty result.
+    ``labels`` has ``url, label`` (0 or 1; others are left out; of conflicting labels of
+    one address the 1 counts). A null or blank address has probability 0 and is not
+    rejected; a probability of exactly ``cut`` is. Addresses of any length are read
+    wholly, other columns left aside. Repeated rows give repeated rows. Without labelled
+    addresses the model is constant; an empty table gives an empty result.
     """
     d = pick(pages, page_id="long", url="string")
     known = d.select("url", blocked(F.col("url")).alias("label")) if labels is None else pick(labels, url="string", label="int")

@@ -53,7 +53,11 @@ def test_stages(spark, tmp_path):
 def test_run_on_odd_and_empty_tables(spark, tmp_path):
     frame(spark, odd_rows()).write.parquet(f"{tmp_path}/a/documents.parquet")
     frame(spark, []).write.parquet(f"{tmp_path}/b/documents.parquet")
-    assert corpus_pipeline.run(spark, f"{tmp_path}/a").count() >= 1
+    got = corpus_pipeline.run(spark, f"{tmp_path}/a").collect()
+    assert got and {i for x in got for i in x.doc_ids} <= {3, 4, 5, 6, 90}
+    assert all(0 < x.tokens <= 2048 and x.tokens + x.padding == 2048 for x in got)
+    known = Counter(w for i, t, *_ in odd_rows() if t for w in t.split())
+    assert set(w for x in got for w in x.text.split()) <= set(known)
     assert corpus_pipeline.run(spark, f"{tmp_path}/b").collect() == []
 
 
