@@ -85,31 +85,32 @@ def predicate_counts(edges: DataFrame, unknown: bool = True) -> DataFrame:
     return e.groupBy(F.coalesce(p, F.lit(UNKNOWN)).alias("predicate")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def classified(kg: KG, unknown: bool = True) -> DataFrame:
-    """Edges with the lists ``sc`` and ``oc`` of their ends' categories, null for an end
-    that is no node.
-
-    Catalyst broadcasts the nodes where they are small enough; otherwise both sides are
-    shuffled by id and adaptive execution splits hub nodes.
+def grouped(kg: KG, unknown: bool = True, extra: Column | None = None) -> DataFrame:
+    """``sc, predicate, oc, n``: edges by the lists of their ends' categories and by
+    predicate, and by ``x`` where an expression on the edges is given. Edges with an end
+    that is no node are left out.
+
+    Edges are counted by the subject's categories before the objects are looked up, so
+    that what is shuffled for them follows the distinct objects. Catalyst broadcasts the
+    nodes where they are small enough; adaptive execution splits hub nodes.
     """
     nodes = first_nodes(kg)
     cats = valid_categories(nodes)
     if unknown:
         cats = F.when(F.size(F.coalesce(as_list(nodes, "category"), F.array().cast("array<string>"))) == 0, F.array(F.lit(UNKNOWN))).otherwise(cats)
     look = nodes.select("id", cats.alias("c"))
-    e = kg.edges.join(look.toDF("_s", "sc"), F.col("subject") == F.col("_s"), "left")
-    return e.join(look.toDF("_o", "oc"), F.col("object") == F.col("_o"), "left").drop("_s", "_o")
+    p = F.col("predicate")
+    e = kg.edges if unknown else kg.edges.filter(p.rlike(PREDICATE))
+    named = F.when(p.isNull(), UNKNOWN).when(p.rlike(PREDICATE), p).otherwise(F.lit("None")) if unknown else p
+    x = ["x"] if extra is not None else []
+    e = e.select("subject", named.alias("predicate"), "object", *([extra.alias("x")] if x else []))
+    e = e.join(look.toDF("_s", "sc"), F.col("subject") == F.col("_s")).groupBy("sc", "predicate", "object", *x).agg(F.count(F.lit(1)).alias("n"))
+    return e.join(look.toDF("_o", "oc"), F.col("object") == F.col("_o")).groupBy("sc", "predicate", "oc", *x).agg(F.sum("n").alias("n"))
 
 
-def triples(kg: KG, unknown: bool = True) -> DataFrame:
-    """Edges once for every (subject category, predicate, object category)."""
-    e = classified(kg, unknown).filter("sc is not null and oc is not null")
-    p = F.col("predicate")
-    if unknown:
-        e = e.withColumn("predicate", F.when(p.isNull(), UNKNOWN).when(p.rlike(PREDICATE), p).otherwise(F.lit("None")))
-    else:
-        e = e.filter(p.rlike(PREDICATE))
-    return e.withColumn("subject_category", F.explode("sc")).withColumn("object_category", F.explode("oc")).drop("sc", "oc")
+def spread(groups: DataFrame) -> DataFrame:
+    """Groups once for every (subject category, predicate, object category)."""
+    return groups.withColumn("subject_category", F.explode("sc")).withColumn("object_category", F.explode("oc")).drop("sc", "oc")
 
 
 TRIPLE = ("subject_category", "predicate", "object_category")
@@ -117,13 +118,13 @@ TRIPLE = ("subject_category", "predicate", "object_category")
 
 def triple_counts(kg: KG, unknown: bool = True) -> DataFrame:
     """``subject_category, predicate, object_category, n``."""
-    return triples(kg, unknown).groupBy(*TRIPLE).agg(F.count(F.lit(1)).alias("n"))
+    return spread(grouped(kg, unknown)).groupBy(*TRIPLE).agg(F.sum("n").alias("n"))
 
 
 def edge_facets(kg: KG, facet: str, unknown: bool = True) -> DataFrame:
     """``subject_category, predicate, object_category, value, n`` of one property."""
-    t = triples(kg.with_(edges=kg.edges.withColumn("_facet", facet_values(kg.edges, facet))), unknown)
-    return t.select(*TRIPLE, F.explode("_facet").alias("value")).groupBy(*TRIPLE, "value").agg(F.count(F.lit(1)).alias("n"))
+    t = spread(grouped(kg, unknown, facet_values(kg.edges, facet)))
+    return t.select(*TRIPLE, F.explode("x").alias("value"), "n").groupBy(*TRIPLE, "value").agg(F.sum("n").alias("n"))
 
 
 def meta_nodes(kg: KG) -> DataFrame:
@@ -134,11 +135,9 @@ def meta_nodes(kg: KG) -> DataFrame:
 
 def meta_edges(kg: KG) -> DataFrame:
     """``subject_category, predicate, object_category, relations, n``."""
-    t = triples(kg, unknown=False)
-    r = as_list(t, "relation")
-    pairs = t.select(*TRIPLE, r.alias("r"))
-    many = pairs.withColumn("r", F.explode_outer("r")).groupBy(*TRIPLE).agg(F.array_sort(F.collect_set("r")).alias("relations"))
-    return many.join(pairs.groupBy(*TRIPLE).agg(F.count(F.lit(1)).alias("n")), list(TRIPLE))
+    t = spread(grouped(kg, False, as_list(kg.edges, "relation")))
+    n = t.groupBy(*TRIPLE).agg(F.sum("n").alias("n"))
+    return t.withColumn("r", F.explode_outer("x")).groupBy(*TRIPLE).agg(F.array_sort(F.collect_set("r")).alias("relations")).join(n, list(TRIPLE))
 
 
 def duplicate_nodes(nodes: DataFrame) -> DataFrame:
@@ -163,12 +162,12 @@ class MetaGraph:
     def totals(self) -> DataFrame:
         """One row: categories, nodes, nodes over categories, predicates, edges, triples,
         edges over triples."""
-        n, m, e = first_nodes(self.kg), self.nodes(), self.edges()
-        ok = classified(self.kg, unknown=False).filter(F.col("predicate").rlike(PREDICATE) & F.col("sc").isNotNull() & F.col("oc").isNotNull())
+        n, m, g = first_nodes(self.kg), self.nodes(), grouped(self.kg, unknown=False)
+        e = spread(g).groupBy(*TRIPLE).agg(F.sum("n").alias("n"))
         a = n.agg(F.count(F.lit(1)).alias("nodes"))
         b = m.agg(F.count(F.lit(1)).alias("categories"), F.coalesce(F.sum("n"), F.lit(0)).alias("nodes_by_category"))
         c = e.agg(F.countDistinct("predicate").alias("predicates"), F.count(F.lit(1)).alias("triples"), F.coalesce(F.sum("n"), F.lit(0)).alias("edges_by_triple"))
-        return a.crossJoin(b).crossJoin(ok.agg(F.count(F.lit(1)).alias("edges"))).crossJoin(c)
+        return a.crossJoin(b).crossJoin(g.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("edges"))).crossJoin(c)  # one row each
 
     def document(self) -> dict:
         """The meta graph as a document: its size is that of the model, not the data."""
@@ -203,7 +202,7 @@ def graph_summary(kg: KG, node_facets_of: tuple[str, ...] = (), edge_facets_of:
     for c in cats.values():
         for p, k in c["count_by_id_prefix"].items():
             prefixes[p] = prefixes.get(p, 0) + k
-    known = classified(kg).filter("sc is not null and oc is not null").count()
+    known = grouped(kg).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return {
         "graph_name": kg.name,
         "node_stats": {"total_nodes": n.count(), "node_categories": sorted(cats), "node_id_prefixes": sorted(prefixes), "count_by_id_prefixes": prefixes, "count_by_category": cats},

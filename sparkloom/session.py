@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 _folders: list[tuple[SparkSession, str]] = []
@@ -78,6 +78,14 @@ def temporary(spark: SparkSession, kind: str) -> str:
     return path
 
 
+def stored(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` written to the shared folder and reread: its lineage is cut, and readers take
+    the columns that they need."""
+    path = temporary(df.sparkSession, kind)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _folders:

@@ -10,10 +10,10 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 from ..functions.catalog import DEFAULT_CATEGORY
 from ..kg import KG
-from ..operators.components import ensure_checkpoint_dir
 from ..operators.filters import Filters, sql_where
 from ..operators.normalize import edge_key
 from ..operators.store import first_records
+from ..session import stored
 from .common import ReadOptions, finish, with_seq
 
 
@@ -90,8 +90,7 @@ def sliced(kg: KG, start: int, end: int | None) -> KG:
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     """``df`` with its row number ``_row`` from 0 in the order of those columns that it has."""
     order = [c for c in order if c in df.columns]
-    ensure_checkpoint_dir(df.sparkSession)
-    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()  # read twice, with one division into ranges
+    spread = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")  # read twice, with one division into ranges
     part = F.shiftright("_at", 33)
     counts = spread.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect()  # a row a partition
     base, at = [], 0
