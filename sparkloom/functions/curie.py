@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -42,7 +44,13 @@ def reference_of(c: Column | str) -> Column:
 
 
 def _map(m: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in m.items() for x in kv])
+    """A map of constants, which Catalyst folds; one call however many there are."""
+    return F.from_json(F.lit(json.dumps(m)), "map<string,string>")
+
+
+def constants(values: Iterable[str]) -> Column:
+    """An array of constants, which Catalyst folds."""
+    return F.from_json(F.lit(json.dumps(list(values))), "array<string>")
 
 
 def expand(c: Column | str, prefixes: dict[str, str]) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.catalog import IMPORT_TYPES, NS, REQUIRED_EDGE, REQUIRED_NODE, Catalog, catalog
-from ..functions.curie import is_curie, prefix_of
+from ..functions.curie import constants, is_curie, prefix_of
 from ..kg import KG
 from .normalize import col, null_if_blank
 from .report import SCHEMA, finding
@@ -67,7 +67,7 @@ def wrong_types(df: DataFrame, edges: bool, cat: Catalog | None = None) -> DataF
 def bad_ids(df: DataFrame, columns: tuple[str, ...], edges: bool, prefixes: set[str]) -> DataFrame:
     """Identifiers that are no CURIE, and (as a warning) those of an unknown prefix."""
     kind = "INVALID_EDGE_PROPERTY_VALUE" if edges else "INVALID_NODE_PROPERTY_VALUE"
-    known = F.array(*map(F.lit, sorted(prefixes)))
+    known = constants(sorted(prefixes))
     parts = [F.struct(F.lit(c).alias("c"), col(c).alias("v")) for c in columns]
     rows = df.select(_entity(edges).alias("e"), F.explode(F.array(*parts)).alias("s")).select("e", "s.c", "s.v").filter("v is not null")
     no = rows.filter(~is_curie("v")).select(*finding(F.col("e"), kind, F.concat(F.lit("Property '"), F.col("c"), F.lit("' is not a CURIE"))))
@@ -101,7 +101,7 @@ def bad_predicates(edges: DataFrame, cat: Catalog | None = None) -> DataFrame:
     cat = cat or catalog()
     p = F.col("predicate")
     n = F.regexp_replace(p, f"^{NS}:", "")
-    known = F.array(*map(F.lit, cat.predicates))
+    known = constants(cat.predicates)
     why = F.when(~n.rlike(SNAKE), F.lit("is not in snake_case form")).when(~F.array_contains(known, n), F.lit("is unknown"))
     rows = edges.filter("predicate is not null").withColumn("w", why).filter("w is not null")
     return rows.select(*finding(_entity(True), "INVALID_EDGE_PREDICATE", F.concat(F.lit("Predicate '"), p, F.lit("' "), F.col("w"))))
