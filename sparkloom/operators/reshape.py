@@ -84,4 +84,5 @@ def unfold_property(kg: KG, name: str, prefix: str | None = None) -> KG:
 
 def remove_singletons(kg: KG) -> KG:
     """Without the nodes that no edge touches."""
-    return kg.with_(nodes=kg.nodes.join(ends(kg.edges), "id", "left_semi"))
+    touched = ends(kg.edges).distinct()  # else all edges of a hub meet in one task
+    return kg.with_(nodes=kg.nodes.join(touched, "id", "left_semi"))
