@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from ..functions.catalog import NS
 from ..functions.curie import prefix_of
 from ..kg import KG
+from ..session import stored
 from .normalize import col
 from .store import first_records
 
@@ -91,8 +92,9 @@ def grouped(kg: KG, unknown: bool = True, extra: Column | None = None) -> DataFr
     that is no node are left out.
 
     Edges are counted by the subject's categories before the objects are looked up, so
-    that what is shuffled for them follows the distinct objects. Catalyst broadcasts the
-    nodes where they are small enough; adaptive execution splits hub nodes.
+    that what is shuffled for them follows the distinct objects. The nodes, a row an id,
+    are hashed and the edges stream past them, so that no join sorts or spills edges;
+    adaptive execution splits hub nodes.
     """
     nodes = first_nodes(kg)
     cats = valid_categories(nodes)
@@ -104,8 +106,8 @@ def grouped(kg: KG, unknown: bool = True, extra: Column | None = None) -> DataFr
     named = F.when(p.isNull(), UNKNOWN).when(p.rlike(PREDICATE), p).otherwise(F.lit("None")) if unknown else p
     x = ["x"] if extra is not None else []
     e = e.select("subject", named.alias("predicate"), "object", *([extra.alias("x")] if x else []))
-    e = e.join(look.toDF("_s", "sc"), F.col("subject") == F.col("_s")).groupBy("sc", "predicate", "object", *x).agg(F.count(F.lit(1)).alias("n"))
-    return e.join(look.toDF("_o", "oc"), F.col("object") == F.col("_o")).groupBy("sc", "predicate", "oc", *x).agg(F.sum("n").alias("n"))
+    e = e.join(look.toDF("_s", "sc").hint("shuffle_hash"), F.col("subject") == F.col("_s")).groupBy("sc", "predicate", "object", *x).agg(F.count(F.lit(1)).alias("n"))
+    return e.join(look.toDF("_o", "oc").hint("shuffle_hash"), F.col("object") == F.col("_o")).groupBy("sc", "predicate", "oc", *x).agg(F.sum("n").alias("n"))
 
 
 def spread(groups: DataFrame) -> DataFrame:
@@ -123,7 +125,12 @@ def triple_counts(kg: KG, unknown: bool = True) -> DataFrame:
 
 def edge_facets(kg: KG, facet: str, unknown: bool = True) -> DataFrame:
     """``subject_category, predicate, object_category, value, n`` of one property."""
-    t = spread(grouped(kg, unknown, facet_values(kg.edges, facet)))
+    return _facets(grouped(kg, unknown, facet_values(kg.edges, facet)))
+
+
+def _facets(groups: DataFrame) -> DataFrame:
+    """:func:`edge_facets` of edges that are grouped by the facet's values ``x``."""
+    t = spread(groups)
     return t.select(*TRIPLE, F.explode("x").alias("value"), "n").groupBy(*TRIPLE, "value").agg(F.sum("n").alias("n"))
 
 
@@ -135,9 +142,13 @@ def meta_nodes(kg: KG) -> DataFrame:
 
 def meta_edges(kg: KG) -> DataFrame:
     """``subject_category, predicate, object_category, relations, n``."""
-    t = spread(grouped(kg, False, as_list(kg.edges, "relation")))
-    n = t.groupBy(*TRIPLE).agg(F.sum("n").alias("n"))
-    return t.withColumn("r", F.explode_outer("x")).groupBy(*TRIPLE).agg(F.array_sort(F.collect_set("r")).alias("relations")).join(n, list(TRIPLE))
+    return _relations(grouped(kg, False, as_list(kg.edges, "relation")))
+
+
+def _relations(groups: DataFrame) -> DataFrame:
+    """:func:`meta_edges` of edges that are grouped by their lists of relations ``x``."""
+    every = F.array_compact(F.array_distinct(F.flatten(F.collect_set("x"))))
+    return spread(groups).groupBy(*TRIPLE).agg(F.array_sort(every).alias("relations"), F.sum("n").alias("n"))
 
 
 def duplicate_nodes(nodes: DataFrame) -> DataFrame:
@@ -162,7 +173,7 @@ class MetaGraph:
     def totals(self) -> DataFrame:
         """One row: categories, nodes, nodes over categories, predicates, edges, triples,
         edges over triples."""
-        n, m, g = first_nodes(self.kg), self.nodes(), grouped(self.kg, unknown=False)
+        n, m, g = first_nodes(self.kg), self.nodes(), stored(grouped(self.kg, unknown=False), "groups")
         e = spread(g).groupBy(*TRIPLE).agg(F.sum("n").alias("n"))
         a = n.agg(F.count(F.lit(1)).alias("nodes"))
         b = m.agg(F.count(F.lit(1)).alias("categories"), F.coalesce(F.sum("n"), F.lit(0)).alias("nodes_by_category"))
@@ -172,14 +183,17 @@ class MetaGraph:
     def document(self) -> dict:
         """The meta graph as a document: its size is that of the model, not the data."""
         node_sources, edge_sources = {}, {}
+        e = self.kg.edges
+        both = F.struct(as_list(e, "relation").alias("r"), facet_values(e, self.edge_facet).alias("f"))
+        groups = stored(grouped(self.kg, False, both), "groups")  # the edges are looked up once
         for r in node_facets(first_nodes(self.kg), self.node_facet, unknown=False).collect():
             node_sources.setdefault(r.category, {})[r.value] = r.n
-        for r in edge_facets(self.kg, self.edge_facet, unknown=False).collect():
+        for r in _facets(groups.withColumn("x", F.col("x.f"))).collect():
             edge_sources.setdefault((r.subject_category, r.predicate, r.object_category), {})[r.value] = r.n
         nodes = {r.category: {"id_prefixes": list(r.id_prefixes), "count": r.n, "count_by_source": {self.node_facet: node_sources.get(r.category, {})}} for r in self.nodes().orderBy("category").collect()}
         edges = [
             {"subject": r.subject_category, "predicate": r.predicate, "object": r.object_category, "relations": list(r.relations), "count": r.n, "count_by_source": {self.edge_facet: edge_sources.get((r.subject_category, r.predicate, r.object_category), {})}}
-            for r in self.edges().orderBy(*TRIPLE).collect()
+            for r in _relations(groups.withColumn("x", F.col("x.r"))).orderBy(*TRIPLE).collect()
         ]
         return {"nodes": nodes, "edges": edges, "name": self.kg.name}
 
@@ -187,22 +201,24 @@ class MetaGraph:
 def graph_summary(kg: KG, node_facets_of: tuple[str, ...] = (), edge_facets_of: tuple[str, ...] = ()) -> dict:
     """The graph summary as a document; only aggregates reach the driver."""
     n = first_nodes(kg)
+    rest = edge_facets_of[1:]
+    groups = stored(grouped(kg, True, facet_values(kg.edges, edge_facets_of[0]) if edge_facets_of else None), "groups")  # the edges are looked up once for all but further facets
     cats = {r.category: {"count": r.n, "count_by_id_prefix": {}} for r in category_counts(n).collect()}
     for r in prefix_counts(n).collect():
         cats[r.category]["count_by_id_prefix"][r.prefix] = r.n
     for f in node_facets_of:
         for r in node_facets(n, f).collect():
             cats[r.category].setdefault(f, {})[r.value] = {"count": r.n}
-    spo = {f"{r.subject_category}-{r.predicate}-{r.object_category}": {"count": r.n} for r in triple_counts(kg).collect()}
+    spo = {f"{r.subject_category}-{r.predicate}-{r.object_category}": {"count": r.n} for r in spread(groups).groupBy(*TRIPLE).agg(F.sum("n").alias("n")).collect()}
     for f in edge_facets_of:
-        for r in edge_facets(kg, f).collect():
+        for r in (edge_facets(kg, f) if f in rest else _facets(groups)).collect():
             spo[f"{r.subject_category}-{r.predicate}-{r.object_category}"].setdefault(f, {})[r.value] = {"count": r.n}
     preds = {r.predicate: {"count": r.n} for r in predicate_counts(kg.edges).collect()}
     prefixes: dict[str, int] = {}
     for c in cats.values():
         for p, k in c["count_by_id_prefix"].items():
             prefixes[p] = prefixes.get(p, 0) + k
-    known = grouped(kg).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    known = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return {
         "graph_name": kg.name,
         "node_stats": {"total_nodes": n.count(), "node_categories": sorted(cats), "node_id_prefixes": sorted(prefixes), "count_by_id_prefixes": prefixes, "count_by_category": cats},
