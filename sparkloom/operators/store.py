@@ -120,8 +120,9 @@ def relabel(kg: KG, mapping: DataFrame) -> KG:
     the last value of each property in order of their former ids."""
     m = mapping.select(F.col("old").alias("_old"), F.col("new").alias("_new"))
     nodes = kg.nodes.join(m, F.col("id") == F.col("_old"), "left").withColumn("_seq", F.col("id")).withColumn("id", F.coalesce("_new", "id")).drop("_old", "_new")
-    edges = kg.edges.withColumn("_seq", edge_key())
+    rest = [c for c in kg.edges.columns if c not in (*EDGE, "predicate")]
+    edges = kg.edges.withColumn("_seq", edge_key()) if rest else kg.edges  # keys are long: none is shuffled that decides nothing
     for end in ("subject", "object"):
         edges = edges.join(m, F.col(end) == F.col("_old"), "left").withColumn(end, F.coalesce("_new", end)).drop("_old", "_new")
-    edges = edges.withColumn("edge_key", edge_key())
-    return kg.with_(nodes=last_values(nodes, ("id",), "_seq"), edges=last_values(edges, EDGE, "_seq"))
+    edges = last_values(edges.drop("edge_key"), ("subject", "predicate", "object"), "_seq").withColumn("edge_key", edge_key())
+    return kg.with_(nodes=last_values(nodes, ("id",), "_seq"), edges=edges)
