@@ -6,8 +6,14 @@ archives) are joined through the file system by streaming the parts, never in me
 
 from __future__ import annotations
 
+import csv
+import gzip
+import io
 import os
+import shutil
 import tarfile
+import tempfile
+import time
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,7 +50,7 @@ def _writer(df: DataFrame, compression: str | None):
     return w.option("compression", compression) if compression else w
 
 
-def write_delimited(kg: KG, base: str, fmt: str = "tsv", delimiter: str = "|", node_properties: list[str] | None = None, edge_properties: list[str] | None = None, compression: str | None = None, single: bool = False) -> tuple[str, str]:
+def write_delimited(kg: KG, base: str, fmt: str = "tsv", delimiter: str = "|", node_properties: list[str] | None = None, edge_properties: list[str] | None = None, compression: str | None = None, single: bool = False, header: bool = True, rows_a_file: int = 0) -> tuple[str, str]:
     """``<base>_nodes.<fmt>`` and ``<base>_edges.<fmt>`` with header lines. TSV cells are
     neither quoted nor escaped; tabs and line breaks are blanks already."""
     out = []
@@ -52,7 +58,7 @@ def write_delimited(kg: KG, base: str, fmt: str = "tsv", delimiter: str = "|", n
         df = sanitize_export(_shown(df, names), delimiter)
         df = df.select(*[col(c) for c in ordered(df.columns, core)])
         w = _writer(df.coalesce(1) if single else df, compression if compression in ("gzip", "bzip2") else None)
-        w = w.option("header", True).option("sep", SEPARATOR[fmt]).option("emptyValue", "").option("nullValue", "")
+        w = w.option("header", header).option("maxRecordsPerFile", rows_a_file).option("sep", SEPARATOR[fmt]).option("emptyValue", "").option("nullValue", "")
         path = f"{base}_{what}.{fmt}"
         (w.option("quote", "").option("escapeQuotes", False) if fmt == "tsv" else w.option("quote", '"').option("escape", '"')).csv(path)
         out.append(path)
@@ -70,26 +76,69 @@ def parts(spark: SparkSession, folder: str) -> list[str]:
     return sorted(s.getPath().toString() for s in fs.listStatus(p) if s.getPath().getName().startswith("part-"))
 
 
-def write_archive(spark: SparkSession, kg: KG, path: str, fmt: str = "tsv", mode: str = "gz", scratch: str | None = None, most: int = 20 << 30) -> str:
-    """A tar archive of both tables on the driver's file system; the loose files go. A
-    table of more than ``most`` bytes of text is refused: an archive is one file that one
-    task reads."""
-    base = (scratch or path) + ".parts"
-    names = write_delimited(kg, base, fmt, single=True)
-    with tarfile.open(path, f"w:{mode}" if mode else "w") as tar:
-        for what, folder in zip(("nodes", "edges"), names):
-            loose = f"{path}.{what}.{fmt}"
-            with open(loose, "wb"):
-                pass
-            for part in parts(spark, folder):  # one part: the tables were written singly
-                fs, p = _fs(spark, part)
-                if fs.getFileStatus(p).getLen() > most:
+class _Joined:
+    """Local files read one after the other, for ``tarfile``."""
+
+    def __init__(self, head: bytes, paths: list[str]):
+        self.now, self.paths = io.BytesIO(head), list(paths)
+
+    def read(self, n: int) -> bytes:
+        while not (got := self.now.read(n)) and self.paths:
+            self.now = open(self.paths.pop(0), "rb")
+        return got + (self.read(n - len(got)) if got and len(got) < n and self.paths else b"")
+
+
+def _text_size(path: str) -> int:
+    """Bytes of text of a gzip file: its trailer has them up to 4 GB, which less than 4 MB cannot hold."""
+    if os.path.getsize(path) < 4 << 20:
+        with open(path, "rb") as f:
+            f.seek(-4, os.SEEK_END)
+            return int.from_bytes(f.read(), "little")
+    with gzip.open(path) as f:
+        return sum(len(x) for x in iter(lambda: f.read(1 << 20), b""))
+
+
+def write_archive(spark: SparkSession, kg: KG, path: str, fmt: str = "tsv", mode: str = "gz", scratch: str | None = None, most: int | None = None) -> str:
+    """A tar archive of both tables on the driver's file system. A table of more than
+    ``most`` bytes of text is refused, if that is given.
+
+    Tasks write the tables' parts; of a gzip archive they also compress them, since gzip
+    files one after the other are one gzip file, and the driver only copies."""
+    base, gz = (scratch or path) + ".parts", mode == "gz"
+    names = write_delimited(kg, base, fmt, compression="gzip" if gz else None, header=False, rows_a_file=400_000)
+    pack = (lambda x: gzip.compress(x)) if gz else (lambda x: x)
+    tar = None if gz else tarfile.open(path, f"w:{mode}" if mode else "w")
+    with open(path, "wb") if gz else tar as out:
+        for what, df, core, folder in (("nodes", kg.nodes, NODE_ORDER, names[0]), ("edges", kg.edges, EDGE_ORDER, names[1])):
+            head = io.StringIO()
+            columns = ordered(_shown(df, None).columns, core)
+            csv.writer(head, lineterminator="\n").writerow(columns) if fmt == "csv" else head.write(SEPARATOR[fmt].join(columns) + "\n")
+            head = head.getvalue().encode()
+            with tempfile.TemporaryDirectory() as loose:
+                local = []
+                for i, part in enumerate(parts(spark, folder)):
+                    if part.startswith("file:"):
+                        local.append(part.removeprefix("file://").removeprefix("file:"))
+                    else:
+                        fs, p = _fs(spark, part)
+                        local.append(f"{loose}/{i:05d}")
+                        fs.copyToLocalFile(False, p, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{local[-1]}"), True)
+                info = tarfile.TarInfo(f"{path.rsplit('/', 1)[-1].split('.')[0]}_{what}.{fmt}")
+                info.size, info.mtime = len(head) + sum(_text_size(p) if gz else os.path.getsize(p) for p in local), int(time.time())
+                if most is not None and info.size > most:
                     raise ValueError(f"the {what} are too large for an archive (at most {most} bytes)")
-                fs.copyToLocalFile(False, p, spark.sparkContext._jvm.org.apache.hadoop.fs.Path("file://" + os.path.abspath(loose)), True)
-            tar.add(loose, arcname=f"{path.rsplit('/', 1)[-1].split('.')[0]}_{what}.{fmt}")
-            os.remove(loose)
+                if gz:
+                    out.write(pack(info.tobuf(tarfile.GNU_FORMAT) + head))
+                    for p in local:
+                        with open(p, "rb") as f:
+                            shutil.copyfileobj(f, out, 1 << 20)
+                    out.write(pack(b"\0" * (-info.size % 512)))
+                else:
+                    tar.addfile(info, _Joined(head, local))
             fs, p = _fs(spark, folder)
             fs.delete(p, True)
+        if gz:
+            out.write(pack(b"\0" * 1024))
     return path
 
 

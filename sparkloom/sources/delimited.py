@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import os
 import tarfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..kg import KG
+from ..session import stored
 from .common import ReadOptions, finish, role, with_seq
 
 SEPARATOR = {"tsv": "\t", "csv": ","}
@@ -26,27 +28,51 @@ def read_table(spark: SparkSession, path: str, fmt: str) -> DataFrame:
 
 
 def read_archive(spark: SparkSession, path: str, fmt: str) -> dict[str, DataFrame]:
-    """Nodes and edges of an archive (plain, gz or bz2), whatever the members' order."""
+    """Nodes and edges of an archive (plain, gz or bz2), whatever the members' order.
 
-    def lines(batches):
-        for pdf in batches:
-            for content in pdf.content:
-                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
+    One task streams through it once and keeps the rows as a table; it holds some MB. A file
+    that tasks cannot open comes whole as bytes."""
+    own = path.removeprefix("file://").removeprefix("file:")
+    own = own if os.path.isfile(own) else None
+
+    def lines(f):
+        """Lists of cells, a few MB at a time."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if fmt == "csv":
+            rows = csv.reader(io.TextIOWrapper(f, "utf-8", newline=""))
+            while part := [x for _, x in zip(range(5000), rows)]:
+                yield pa.array(part, pa.list_(pa.string()))
+            return
+        rest = b""
+        while True:
+            got = f.read(4 << 20)
+            text = rest + got
+            at = text.rfind(b"\n") + 1 if got else len(text)
+            text, rest = text[:at], text[at:]
+            if part := [x for x in text.decode("utf-8").replace("\r\n", "\n").split("\n") if x]:
+                yield pc.split_pattern(pa.array(part, pa.string()), "\t")
+            if not got:
+                return
+
+    def members(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for content in b.column(0).to_pylist():
+                with tarfile.open(own) if own else tarfile.open(fileobj=io.BytesIO(content)) as tar:
                     for m in tar:
                         r = role(m.name, fmt) if m.isfile() else None
-                        if r is None:
-                            continue
-                        text = tar.extractfile(m).read().decode("utf-8").replace("\r\n", "\n")
-                        if fmt == "csv":
-                            rows = [list(x) for x in csv.reader(io.StringIO(text))]
-                        else:
-                            rows = [x.split("\t") for x in text.split("\n") if x]
-                        for at in range(0, len(rows), 5000):
-                            part = rows[at : at + 5000]
-                            yield pdf.iloc[:0].reindex(range(len(part))).assign(role=r, line=range(at, at + len(part)), cells=part)[["role", "line", "cells"]]
+                        at = 0
+                        for cells in lines(tar.extractfile(m)) if r else ():
+                            n = len(cells)
+                            yield pa.RecordBatch.from_arrays([pa.array([r] * n), pa.array(range(at, at + n), pa.int64()), cells], ["role", "line", "cells"])
+                            at += n
 
     schema = "role string, line long, cells array<string>"
-    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(lines, schema)
+    source = spark.range(0, 1, numPartitions=1) if own else spark.read.format("binaryFile").load(path).select("content")
+    rows = stored(source.mapInArrow(members, schema), "archive")
     heads = {r.role: r.cells for r in rows.filter("line = 0").collect()}
     out = {}
     for r, head in heads.items():
