@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 
 from ..functions.catalog import EDGE_CORE, MULTIVALUED, NODE_CORE
 from ..kg import KG
-from .normalize import col
-from .store import EDGE, keyed
+from ..session import stored
+from .normalize import col, remade
+from .store import EDGE, TRIPLE, keyed
 
 
 def _ordered(name: str) -> Column:
@@ -20,13 +21,9 @@ def _ordered(name: str) -> Column:
     return F.transform(held, lambda s: s["v"])
 
 
-def merge_records(parts: list[DataFrame], keys: tuple[str, ...], core: tuple[str, ...], preserve: bool) -> DataFrame:
-    """One row a key from records in priority order.
-
-    Several-valued properties take the distinct values of all in order. Core properties
-    keep the first value. Others take the last value, or with ``preserve`` all values:
-    such a property is a list for the whole result if any key has two values for it.
-    """
+def _together(parts: list[DataFrame], keys: tuple[str, ...]) -> tuple[DataFrame, dict[str, T.DataType], list[str]]:
+    """All records with their part's number ``_rank`` and ``_seq``; a property is a list in
+    all parts if it is in any. Besides, the types and names of the properties."""
     ranked = [p.withColumn("_rank", F.lit(i)).withColumn("_seq", F.col("seq") if "seq" in p.columns else F.lit(0)).drop("seq") for i, p in enumerate(parts)]
     types: dict[str, T.DataType] = {}
     for p in ranked:
@@ -39,9 +36,27 @@ def merge_records(parts: list[DataFrame], keys: tuple[str, ...], core: tuple[str
                 p = p.withColumn(f.name, F.when(col(f.name).isNotNull(), F.array(col(f.name).cast("string"))))
         return p
     every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(lifted, ranked))
-    rest = [c for c in every.columns if c not in keys and c not in ("_rank", "_seq")]
-    grouped = every.groupBy(*keys).agg(*[_ordered(c).alias(c) for c in rest])
+    return every, types, [c for c in every.columns if c not in keys and c not in ("_rank", "_seq")]
+
+
+def merge_records(parts: list[DataFrame], keys: tuple[str, ...], core: tuple[str, ...], preserve: bool) -> DataFrame:
+    """One row a key from records in priority order.
+
+    Several-valued properties take the distinct values of all in order. Core properties
+    keep the first value. Others take the last value, or with ``preserve`` all values:
+    such a property is a list for the whole result if any key has two values for it.
+    """
+    every, types, rest = _together(parts, keys)
+    grouped = every.groupBy(F.hash(*keys).alias("_hash"), *keys).agg(*[_ordered(c).alias(c) for c in rest]).drop("_hash")  # sorted by a hash: texts of one prefix compare slowly
+    return _merged(grouped, keys, core, preserve, types, keep=True)
+
+
+def _merged(grouped: DataFrame, keys: tuple[str, ...], core: tuple[str, ...], preserve: bool, types: dict[str, T.DataType], keep: bool = False) -> DataFrame:
+    """The result from rows of a key and the ordered values of each property; with ``keep``
+    the rows are stored where they are read twice."""
+    rest = [c for c in grouped.columns if c not in keys]
     conflict = [c for c in rest if preserve and c not in core and not MULTIVALUED.get(c, False) and not isinstance(types[c], T.ArrayType)]
+    grouped = stored(grouped, "merged") if keep and conflict else grouped
     several = grouped.agg(*[F.coalesce(F.bool_or(F.size(col(c)) > 1), F.lit(False)).alias(c) for c in conflict]).first() if conflict else ()
     lists = {c for c, v in zip(conflict, several) if v}
     out = []
@@ -72,8 +87,40 @@ def merge(graphs: list[KG], preserve: bool = True, target_first: bool = True) ->
         big = n.index(max(n))
         graphs = [graphs[big], *graphs[:big], *graphs[big + 1 :]]
     nodes = merge_records([g.nodes for g in graphs], ("id",), NODE_CORE, preserve)
-    edges = merge_records([keyed(g.edges) for g in graphs], EDGE, EDGE_CORE, preserve)
-    return KG(nodes, edges, graphs[0].name)
+    made = tuple(c for c in ("edge_key", "id") if all(c in g.made for g in graphs))
+    if "edge_key" not in made:
+        return KG(nodes, merge_records([keyed(g.edges) for g in graphs], EDGE, EDGE_CORE, preserve), graphs[0].name)
+    edges = merge_records([g.edges.drop(*made) for g in graphs], TRIPLE, EDGE_CORE, preserve)
+    return KG(nodes, remade(edges, made), graphs[0].name, made)
+
+
+def folded(parts: list[DataFrame], keys: tuple[str, ...]) -> tuple[DataFrame, dict[str, T.DataType], list[str]]:
+    """A row a key with the last value of each property ``c`` in each part ``i`` (column
+    ``i c``, by ``_seq``) and whether the part has the key (``i``), stored."""
+    every, types, rest = _together(parts, keys)
+    here = lambda i: F.col("_rank") == i
+    last = lambda i, c: F.max(F.when(here(i) & col(c).isNotNull(), F.struct("_seq", col(c).alias("v")))).getField("v").alias(f"{i} {c}")
+    aggs = [a for i, p in enumerate(parts) for a in (F.max(here(i)).alias(str(i)), *(last(i, c) for c in rest if c in p.columns))]
+    return stored(every.groupBy(F.hash(*keys).alias("_hash"), *keys).agg(*aggs).drop("_hash"), "folded"), types, rest
+
+
+def merge_unfolded(graphs: list[KG], preserve: bool = True) -> KG:
+    """:func:`merge_all` of the graphs' upserts, in one grouping of all records, not one for
+    the upserts and one for the merge. Edges' keys must follow from their ends."""
+    made = tuple(c for c in ("edge_key", "id") if all(c in g.made for g in graphs))
+    if "edge_key" not in made:
+        raise ValueError("keys of edges that do not follow from their ends")
+    parts = {"edges": [g.edges.drop(*made) for g in graphs], "nodes": [g.nodes for g in graphs]}
+    order, out = [], {}
+    for what, keys, core in (("edges", TRIPLE, EDGE_CORE), ("nodes", ("id",), NODE_CORE)):
+        rows, types, rest = folded(parts[what], keys)
+        if not order:
+            n = rows.agg(*[F.coalesce(F.sum(col(str(i)).cast("long")), F.lit(0)).alias(str(i)) for i in range(len(graphs))]).first()
+            big = max(range(len(graphs)), key=lambda i: n[i])  # the first of equals
+            order = [big, *(i for i in range(len(graphs)) if i != big)]
+        held = lambda c: F.filter(F.array(*[col(f"{i} {c}") for i in order if f"{i} {c}" in rows.columns]), lambda v: v.isNotNull())  # noqa: B023, E731 - used at once
+        out[what] = _merged(rows.select(*keys, *[held(c).alias(c) for c in rest]), keys, core, preserve, types)
+    return KG(out["nodes"], remade(out["edges"], made), graphs[order[0]].name, made)
 
 
 def merge_all(graphs: list[KG], preserve: bool = True) -> KG:

@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from ..kg import KG
 from ..operators import clique, filters, merge, reshape, store, summary, validate
 from ..operators.filters import Filters
+from ..operators.normalize import remade
 from ..operators.report import write_report
 from ..sinks import databases as db_sinks
 from ..sinks import files
 from ..sources import databases, delimited, jsons, rdf, sssom
+from ..session import stored as kept
 from ..sources.common import ReadOptions
 
 Operation = Callable[..., KG]
@@ -97,12 +99,20 @@ def load(spark: SparkSession, source: dict[str, Any]) -> KG:
 def concatenated(graphs: list[KG], name: str) -> KG:
     """All records of several graphs, without merging."""
     union = lambda a, b: a.unionByName(b, allowMissingColumns=True)
-    return KG(reduce(union, [g.nodes for g in graphs]), reduce(union, [g.edges for g in graphs]), name)
+    made = tuple(c for c in graphs[0].made if all(c in g.made for g in graphs))
+    return KG(reduce(union, [g.nodes for g in graphs]), reduce(union, [g.edges for g in graphs]), name, made)
 
 
-def stored(kg: KG) -> KG:
-    """Records as a graph store holds them: upserted, with the missing ends."""
-    return store.with_endpoints(store.upsert(kg))
+def stored(kg: KG, gated: bool = False) -> KG:
+    """Records as a graph store holds them: upserted, with the missing ends. There are none
+    of a graph whose edges are gated by their ends."""
+    return store.upsert(kg) if gated else store.with_endpoints(store.upsert(kg), kg)
+
+
+def _gated(source: dict[str, Any]) -> bool:
+    """Whether the filters of a source leave no edge without its ends."""
+    whole = source["format"] not in ("graph", *SOURCES) and source.get("start") is None and source.get("end") is None
+    return whole and "category" in (source.get("node_filters") or {})
 
 
 def operate(kg: KG, operations: list[dict]) -> KG:
@@ -132,7 +142,7 @@ def save(spark: SparkSession, kg: KG, target: dict[str, Any]) -> Any:
     if fmt == "json":
         return files.write_json(spark, kg, path)
     if fmt == "jsonl":
-        return files.write_jsonl(kg, path, target.get("compression"), np, ep)
+        return files.write_jsonl(kg, path, target.get("compression"), np, ep, target.get("rows_a_file", 0))
     if fmt == "parquet":
         return files.write_parquet(kg, path)
     if fmt == "nt":
@@ -155,7 +165,7 @@ def transform(spark: SparkSession, source: dict, target: dict | None = None, ope
     implicit nodes, no operations. The inspector sees the graph before it is written."""
     kg = load(spark, source)
     if not stream:
-        kg = operate(stored(kg), [*(source.get("operations") or []), *(operations or [])])
+        kg = operate(stored(kg, _gated(source)), [*(source.get("operations") or []), *(operations or [])])
     if inspector:
         inspector(kg)
     if target:
@@ -187,21 +197,41 @@ def run_transform(spark: SparkSession, config: dict | str) -> dict[str, KG]:
     return out
 
 
+FOLDED = 8
+
+
 def run_merge(spark: SparkSession, config: dict | str) -> KG:
     """The sources of a merge configuration, merged, operated on and written to every
-    destination. With ``checkpoint`` each source's graph is cut in the shared folder."""
+    destination. Records of up to ``FOLDED`` sources without operations are upserted and
+    merged at once. Otherwise each source's graph is kept in the shared folder, since it is
+    read several times; ``checkpoint`` asks for a checkpoint instead."""
     c = _yaml(config) if isinstance(config, str) else config
     m, conf = c.get("merged_graph", c), c.get("configuration", {})
-    graphs = []
-    for name, s in (m.get("source") or {}).items():
-        g = transform(spark, {"name": name, **_source(s)})
-        graphs.append(g.checkpoint() if conf.get("checkpoint") else g)
-    kg = operate(replace(merge.merge_all(graphs, conf.get("preserve", True)), name=m.get("name", "merged")), m.get("operations") or [])
+    sources = [{"name": name, **_source(s)} for name, s in (m.get("source") or {}).items()]
+    kg = None
+    if 0 < len(sources) <= FOLDED and not conf.get("checkpoint") and not any(s.get("operations") for s in sources):
+        loaded = [load(spark, s) for s in sources]
+        if all("edge_key" in g.made and {"seq"} <= set(g.nodes.columns) & set(g.edges.columns) for g in loaded):
+            kg = merge.merge_unfolded([g if _gated(s) else store.with_endpoints(g) for g, s in zip(loaded, sources)], conf.get("preserve", True))
+    kg = operate(replace(kg or _merged(spark, sources, conf), name=m.get("name", "merged")), m.get("operations") or [])
     for d in (m.get("destination") or {}).values():
         save(spark, kg, d)
     return kg
 
 
+def _merged(spark: SparkSession, sources: list[dict[str, Any]], conf: dict[str, Any]) -> KG:
+    """The merge of sources that are upserted, and operated on, each for itself."""
+    graphs = []
+    for s in sources:
+        g = transform(spark, s)
+        if conf.get("checkpoint"):
+            graphs.append(g.checkpoint())
+        else:
+            edges = remade(kept(g.edges.drop(*g.made), "merge"), g.made)
+            graphs.append(g.with_(nodes=kept(g.nodes, "merge"), edges=edges, made=g.made))
+    return merge.merge_all(graphs, conf.get("preserve", True))
+
+
 def graph_report(kg: KG, kind: str = "summary", node_facets: tuple[str, ...] = (), edge_facets: tuple[str, ...] = ()) -> dict:
     """The graph summary or the meta graph as a document."""
     if kind in ("meta", "meta-knowledge-graph"):
