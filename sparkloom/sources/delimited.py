@@ -6,6 +6,7 @@ import csv
 import io
 import os
 import tarfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,17 @@ def read_table(spark: SparkSession, path: str, fmt: str) -> DataFrame:
     return r.option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
 
 
+def lines_with(spark: SparkSession, path: str, table: DataFrame, delimiter: str | None) -> DataFrame | None:
+    """The rows of a TSV file, read as ``table``, that hold the delimiter: its lines are
+    searched whole, and only those found are parsed. None where the header holds it."""
+    if not delimiter or any(delimiter in c for c in table.columns):
+        return None
+    found = spark.read.text(path).filter(F.col("value").contains(delimiter))
+    text = getattr(found._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    r = spark.read.schema(table.schema).option("sep", SEPARATOR["tsv"]).option("quote", "")
+    return DataFrame(r._jreader.csv(text), spark)
+
+
 def read_archive(spark: SparkSession, path: str, fmt: str) -> dict[str, DataFrame]:
     """Nodes and edges of an archive (plain, gz or bz2), whatever the members' order.
 
@@ -86,13 +98,19 @@ def load(spark: SparkSession, paths: str | list[str], fmt: str = "tsv", compress
     """A graph from files whose names end in ``nodes.<fmt>`` and ``edges.<fmt>`` (others
     are left out) or from an archive of such."""
     parts: dict[str, DataFrame | None] = {"nodes": None, "edges": None}
+    listed: dict[str, list[DataFrame | None]] = {}
     for rank, p in enumerate([paths] if isinstance(paths, str) else paths):
         if compression and compression.startswith("tar"):
             found = read_archive(spark, p, fmt)
         else:
             r = role(p, fmt)
-            found = {r: with_seq(read_table(spark, p, fmt), rank)} if r else {}
+            found = {}
+            if r:
+                table = read_table(spark, p, fmt)
+                found[r] = with_seq(table, rank)
+                listed.setdefault(r, []).append(lines_with(spark, p, table, o.delimiter) if fmt == "tsv" else None)
         for r, df in found.items():
             df = df.withColumn("seq", F.col("seq").cast(T.LongType()))
             parts[r] = df if parts[r] is None else parts[r].unionByName(df, allowMissingColumns=True)
-    return finish(parts["nodes"], parts["edges"], o, name, spark)
+    union = lambda a, b: a.unionByName(b, allowMissingColumns=True)
+    return finish(parts["nodes"], parts["edges"], o, name, spark, {r: reduce(union, ds) for r, ds in listed.items() if all(d is not None for d in ds)})
