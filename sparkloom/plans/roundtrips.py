@@ -20,7 +20,7 @@ def tsv(spark: SparkSession, kg: KG) -> KG:
 
 
 def jsonl(spark: SparkSession, kg: KG) -> KG:
-    return jsons.load_jsonl(spark, list(files.write_jsonl(kg, _base(spark))))
+    return jsons.load_jsonl(spark, list(files.write_jsonl(kg, _base(spark), "gzip", rows_a_file=1_000_000)))
 
 
 def parquet(spark: SparkSession, kg: KG) -> KG:
