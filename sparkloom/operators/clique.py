@@ -11,7 +11,7 @@ from ..functions.curie import prefix_of
 from ..kg import KG
 from .components import connected_components, ensure_checkpoint_dir
 from .normalize import edge_key
-from .store import EDGE, last_values
+from .store import TRIPLE, last_values
 
 SAME = f"{NS}:same_as"
 
@@ -151,8 +151,8 @@ def clique_merge(kg: KG, annotation: str = "clique_leader", priority: list[str]
         edges = edges.join(m, F.col(end) == F.col("_from"), "left")
         edges = edges.withColumn(f"_original_{end}", F.when(F.col("_to").isNotNull(), F.col(end))).withColumn(end, F.coalesce("_to", end)).drop("_from", "_to")
     loop = (F.col("predicate") == f"{NS}:subclass_of") & (F.col("subject") == F.col("object")) & (F.col("_original_subject").isNotNull() | F.col("_original_object").isNotNull())
-    edges = edges.filter(~F.coalesce(loop, F.lit(False))).withColumn("edge_key", edge_key())
-    edges = last_values(edges.withColumn("_seq", F.concat_ws("-", "_original_subject", "_original_object")), EDGE, "_seq")
+    edges = edges.filter(~F.coalesce(loop, F.lit(False))).drop("edge_key")
+    edges = last_values(edges.withColumn("_seq", F.concat_ws("-", "_original_subject", "_original_object")), TRIPLE, "_seq").withColumn("edge_key", edge_key())  # the key follows from these
     same = who.filter("id <> leader").groupBy("leader").agg(F.array_sort(F.collect_set("id")).alias("_members"))
     elected = who.filter("id = leader").select("id", "election_strategy")
     nodes = kg.nodes.join(who.filter("id <> leader").select("id"), "id", "left_anti").drop("same_as", annotation, "election_strategy")
