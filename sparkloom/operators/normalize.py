@@ -127,6 +127,14 @@ def sanitize_export(df: DataFrame, delimiter: str = "|") -> DataFrame:
     return df.select(*out)
 
 
+def distinct_rows(df: DataFrame, n: int, most: int = 500_000) -> DataFrame:
+    """The distinct rows of about ``n``, most of which are so already. They are divided
+    before any are compared, a task having ``most`` on average: else each task would first
+    compare all rows that it read, in a table that outgrows its memory and saves nothing."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // most))
+    return df.repartition(parts, *[col(c) for c in df.columns]).distinct()
+
+
 def valid_nodes(nodes: DataFrame) -> DataFrame:
     """Rows with an id; an absent category becomes the default one."""
     out = nodes.filter(null_if_blank(F.col("id")).isNotNull())
