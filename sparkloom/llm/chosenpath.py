@@ -11,7 +11,8 @@ case is left out. Independent runs are repeated until the target recall.
 A node yields links that connect its similar sets, not all their pairs, so that what is
 shuffled grows with the sets. Links that rest on an unsure estimate are verified; the
 exact sets of every group that the others connect are then compared with each other in
-blocks, which yield a row a set, not a row a pair.
+blocks, which yield a row a set, not a row a pair. Blocks are read in slices of the
+grams' range, so that long texts take no more memory than short ones.
 """
 
 from __future__ import annotations
@@ -39,7 +40,8 @@ class Join:
     that are compared by brute force; ``depth``: levels of splitting at most; ``slack``:
     sets are linked if their min-hash estimate is above the threshold less this, three
     standard errors at the default; ``sure``: an estimate this much above the threshold
-    is taken as a sure link; ``block``: exact sets compared at a time."""
+    is taken as a sure link; ``block``: exact sets compared at a time; ``span``: about
+    the grams of two blocks that are held at a time."""
 
     threshold: float = 0.5
     n: int = 3
@@ -49,6 +51,7 @@ class Join:
     slack: float = 0.19
     sure: float = 0.1
     block: int = 512
+    span: int = 1 << 18
     seed: int = 1
 
     @property
@@ -261,7 +264,8 @@ def links(sets: DataFrame, p: Join) -> DataFrame:
 
 
 def gram_sets(docs: DataFrame, n: int) -> DataFrame:
-    """``(doc_id, sid, grams)``: the exact set of 64-bit gram hashes of each text."""
+    """``(doc_id, sid, grams)``: the exact set of 64-bit gram hashes of each text, in the
+    order of unsigned numbers."""
 
     def run(batches):
         for b in batches:
@@ -280,29 +284,51 @@ def gram_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, sid long, grams array<long>")
 
 
-def _jaccard(table_: pa.Table, p: Join) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(i, j, similarity)`` of the similar pairs of a group's sets, exactly."""
-    lists = table_["grams"].combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    size = np.diff(np.asarray(lists.offsets))
-    flat = lists.flatten().to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(len(size)), size)
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """Offsets from 0 and the values of a column of lists."""
+    off = np.asarray(column.offsets).astype(np.int64)
+    return off - off[0], column.values.slice(off[0], off[-1] - off[0])
+
+
+def _cut(batches):
+    """A row for each of the ``slices`` of a set: those of its ``grams`` that lie in the same
+    part of their range, also where there are none."""
+    for b in batches:
+        n, (off, flat) = b.column("slices").to_numpy(), _lists(b.column("grams"))
+        grams = flat.to_numpy().view(np.uint64)
+        at, first = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+        new = np.append(0, off[1:][at])
+        for r in np.flatnonzero(n > 1).tolist():
+            edges = np.arange(1, n[r], dtype=np.uint64) * np.uint64((1 << 64) // int(n[r]))
+            new[first[r] + 1 : first[r] + n[r]] = off[r] + np.searchsorted(grams[off[r] : off[r + 1]], edges)
+        parts = {"grams": pa.ListArray.from_arrays(pa.array(new, pa.int32()), flat), "slice": pa.array(np.arange(len(at)) - first[at], pa.int32())}
+        rows = {c: b.column(c).take(pa.array(at)) for c in b.schema.names if c != "grams"}
+        yield pa.RecordBatch.from_pydict(rows | parts)
+
+
+def _add_shared(both: np.ndarray, lists: pa.ListArray) -> None:
+    """Add to ``both`` the numbers of values that every two of the lists share."""
+    off, flat = _lists(lists)
+    row = np.repeat(np.arange(len(lists), dtype=np.int32), np.diff(off))
+    flat = flat.to_numpy()
     o = np.argsort(flat, kind="stable")
-    new = np.concatenate([[True], flat[o][1:] != flat[o][:-1]])
-    gram = np.empty(len(flat), np.int64)
-    gram[o] = np.cumsum(new) - 1
+    flat, row = flat[o], row[o]
+    new = np.concatenate([[True], flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, bool)
+    gram = np.cumsum(new) - 1
     shared = np.bincount(gram) > 1
-    number = np.cumsum(shared) - 1
     use = shared[gram]
-    row, gram = row[use], number[gram[use]]
-    both = np.zeros((len(size), len(size)), np.float32)
-    o = np.argsort(gram, kind="stable")
-    row, gram = row[o], gram[o]
-    for at in range(0, int(shared.sum()), 4096):
-        lo, hi = np.searchsorted(gram, [at, at + 4096])
-        m = np.zeros((len(size), 4096), np.float32)
+    row, gram = row[use], (np.cumsum(shared) - 1)[gram[use]]
+    total = int(shared.sum())
+    for at in range(0, total, 4096):
+        width = min(4096, total - at)
+        lo, hi = np.searchsorted(gram, [at, at + width])
+        m = np.zeros((len(lists), width), np.float32)
         m[row[lo:hi], gram[lo:hi] - at] = 1
         both += m @ m.T
+
+
+def _alike(both: np.ndarray, size: np.ndarray, p: Join) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(i, j, similarity)`` of the similar pairs of sets, exactly."""
     i, j = np.triu_indices(len(size), 1)
     same = both[i, j].astype(np.int64)
     jac = same / np.maximum(1, size[i] + size[j] - same)
@@ -323,22 +349,39 @@ def _labels(i: np.ndarray, j: np.ndarray, size: int) -> np.ndarray:
         label = new
 
 
-def similar(groups: DataFrame, exact: DataFrame, p: Join) -> DataFrame:
-    """``(a, b, n, best)`` from all similar pairs within the groups ``(node, component)``.
-
-    A group of more than ``block`` sets is divided, and every two of its blocks meet in
-    one task, which yields a row for each set ``a`` that has a pair there: the set ``b``
-    that stands for the ones that its pairs connect, the documents ``n`` of its partners
-    and the greatest similarity. Rows thus follow sets and blocks, not pairs."""
-    own = F.col("blk")
-    nb = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(p.block)).cast("int").alias("nb"))
-    g = groups.join(nb, "component").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-    g = g.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    g = g.join(exact, g.node == exact.sid).select("component", F.least(own, F.col("other")).alias("i"), F.greatest(own, F.col("other")).alias("j"), "sid", "blk", "copies", "grams")
-
-    def run(t: pa.Table) -> pa.Table:
-        sid, blk, copies = (t[c].to_numpy() for c in ("sid", "blk", "copies"))
-        i, j, jac = _jaccard(t, p) if len(sid) > 1 else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+def _runs(batches, keys: list[str]):
+    """The rows of each run of equal ``keys``, which may go over several batches."""
+    held, last = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = np.stack([b.column(c).to_numpy() for c in keys])
+        cut = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cut, cut[1:]):
+            if held and (key[:, lo] != last).any():
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(lo, hi - lo))
+            last = key[:, lo]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _exactly(batches, p: Join):
+    """Compare the sets of every ``(component, i, j)``, whose slices follow one another, each
+    with a row of every set in the same order. Only one slice is held at a time."""
+    out, held = [], 0
+    for t in _runs(batches, ["component", "i", "j", "slice"]):
+        at, slices = t["slice"][0].as_py(), t["slices"][0].as_py()
+        if at == 0:
+            both = np.zeros((t.num_rows, t.num_rows))
+        if t.num_rows > 1:
+            lists = t["grams"].combine_chunks()
+            _add_shared(both, lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists)
+        if at < slices - 1:
+            continue
+        sid, blk, copies, size = (t[c].to_numpy() for c in ("sid", "blk", "copies", "size"))
+        i, j, jac = _alike(both, size, p)
         if t["i"][0].as_py() != t["j"][0].as_py():
             across = blk[i] != blk[j]
             i, j, jac = i[across], j[across], jac[across]
@@ -347,9 +390,36 @@ def similar(groups: DataFrame, exact: DataFrame, p: Join) -> DataFrame:
             np.add.at(n, x, copies[y])
             np.maximum.at(best, x, jac)
         some = np.flatnonzero(n)
-        return pa.table({"a": sid[some], "b": sid[_labels(i, j, len(sid))[some]], "n": n[some], "best": best[some]})
+        out.append((sid[some], sid[_labels(i, j, len(sid))[some]], n[some], best[some]))
+        held += len(some)
+        if held >= 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["a", "b", "n", "best"])
+            out, held = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["a", "b", "n", "best"])
+
+
+def similar(groups: DataFrame, exact: DataFrame, p: Join) -> DataFrame:
+    """``(a, b, n, best)`` from all similar pairs within the groups ``(node, component)``.
 
-    return g.groupBy("component", "i", "j").applyInArrow(run, "a long, b long, n long, best double")
+    A group of more than ``block`` sets is divided, and every two of its blocks meet in
+    one task, which yields a row for each set ``a`` that has a pair there: the set ``b``
+    that stands for the ones that its pairs connect, the documents ``n`` of its partners
+    and the greatest similarity. Rows thus follow sets and blocks, not pairs. A task reads
+    two blocks in slices of about ``span`` grams, of which there are as many as the group's
+    grams need, and adds up what pairs share: its memory follows neither the length nor
+    the number of the texts."""
+    own = F.col("blk")
+    nb = F.ceil(F.count(F.lit(1)) / F.lit(p.block))
+    slices = F.ceil((2 * F.sum("size") / nb + 4 * F.max("size")) / F.lit(p.span))  # two mean blocks, and some long sets by chance
+    divided = groups.join(exact.select("sid", "size"), groups.node == F.col("sid")).groupBy("component").agg(nb.cast("int").alias("nb"), slices.cast("int").alias("slices"))
+    g = groups.join(divided, "component").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    g = g.join(exact, g.node == exact.sid).select("component", "nb", "slices", "blk", "sid", "copies", "size", "grams")
+    g = g.mapInArrow(_cut, "component long, nb int, slices int, blk int, sid long, copies long, size int, grams array<long>, slice int")
+    g = g.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    g = g.select("component", F.least(own, F.col("other")).alias("i"), F.greatest(own, F.col("other")).alias("j"), "slice", "slices", "sid", "blk", "copies", "size", "grams")
+    g = g.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "slice", "sid")
+    return g.mapInArrow(lambda batches: _exactly(batches, p), "a long, b long, n long, best double")
 
 
 def join(docs: DataFrame, p: Join = Join()) -> DataFrame:
@@ -371,7 +441,7 @@ def join(docs: DataFrame, p: Join = Join()) -> DataFrame:
     found = table(links(sets.select("sid", "sig"), p), "links")
     need = table(found.select(F.col("a").alias("sid")).union(found.select("b")).distinct().join(sets.select("sid", "rep", "copies"), "sid"), "linked")
     exact = gram_sets(d.join(need.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), p.n)
-    exact = table(exact.groupBy("sid").agg(F.first("grams").alias("grams")).join(need.select("sid", "copies"), "sid"), "exact")
+    exact = table(exact.groupBy("sid").agg(F.first("grams").alias("grams")).withColumn("size", F.size("grams")).join(need.select("sid", "copies"), "sid"), "exact")
 
     one, two = exact.select(F.col("sid").alias("a"), F.col("grams").alias("ga")), exact.select(F.col("sid").alias("b"), F.col("grams").alias("gb"))
     both = F.size(F.array_intersect("ga", "gb"))

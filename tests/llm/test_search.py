@@ -1,7 +1,9 @@
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import spark_rows, sql_rows
 from llm.fixtures import frame, prose, rows
@@ -98,6 +100,40 @@ def test_join_against_brute_force(spark, block):
         assert r.links < links[i] or r.links == 0 or abs(r.jaccard - best[i]) < 1e-6
 
 
+def test_join_in_slices(spark):
+    """How the sets are divided into blocks and slices doesn't show in the result."""
+    docs = frame(spark, rows(near_copies(3)))
+    got = [sorted(map(tuple, chosenpath.join(docs, chosenpath.Join(block=16, span=span)).collect()), key=str) for span in (1 << 18, 500)]
+    assert got[0] == got[1] and sum(r[2] for r in got[0]) > 0
+
+
+def test_long_sets_are_compared_in_little_memory():
+    """Sets of 200 near copies of a long text, of 3 million grams in all, two short ones and one of another text."""
+    r = np.random.default_rng(1)
+    base, sets = r.integers(0, 1 << 63, 15_000, np.uint64) << np.uint64(1), []
+    for _ in range(200):
+        other = r.random(len(base)) < 0.1
+        sets.append(np.unique(np.where(other, r.integers(0, 1 << 63, len(base), np.uint64), base)))
+    sets += [base[:40], base[:50], r.integers(0, 1 << 63, 15_000, np.uint64)]
+    sets, slices, k = [np.unique(s) for s in sets], 40, len(sets)
+    whole = pa.RecordBatch.from_pydict(
+        {c: pa.array([0] * k, pa.int64()) for c in ("component", "i", "j", "blk")}
+        | {"slices": pa.array([slices] * k, pa.int32()), "sid": pa.array(range(k)), "copies": pa.array([1] * (k - 1) + [7]), "size": pa.array([len(s) for s in sets], pa.int32())}
+        | {"grams": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))}
+    )
+    cut = pa.Table.from_batches(chosenpath._cut([whole]))
+    assert cut.num_rows == slices * k and sorted(cut["grams"].combine_chunks().flatten().to_pylist()) == sorted(np.concatenate(sets).view(np.int64).tolist())
+    batches = cut.sort_by([("slice", "ascending"), ("sid", "ascending")]).to_batches(max_chunksize=150)  # a slice goes over two batches
+    tracemalloc.start()
+    got = {a: (n, best) for b in chosenpath._exactly(batches, chosenpath.Join()) for a, n, best in zip(*(b.column(c).to_pylist() for c in ("a", "n", "best")))}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6
+    assert sorted(got) == list(range(202)) and all(got[a][0] == 199 for a in range(200)) and got[200] == got[201] == (1, 0.8)
+    best = max(len(np.intersect1d(sets[0], s)) / len(np.union1d(sets[0], s)) for s in sets[1:])
+    assert abs(got[0][1] - best) < 1e-9
+
+
 def test_join_on_the_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     own = docs.select("doc_id", "text").orderBy("doc_id").collect()
